@@ -35,7 +35,7 @@ LANGUAGES = list(dict.fromkeys(NAMES.values()))
 #: GRAM letters are packed into 64 bits, 16 for each; letters beyond the basic plane fold onto it.
 SEED, DIM, GRAM = 31_337, 4_096, 4
 #: Labelled documents, taken in the order of a hash of their id, that the profiles are made from.
-SAMPLE = 8_000
+SAMPLE = 5_000
 #: Letter n-grams whose products with the profiles a worker remembers.
 REMEMBERED = 200_000
 #: A passage speaks for a language of its own with this many words and letters, and this lead over the next language.
