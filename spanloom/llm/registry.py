@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (name -> callable of session and directory) and SQL (name -> text).
-MODULES = ("split_queries", "neardup_queries", "lookalike_queries", "token_queries", "langid_queries")
+MODULES = ("split_queries", "neardup_queries", "abuse_queries", "lookalike_queries", "token_queries", "langid_queries")
 
 
 def llm_queries() -> dict:
