@@ -17,9 +17,11 @@ from spanloom.llm.lookalike import plain_forms
 #: Features are hashes of the n-grams of these lengths; a binary feature counts once a sentence.
 BITS, LENGTHS = 18, (3, 4, 5)
 #: Labelled clips, those with the least hashes of their ids, that the classifier is fitted on.
-SAMPLE = 3_000
+SAMPLE = 2_500
 #: Sentences of more words are also scored in windows of so many, at this distance, as full stops may be missing.
 WINDOW, STRIDE = 9, 5
+#: Texts whose features are made, and features whose gradients are summed, at once; they bound the memory of a fit.
+AT_ONCE, BLOCK = 4_000, 1_000_000
 #: Steps of each fit, and the penalty on weights.
 STEPS, PENALTY = 60, 2e-6
 #: From so many abusive clips on, a chosen sentence must have this score or more by a fit on other clips.
@@ -80,6 +82,9 @@ def units(found: list[str]) -> list[str]:
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed n-grams of each folded text, one after the other, and how many each text has."""
+    if len(texts) > AT_ONCE:
+        parts = [features(texts[a : a + AT_ONCE]) for a in range(0, len(texts), AT_ONCE)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     joined = "".join(texts)
     if not joined:
@@ -102,10 +107,12 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sum of each text's values."""
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
+    """Sum of each text's values; a text may have none."""
+    out = np.zeros(len(sizes))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some], dtype=np.float64)
+    return out
 
 
 @dataclass
@@ -194,8 +201,8 @@ class Classifier:
     @staticmethod
     def _ratio(at: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
         """Log-count ratios of features, of which at least one occurrence counts for either class."""
-        p = SMOOTH + np.bincount(at, weights=pos, minlength=1 << BITS)
-        q = SMOOTH + np.bincount(at, weights=neg, minlength=1 << BITS)
+        p = SMOOTH + np.bincount(at[pos > 0], minlength=1 << BITS)
+        q = SMOOTH + np.bincount(at[neg > 0], minlength=1 << BITS)
         ratio = np.log((p / p.sum()) / (q / q.sum()))
         ratio[(p <= SMOOTH) & (q <= SMOOTH)] = 0.0
         return ratio
@@ -204,16 +211,22 @@ class Classifier:
     def _fit_rows(cls, at: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> Classifier:
         """Logistic regression on binary features times their log-count ratios; abusive ones have a quarter of the weight."""
         n = 1 << BITS
-        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        ratio = cls._ratio(at, y[owner], 1.0 - y[owner])
-        scale = ((1.0 / np.sqrt(np.maximum(1, sizes)))[owner] * ratio[at]).astype(np.float32)
+        ratio = cls._ratio(at, np.repeat(y, sizes), np.repeat(1 - y, sizes)).astype(np.float32)
+        root = (1.0 / np.sqrt(np.maximum(1, sizes))).astype(np.float32)
         balance = np.where(y > 0, 0.25 / max(1.0, y.sum()), 0.75 / max(1.0, (1 - y).sum()))
+        edges = np.r_[0, np.cumsum(sizes)]
+        cuts = [0]
+        while cuts[-1] < len(sizes):
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(edges, edges[cuts[-1]] + BLOCK, "right")) - 1))
         w, m, v, bias, mb, vb = np.zeros(n, np.float32), np.zeros(n), np.zeros(n), 0.0, 0.0, 0.0
         for step in range(1, STEPS + 1):
-            z = _sums(w[at] * scale, sizes) + bias
-            g = (balance * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y)).astype(np.float32)
-            grad = np.bincount(at, weights=g[owner] * scale, minlength=n) + PENALTY * w
-            gb = g.sum()
+            scaled, grad, gb = w * ratio, PENALTY * w.astype(np.float64), 0.0
+            for a, b in zip(cuts, cuts[1:]):
+                own, many = at[edges[a] : edges[b]], sizes[a:b]
+                z = _sums(scaled[own], many) * root[a:b] + bias
+                g = balance[a:b] * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y[a:b])
+                grad += np.bincount(own, weights=np.repeat((g * root[a:b]).astype(np.float32), many), minlength=n) * ratio
+                gb += float(g.sum())
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             rate = 0.1 / (1 + step / 40)
