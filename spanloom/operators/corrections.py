@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Separators of a rule, its limits, and the letters that may stand before an Arabic word.
 SEPARATORS, MOST_RULES, MOST_CHARS, HOTWORD_CHARS, PREFIXES = ("=>", "→", "="), 500, 60, 220, "وفبلك"
 # Fixed value: what may not touch a corrected word.
-LETTER = "\\u0600-\\u06FFA-Za-z0-9_"
+LETTER = "\\u0621-\\u064A\\u0660-\\u0669A-Za-z0-9_"
 
 
 class RuleError(ValueError):

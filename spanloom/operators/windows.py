@@ -18,6 +18,10 @@ def joined_text(rows: Column) -> Column:
     return F.array_join(F.filter(texts, lambda t: t != ""), " ")
 
 
+def _homes(starts: Column, size: int) -> Column:
+    return F.transform(starts, lambda i: F.struct(i.alias("first_idx"), F.lit(size).alias("size")))
+
+
 def sliding_windows(segments: DataFrame, sizes: tuple[int, ...] = (3, 5, 7), stride: int = 2) -> DataFrame:
     """source_id, first_idx, last_idx, start, end, text of all full windows of ``sizes`` rows, one every ``stride`` rows.
 
@@ -28,7 +32,7 @@ def sliding_windows(segments: DataFrame, sizes: tuple[int, ...] = (3, 5, 7), str
     for size in sizes:
         first = (F.floor(F.greatest(F.lit(0), F.col("seg_idx") - (size - 1) + (stride - 1)) / stride) * stride).cast("int")
         starts = F.when(first <= F.col("seg_idx"), F.sequence(first, F.col("seg_idx"), F.lit(stride))).otherwise(F.array().cast("array<int>"))
-        homes.append(F.transform(starts, lambda i, size=size: F.struct(i.alias("first_idx"), F.lit(size).alias("size"))))
+        homes.append(_homes(starts, size))
     rows = segments.filter(F.col("seg_idx") >= 0).withColumn("_w", F.explode(F.concat(*homes)))
     windows = rows.groupBy("source_id", F.col("_w.first_idx").alias("first_idx"), F.col("_w.size").alias("size")).agg(
         F.count("*").alias("_n"), F.min_by("start", "seg_idx").alias("start"), F.max_by("end", "seg_idx").alias("end"),

@@ -41,9 +41,9 @@ WITH raw AS (
   UNION ALL
   SELECT 'scored', clip_id, source_id, run_id, start, "end", written_at FROM scored),
 one AS (
-  SELECT tbl, source_id, run_id, CAST(floor(start * 1000 + 0.5) AS BIGINT) AS s, CAST(floor(stop * 1000 + 0.5) AS BIGINT) AS e
+  SELECT tbl, source_id, run_id, TRY_CAST(floor(start * 1000 + 0.5) AS BIGINT) AS s, TRY_CAST(floor(stop * 1000 + 0.5) AS BIGINT) AS e
   FROM (SELECT *, row_number() OVER (PARTITION BY tbl, id ORDER BY written_at DESC NULLS LAST, source_id DESC, run_id DESC) AS n FROM raw)
-  WHERE n = 1 AND start IS NOT NULL AND stop IS NOT NULL AND NOT isnan(start) AND NOT isnan(stop) AND stop > start),
+  WHERE n = 1 AND CAST(start AS VARCHAR) <> 'nan' AND CAST(stop AS VARCHAR) <> 'nan' AND stop > start),
 seen AS (
   SELECT *, max(e) OVER (PARTITION BY tbl, source_id, run_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM one),
 labelled AS (
