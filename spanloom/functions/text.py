@@ -17,6 +17,7 @@ TOKEN = "[0-9A-Za-z\\u0600-\\u06FF]+"
 FILLERS = ("um", "uh", "like", "you know", "i mean", "so yeah", "اه", "امم", "يعني بس", "امم يعني")
 # What may stand before and after a listed Arabic word, and after a Latin one.
 ARABIC_BEFORE, ARABIC_AFTER, LATIN_AFTER = "و|ف|ب|ل|ال|وال|فال|بال|لل", "ه|ها|هم|ك|كم|نا|ي|يه|ات", "s|ing|ed"
+BLANK = "[\\t-\\r\\x85\\p{Z}]"
 SHINGLE = 8
 #: Stands between the tokens of a shingle; not part of the token alphabet.
 GLUE = "\x1f"
@@ -26,6 +27,11 @@ def _some(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def stripped(text: Column) -> Column:
+    """Text without blanks of any kind, line ends included, at its ends."""
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-case tokens of two or more letters or digits, without diacritics; accented Latin letters split a word."""
     plain = F.lower(F.regexp_replace(_some(text), DIACRITICS, ""))
@@ -34,10 +40,14 @@ def tokens(text: Column | str) -> Column:
 
 def shingles(text: Column | str, size: int = SHINGLE) -> Column:
     """Distinct runs of ``size`` tokens; of a shorter text all its tokens as one; none of a text without tokens."""
-    t = tokens(text)
-    runs = F.transform(F.sequence(F.lit(1), F.size(t) - (size - 1)), lambda i: F.array_join(F.slice(t, i, size), GLUE))
-    whole = F.when(F.size(t) > 0, F.array(F.array_join(t, GLUE))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(t) >= size, F.array_distinct(runs)).otherwise(whole)
+
+    def made(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(t) - (size - 1)), lambda i: F.array_join(F.slice(t, i, size), GLUE))
+        whole = F.when(F.size(t) > 0, F.array(F.array_join(t, GLUE))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(t) >= size, F.array_distinct(runs)).otherwise(whole)
+
+    # The tokens are bound once as a lambda's argument; as an expression they would be made anew for every run.
+    return F.get(F.transform(F.array(tokens(text)), made), F.lit(0))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -56,8 +66,8 @@ def filler_only(text: Column | str) -> Column:
 
 def ends_mid_idea(text: Column | str) -> Column:
     """Empty, or with full stops inside but none at the end."""
-    t = F.trim(_some(text))
-    return (t == "") | (t.rlike("[.!?؟]") & ~t.rlike("[.!?؟…]\\s*$"))
+    t = stripped(_some(text))
+    return (t == "") | (t.rlike("[.!?؟]") & ~t.rlike("[.!?؟…]$"))
 
 
 def ends_sentence(text: Column | str) -> Column:
@@ -129,7 +139,7 @@ def contains_blocked(text: Column | str, pattern: str) -> Column:
 
 def prompt_excerpt(text: Column | str, limit: int = 1_200, head: int = 850, tail: int = 350) -> Column:
     """A long text's beginning and end with a mark between them."""
-    t = F.trim(_some(text))
+    t = stripped(_some(text))
     cut = F.concat(F.substring(t, 1, head), F.lit(" [...] "), F.right(t, F.lit(tail)))
     return F.when(F.length(t) <= limit, t).otherwise(cut)
 
@@ -203,8 +213,8 @@ def joined_filters(*parts: Column | str) -> Column:
 
 def extracted_json(text: Column | str) -> Column:
     """The JSON object in a model's answer: without code fences, else from the first brace to the last; null if none parses."""
-    t = F.trim(F.regexp_replace(F.trim(_some(text)), "^```(json)?", ""))
-    t = F.trim(F.regexp_replace(t, "```$", ""))
+    t = stripped(F.regexp_replace(stripped(_some(text)), "^```(json)?", ""))
+    t = stripped(F.regexp_replace(t, "```$", ""))
     inner = F.regexp_extract(t, "(?s)\\{.*\\}", 0)
     good = lambda x: F.try_parse_json(x).isNotNull() & (x != "")
     return F.when(good(t), t).when(good(inner), inner)

@@ -38,7 +38,7 @@ def to_word_edges(spans: DataFrame, words: DataFrame, limit: Column) -> DataFram
 
     rows = spans.join(inside("start", "_ns"), ["source_id", "span_id"], "left").join(inside("end", "_ne"), ["source_id", "span_id"], "left")
     start = F.coalesce("_ns", "start")
-    end = F.least(F.col("_ne"), limit)
+    end = F.when(F.col("_ne").isNotNull(), F.least(F.col("_ne"), limit))
     return rows.withColumn("start", start).withColumn("end", F.when(end > F.col("start"), end).otherwise(F.col("end"))).drop("_ns", "_ne")
 
 

@@ -49,6 +49,11 @@ spoken AS (
   WHERE trim(w.text, ' ') <> '' AND w."end" > w.start AND CAST(w.start AS VARCHAR) <> 'nan' AND CAST(w."end" AS VARCHAR) <> 'nan')"""
 
 
+def strip_sql(text: str) -> str:
+    """Text without blanks of any kind at its ends."""
+    return rf"regexp_replace({text}, '^[\t-\r\x{{85}}\p{{Z}}]+|[\t-\r\x{{85}}\p{{Z}}]+$', '', 'g')"
+
+
 def islands_sql(source: str, key: str) -> str:
     """Periods of rows (key, s, e) in SQL: touching spans belong together."""
     return f"""

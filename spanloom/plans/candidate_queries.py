@@ -14,7 +14,7 @@ from spanloom.operators.select import accepted, covering_clips, finals, greedy_s
 from spanloom.operators.snap import complete_parts, to_pauses, to_speech, to_word_edges
 from spanloom.operators.spans import micro_pauses, speech_runs, spoken_words
 from spanloom.operators.windows import anchored_windows, capped, local_priority, merged, sliding_windows, with_context, word_windows
-from spanloom.plans.bases import CANDS, CLIPS, SEGS, SOUND, WORDS, candidates, clips, segments, sound_segments
+from spanloom.plans.bases import CANDS, CLIPS, SEGS, SOUND, WORDS, candidates, clips, segments, sound_segments, strip_sql
 
 #: Candidates that a source keeps in capped_candidates; small, so that the cap takes effect on small data too.
 KEPT = 8
@@ -260,8 +260,8 @@ SELECT source_id, CASE WHEN duration < 60 THEN 0 ELSE CAST(floor((duration - 60)
     "even_parts": f"""WITH {_DURATIONS}, n AS (SELECT *, CAST(ceil(duration / 300) AS INTEGER) AS k FROM d), m AS (SELECT *, CASE WHEN k > 1 AND duration - (k - 1) * 300 < 3 THEN k - 1 ELSE k END AS parts FROM n),
 p AS (SELECT *, unnest(range(0, parts)) AS part_no FROM m)
 SELECT source_id, CAST(part_no AS INTEGER) AS part_no, CAST(part_no * 300000 AS BIGINT) AS start_ms, CASE WHEN part_no = parts - 1 THEN ms ELSE CAST((part_no + 1) * 300000 AS BIGINT) END AS end_ms FROM p""",
-    "prompt_excerpts": f"WITH {CANDS}, x AS (SELECT cand_id, trim(coalesce(text, ''), ' ') AS t FROM cands) SELECT cand_id, {_EXCERPT} AS excerpt FROM x",
-    "llm_batches": f"""WITH {CANDS}, x AS (SELECT run_id, trim(coalesce(text, ''), ' ') AS t, length(substr(coalesce(context_before, ''), 1, 200)) + length(substr(coalesce(context_after, ''), 1, 200)) AS c FROM cands),
+    "prompt_excerpts": f"WITH {CANDS}, x AS (SELECT cand_id, {strip_sql("coalesce(text, '')")} AS t FROM cands) SELECT cand_id, {_EXCERPT} AS excerpt FROM x",
+    "llm_batches": f"""WITH {CANDS}, x AS (SELECT run_id, {strip_sql("coalesce(text, '')")} AS t, length(substr(coalesce(context_before, ''), 1, 200)) + length(substr(coalesce(context_after, ''), 1, 200)) AS c FROM cands),
 m AS (SELECT run_id, avg(length({_EXCERPT}) + c + 100) AS mean FROM x GROUP BY ALL)
 SELECT run_id, CAST(greatest(1, least(16, greatest(4, round_even(10000 / mean, 0)))) AS INTEGER) AS batch FROM m""",
 }

@@ -12,7 +12,7 @@ from spanloom.operators.corrections import correction_counts, corrected_segments
 from spanloom.operators.match import layered_match
 from spanloom.operators.periods import milliseconds, sound_span
 from spanloom.operators.windows import batches
-from spanloom.plans.bases import CANDS, CLIPS, MS, SEGS, SOUND, candidates, clips, segments, sound_segments
+from spanloom.plans.bases import MS, SEGS, SOUND, candidates, clips, segments, sound_segments, strip_sql
 from spanloom.sources.records import docx_paragraphs, transcript_lines
 from spanloom.sources.tables import table
 
@@ -115,7 +115,7 @@ QUERIES = {
 _WORD_CHAR = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
 _CLOCK = "lpad(CAST({0} AS VARCHAR), 2, '0')"
 _SRT = lambda c: "concat(" + ", ':', ".join(_CLOCK.format(x) for x in (f"({c} // 3600000)", f"({c} // 60000 % 60)", f"({c} // 1000 % 60)")) + f", ',', lpad(CAST({c} % 1000 AS VARCHAR), 3, '0'))"
-_LINES = f"WITH {SEGS}, l AS (SELECT source_id, seg_idx, start, trim(text, ' ') AS t FROM segs WHERE trim(text, ' ') <> '')"
+_LINES = f"WITH {SEGS}, l AS (SELECT source_id, seg_idx, start, {strip_sql('text')} AS t FROM segs WHERE {strip_sql('text')} <> '')"
 _TOKENS = r"list_filter(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[\x{0610}-\x{061a}\x{064b}-\x{065f}\x{0670}\x{06d6}-\x{06ed}\x{0640}]', '', 'g')), '[0-9A-Za-z\x{0600}-\x{06FF}]+'), lambda x: length(x) > 1)"
 SQL = {
     "doc_shingles": f"""WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents)
@@ -123,8 +123,8 @@ SELECT doc_id, CAST(len(t) AS INTEGER) AS tokens, CAST(CASE WHEN len(t) = 0 THEN
     "filler_segments": f"""WITH {SEGS}, w AS (SELECT source_id, seg_idx, regexp_extract_all(lower(trim(coalesce(text, ''), ' ')), '{_WORD_CHAR}') AS words FROM segs),
 f AS (SELECT *, len(words) AS n, len(list_filter(words, lambda x: x IN ('um', 'uh', 'like', 'اه', 'امم'))) AS fillers FROM w)
 SELECT source_id, seg_idx FROM f WHERE n = 0 OR (n <= 3 AND fillers >= greatest(1, n - 1))""",
-    "mid_idea_docs": r"""WITH t AS (SELECT doc_id, trim(coalesce(text, ''), ' ') AS t FROM documents)
-SELECT doc_id FROM t WHERE t = '' OR (regexp_matches(t, '[.!?؟]') AND NOT regexp_matches(t, '[.!?؟…][ \t\n\f\r\x0b]*$'))""",
+    "mid_idea_docs": f"""WITH t AS (SELECT doc_id, {strip_sql("coalesce(text, '')")} AS t FROM documents)
+SELECT doc_id FROM t WHERE t = '' OR (regexp_matches(t, '[.!?؟]') AND NOT regexp_matches(t, '[.!?؟…]$'))""",
     "srt_times": f"WITH {SEGS}, t AS (SELECT source_id, seg_idx, {MS} FROM segs WHERE {SOUND}) SELECT source_id, seg_idx, {_SRT('s')} || ' --> ' || {_SRT('e')} AS cue FROM t",
     "stamped_lines": _LINES + f""", s AS (SELECT *, CASE WHEN start IS NULL OR CAST(start AS VARCHAR) IN ('nan', 'inf', '-inf') OR start < 0 THEN 0 ELSE TRY_CAST(floor(start) AS BIGINT) END AS x FROM l)
 SELECT source_id, seg_idx, '[' || CASE WHEN x >= 3600 THEN {_CLOCK.format('(x // 3600)')} || ':' ELSE '' END || {_CLOCK.format('(x // 60 % 60)')} || ':' || {_CLOCK.format('(x % 60)')} || '] ' || t AS line FROM s""",

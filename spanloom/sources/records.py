@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import ass_time, clock, escape_ass, escape_xml, extracted_json, safe_seconds, srt_time
+from spanloom.functions.text import ass_time, clock, escape_ass, escape_xml, extracted_json, safe_seconds, srt_time, stripped
 
 WORD = "struct<start: double, end: double, text: string>"
 SEGMENT = f"source_id string, seg_idx int, start double, end double, text string, words array<{WORD}>"
@@ -119,7 +119,7 @@ def valid_proposals(answers: DataFrame, segments: DataFrame, shortest: float, lo
 
 def transcript_lines(segments: DataFrame, stamps: bool = False) -> DataFrame:
     """source_id, seg_idx, line of segments that aren't blank, with [MM:SS] before them if asked for."""
-    rows = segments.withColumn("_t", F.trim(F.coalesce("text", F.lit("")))).filter("_t <> ''")
+    rows = segments.withColumn("_t", stripped(F.coalesce("text", F.lit("")))).filter("_t <> ''")
     line = F.concat(F.lit("["), clock("start"), F.lit("] "), F.col("_t")) if stamps else F.col("_t")
     return rows.select("source_id", "seg_idx", line.alias("line"))
 

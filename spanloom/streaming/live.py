@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from spanloom.plans.lineage import cut
 
 
-def coverage_windows(spans: DataFrame, time: str, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
-    """source_id, window, spans, spoken_s of a stream of spans (source_id, start, end and event time); later rows are dropped."""
+def coverage_windows(spans: DataFrame, time: str, window: str = "10 minutes", late: str | None = "30 minutes") -> DataFrame:
+    """source_id, window, spans, spoken_s of a stream of spans (source_id, start, end and event time); later rows are dropped.
+
+    ``late`` None: the stream has its watermark already.
+    """
     length = F.greatest(F.lit(0.0), F.col("end") - F.col("start"))
-    return spans.withWatermark(time, late).groupBy("source_id", F.window(time, window)).agg(F.count("*").alias("spans"), F.sum(length).alias("spoken_s"))
+    spans = spans.withWatermark(time, late) if late else spans
+    return spans.groupBy("source_id", F.window(time, window)).agg(F.count("*").alias("spans"), F.sum(length).alias("spoken_s"))
 
 
 def first_deliveries(rows: DataFrame, keys: list[str], time: str, late: str = "30 minutes") -> DataFrame:
