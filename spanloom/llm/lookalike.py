@@ -22,8 +22,8 @@ aаɑ cсϲ dԁ eе gɡ hһ iі jј kκ lӏ nո oоοօ pрρ qԛ sѕ uսυ vν
 # Fixed value: kinds of compatibility mapping that change the form of a letter but not what is read. Mappings of
 # <compat> count for letters and letter numbers only, those to a raised, lowered, circled or squared form never.
 FORMS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
-# Fixed value: the long s differs from s on screen although its mapping is <compat>.
-DISTINCT = "ſẛ"
+# Fixed value: the mapping of these is <compat> although they don't look like what they map to (long s, lunate sigma).
+DISTINCT = "ſẛϲϹ"
 #: Characters that have no glyph of their own: all of category Cf but for the visible signs that enclose numbers, and
 #: the fillers and variation selectors.
 VISIBLE_CF = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
