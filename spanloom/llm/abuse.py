@@ -17,11 +17,13 @@ from spanloom.llm.lookalike import plain_forms
 #: Features are hashes of the n-grams of these lengths; a binary feature counts once a sentence.
 BITS, LENGTHS = 18, (3, 4, 5)
 #: Labelled clips, those with the least hashes of their ids, that the classifier is fitted on.
-SAMPLE = 2_500
+SAMPLE = 5_000
 #: Sentences of more words are also scored in windows of so many, at this distance, as full stops may be missing.
 WINDOW, STRIDE = 9, 5
 #: Texts whose features are made, and features whose gradients are summed, at once; they bound the memory of a fit.
 AT_ONCE, BLOCK = 4_000, 1_000_000
+#: Clips of a batch that are scored together.
+CLIPS_AT_ONCE = 500
 #: Steps of each fit, and the penalty on weights.
 STEPS, PENALTY = 60, 2e-6
 #: From so many abusive clips on, a chosen sentence must have this score or more by a fit on other clips.
@@ -258,7 +260,7 @@ def score_clips(clips: DataFrame, classifier: Classifier) -> DataFrame:
     shared = clips.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[a : a + CLIPS_AT_ONCE] for b in batches for a in range(0, len(b), CLIPS_AT_ONCE)):
             parts = [list(dict.fromkeys(units([folded(s) for s in sentences(a, b)]))) for a, b in zip(batch["title"], batch["text"])]
             scores, begin, best = shared.value.scores([u for p in parts for u in p]), 0, []
             for p in parts:

@@ -38,6 +38,8 @@ SEED, DIM, GRAM = 31_337, 4_096, 4
 SAMPLE = 5_000
 #: Letter n-grams whose products with the profiles a worker remembers.
 REMEMBERED = 200_000
+#: Texts whose n-grams are held at once, and documents of a batch that are worked on together.
+AT_ONCE, DOCS_AT_ONCE = 8_000, 1_000
 #: A passage speaks for a language of its own with this many words and letters, and this lead over the next language.
 WHOLE_WORDS, WHOLE_LETTERS, LEAD = 3, 14, 0.02
 
@@ -133,7 +135,7 @@ class Profiles:
     vectors: np.ndarray
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], rounds: int = 3) -> Profiles:
+    def fit(cls, texts: list[str], labels: list[str], rounds: int = 2) -> Profiles:
         """Profiles of labelled documents. Each further round leaves out passages that the last profiles assign to
         another language than their document's label, so that wrong labels and foreign passages lose their weight."""
         pieces, owner = [], []
@@ -150,8 +152,9 @@ class Profiles:
         number = np.array([languages.index(x) for x in owner])
         grams, sizes = packed(pieces)
         distinct, at = np.unique(grams, return_inverse=True)
-        piece = np.repeat(np.arange(len(pieces)), sizes)
-        keep = np.ones(len(pieces), bool)
+        del grams
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        at, keep = at.astype(np.int32), np.ones(len(pieces), bool)
         found = cls(languages, np.zeros((len(languages), DIM), np.float32))
         for again in range(rounds):
             counts = np.zeros((len(languages), len(distinct)), np.float32)
@@ -203,6 +206,9 @@ class Scorer:
         return self.products[at]
 
     def cosines(self, texts: list[str]) -> np.ndarray:
+        """One row a text, one column a language; a bounded number of texts at a time."""
+        if len(texts) > AT_ONCE:
+            return np.concatenate([self.cosines(texts[a : a + AT_ONCE]) for a in range(0, len(texts), AT_ONCE)])
         out = np.zeros((len(texts), len(self.profiles.languages)), np.float32)
         grams, sizes = packed(texts)
         if not len(grams) or not out.shape[1]:
@@ -282,7 +288,7 @@ def detect(docs: DataFrame, profiles: Profiles) -> DataFrame:
         if not kept:
             kept.append(Scorer(shared.value))
         scorer = kept[0]
-        for batch in batches:
+        for batch in (b.iloc[a : a + DOCS_AT_ONCE] for b in batches for a in range(0, len(b), DOCS_AT_ONCE)):
             spans, texts, words, ends = [], [], [], []
             for text in batch["text"]:
                 shown = readable(text) if text else ""
