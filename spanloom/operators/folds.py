@@ -1,4 +1,4 @@
-"""Sequential operators with a small state: caption groups, budgeted chunks, hotwords, smoothing.
+"""Sequential operators with a small state: caption groups and budgeted chunks.
 
 A fold streams over the ordered rows of its sources in Arrow batches and keeps only its state, so a source of any
 length takes bounded memory; sources run side by side.
@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _ENDS = re.compile(r"[.!?؟…]$")
@@ -115,26 +115,3 @@ def budget_chunks(segments: DataFrame, budget: int = 4_500, overlap: int = 2) ->
     t = F.when(F.length(t) > 1_800, F.concat(F.substring(t, 1, 1_400), F.lit(" [excerpt shortened] "), F.right(t, F.lit(350)))).otherwise(t)
     rows = segments.select("source_id", "place", F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), t).alias("line"))
     return ordered_fold(rows, ["source_id"], ["place"], lambda: _Chunks(budget, overlap), "source_id string, chunk_no int, first int, last int, text string")
-
-
-def smoothed(values: DataFrame, keys: list[str], order: str, value: str, keep: float = 0.7) -> DataFrame:
-    """``values`` with <value>_smooth, an exponential average that keeps ``keep`` of the last one; entities are short (the frames of one clip)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    add = lambda acc, x: F.when(acc.isNull(), x).otherwise(acc * keep + x * (1 - keep))
-    return values.withColumn(f"{value}_smooth", F.aggregate(F.collect_list(value).over(w), F.lit(None).cast("double"), add))
-
-
-def followed(positions: DataFrame, keys: list[str], order: str, target: str, width: float, safe: float = 0.25, step: float = 3.0, fast: float = 15.0) -> DataFrame:
-    """``positions`` with <target>_follow: a camera that stays while the target is in its safe zone and else moves by a bounded step."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-
-    def move(acc: Column, x: Column) -> Column:
-        away = x - acc
-        pace = F.when(F.abs(away) > width / 2, F.lit(fast)).otherwise(F.lit(step))
-        return F.when(acc.isNull(), x).when(F.abs(away) <= width * safe, acc).otherwise(acc + F.signum(away) * F.least(F.abs(away), pace))
-
-    return positions.withColumn(f"{target}_follow", F.aggregate(F.collect_list(target).over(w), F.lit(None).cast("double"), move))

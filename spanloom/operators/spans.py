@@ -135,3 +135,23 @@ def nearest_edges(points: DataFrame, spans: DataFrame, point: str, span: tuple[s
     found = rows.filter(F.col("point_id").isNotNull()).join(bins, ["source_id", "_bin"])
     found = found.select("source_id", "point_id", F.coalesce("_oe", "_pe").alias("prev_end"), F.coalesce("_os", "_ns").alias("next_start"))
     return points.join(found, ["source_id", "point_id"], "left")
+
+
+def progress_marks(segments: DataFrame, durations: DataFrame, step: int = 5, rows_step: int = 50) -> DataFrame:
+    """source_id, seg_idx, percent: segments at which progress is reported: the first to reach another ``step`` percent.
+
+    ``durations``: source_id, duration; where it isn't known (null or not positive) every ``rows_step``-th segment is
+    reported, with a null percent. Steps are at most 100 / step a source, and only they are ordered.
+    """
+    d = durations.select("source_id", F.col("duration").alias("_d"))
+    rows = segments.select("source_id", "seg_idx", "end").join(d, "source_id", "left")
+    known = F.coalesce((F.col("_d") > 0) & ~F.isnan("_d"), F.lit(False))
+    end = F.when(F.col("end").isNull() | F.isnan("end") | (F.abs("end") == float("inf")), F.lit(0.0)).otherwise(F.col("end"))
+    percent = F.least(F.lit(100.0), F.greatest(F.lit(0.0), end / F.col("_d") * 100))
+    steps = rows.filter(known).withColumn("percent", F.floor(percent).cast("int")).withColumn("_s", F.floor(percent / step).cast("int")).filter("_s >= 1")
+    first = steps.groupBy("source_id", "_s").agg(F.min(F.struct("seg_idx", "percent")).alias("b"))
+    above = Window.partitionBy("source_id").orderBy("_s").rowsBetween(1, Window.unboundedFollowing)
+    first = first.withColumn("_later", F.min("b.seg_idx").over(above)).filter(F.col("_later").isNull() | (F.col("b.seg_idx") < F.col("_later")))
+    marks = first.select("source_id", "b.seg_idx", "b.percent")
+    other = rows.filter(~known & ((F.col("seg_idx") + 1) % rows_step == 0)).select("source_id", "seg_idx", F.lit(None).cast("int").alias("percent"))
+    return marks.unionByName(other)

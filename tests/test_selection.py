@@ -6,7 +6,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from spanloom.operators import folds, frames, match, queue, select, snap, windows
+from spanloom.operators import folds, frames, match, queue, select, snap, tracking, windows
+from spanloom.operators.spans import progress_marks
 from spanloom.sources import records
 
 CLIP = "source_id string, ordinal long, start double, end double, score double, text string"
@@ -230,9 +231,27 @@ def test_frames(spark):
     assert rows(frames.luma_stats(df, ["clip"])) == [("c", 2.0, 1.0, 10.0, 1.0, 1.0, 2)]
     boxes = spark.createDataFrame([([(9.0, 0.0, 5.0, 5.0), (0.0, 0.0, 1.0, 1.0), (3.0, 0.0, 4.0, 4.0)],)], "b array<struct<x: double, y: double, w: double, h: double>>")
     assert [b.x for b in boxes.select(frames.two_largest(F.col("b"))).first()[0]] == [3.0, 9.0]
-    v = spark.createDataFrame([("c", i, float(x)) for i, x in enumerate((0, 10, 10))], "clip string, i int, x double")
-    assert [round(r.x_smooth, 3) for r in folds.smoothed(v, ["clip"], "i", "x").orderBy("i").collect()] == [0.0, 3.0, 5.1]
-    assert [r.x_follow for r in folds.followed(v, ["clip"], "i", "x", 16.0).orderBy("i").collect()] == [0.0, 10.0 if 10 > 8 else 3.0, 10.0]
+
+
+def test_tracking(spark):
+    v = spark.createDataFrame([("c", i, float(x)) for i, x in enumerate((0, 10, 10))], "clip string, place long, value double")
+    assert [round(r.smooth, 3) for r in tracking.smoothed(v, ["clip"], "clip string").orderBy("place").collect()] == [0.0, 3.0, 5.1]
+    v = spark.createDataFrame([("c", i, float(x)) for i, x in enumerate((50, 52, 58, 90, 90))], "clip string, place long, value double")
+    assert [r.center for r in tracking.followed(v, ["clip"], "clip string", 20.0, 100.0).orderBy("place").collect()] == [50.0, 50.0, 53.0, 68.0, 83.0]
+    face = lambda x, s: (float(x), 0.0, 10.0, 10.0, s)
+    data = [("c", 0, [face(10, 100.0), face(80, 90.0)]), ("c", 1, [face(11, 100.0), face(80, 200.0)]), ("c", 2, [face(80, 5000.0), face(12, 1.0)]), ("c", 3, []), ("c", 40, [face(80, 1.0)])]
+    f = spark.createDataFrame(data, "clip string, place long, faces array<struct<x: double, y: double, w: double, h: double, score: double>>")
+    assert [r.face for r in tracking.speaking_face(f, ["clip"], "clip string", 100.0).orderBy("place").collect()] == [0, 0, 0, None, 2]
+    data = [("c", i / 10, [20.0, 0.0] if i < 15 else [0.0, 20.0], 0.1) for i in range(40)] + [("c", 9.0, None, 0.1)]
+    m = spark.createDataFrame(data, "clip string, place double, moves array<double>, rms double")
+    sides = [r.side for r in tracking.moving_mouth(m, ["clip"], "clip string").orderBy("place").collect()]
+    assert sides[0] is None and sides[10] == 0 and sides[-2] == 1 and sides[-1] is None
+
+
+def test_progress(spark):
+    s = spark.createDataFrame([("s", i, float(e)) for i, e in enumerate((4, 6, 7, 30, 28, 100))] + [("t", i, 1.0) for i in range(60)], "source_id string, seg_idx int, end double")
+    d = spark.createDataFrame([("s", 100.0)], "source_id string, duration double")
+    assert rows(progress_marks(s, d)) == [("s", 1, 6), ("s", 3, 30), ("s", 5, 100), ("t", 49, None)]
 
 
 def test_scans_and_sinks(spark, tmp_path):
