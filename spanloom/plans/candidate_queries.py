@@ -204,6 +204,7 @@ QUERIES = {
 _MS = lambda c, name: f"TRY_CAST(floor({c} * 1000 + 0.5) AS BIGINT) AS {name}"
 _WORD_CHAR = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
 _DURATIONS = f'{SEGS}, d AS (SELECT source_id, max(TRY_CAST(floor("end" * 1000 + 0.5) AS BIGINT)) AS ms, max(TRY_CAST(floor("end" * 1000 + 0.5) AS BIGINT)) / 1000 AS duration FROM segs WHERE {SOUND} GROUP BY ALL)'
+_FIT = lambda length: f"CASE WHEN duration <= 0 OR duration < {length} THEN 0::BIGINT ELSE CAST(floor((duration - {length}) / ({length} * (1::DOUBLE - 0.15::DOUBLE))) AS BIGINT) + 1 END"
 _EXCERPT = "CASE WHEN length(t) <= 1200 THEN t ELSE substr(t, 1, 850) || ' [...] ' || right(t, 350) END"
 SQL = {
     "sliding_windows": f"""WITH {SEGS}, sized AS (SELECT source_id, seg_idx AS first_idx, start, unnest([3, 5, 7]) AS size FROM segs WHERE seg_idx % 2 = 0 AND seg_idx >= 0)
@@ -235,6 +236,16 @@ FROM c LEFT JOIN segs x ON x.source_id = c.source_id AND x.seg_idx = a - 1 LEFT
 met AS (SELECT a.source_id, a.no AS first_word, a.w_start AS start, max(b.w_end) AS stop, arg_max(b.no, {{'e': b.w_end, 'n': b.no}}) AS last_word
   FROM w a JOIN w b ON a.source_id = b.source_id AND b.no >= a.no AND b.w_end - a.w_start <= 60 WHERE a.no % a.step = 0 GROUP BY ALL)
 SELECT source_id, first_word, last_word, {_MS('start', 'start_ms')}, {_MS('stop', 'end_ms')} FROM met WHERE stop - start >= 20""",
+    "weighted_scores": f"""WITH {CLIPS}
+SELECT clip_id, floor((0::DOUBLE + 0.30::DOUBLE * hook_score + 0.20::DOUBLE * content_score + 0.20::DOUBLE * story_score + 0.15::DOUBLE * emotion_score + 0.10::DOUBLE * standalone_score + 0.05::DOUBLE * ending_score) * 100 + 0.5::DOUBLE) / 100 AS weighted FROM clips""",
+    "band_plan": f"""WITH {_DURATIONS}, a AS (
+  SELECT source_id, duration, least(60::DOUBLE, greatest(8::DOUBLE, duration / 10)) AS new, {_FIT('60::DOUBLE')} AS fit60 FROM d),
+b AS (SELECT *, (fit60 < 10 OR duration / 10 < 60) AND new < 60::DOUBLE - 1e-9::DOUBLE AS changed FROM a),
+c AS (SELECT *, CASE WHEN changed THEN new ELSE 60::DOUBLE END AS max_s FROM b),
+e AS (SELECT *, least(20::DOUBLE, max_s) AS low, least(max_s, greatest(8::DOUBLE, max_s * 0.6::DOUBLE)) AS wide FROM c),
+f AS (SELECT *, max_s - low < 1e-9::DOUBLE AND max_s > 8 AND abs(wide - low) > 1e-9::DOUBLE AS narrow, {_FIT('max_s')} AS fits FROM e)
+SELECT source_id, CASE WHEN narrow THEN wide ELSE low END AS min_s, max_s, fits AS clips_that_fit, fits >= 10 AS feasible, changed OR 20 > max_s OR narrow OR fits < 10 AS adapted,
+  CASE WHEN changed OR 20 > max_s OR narrow OR fits < 10 THEN 1 ELSE 2 END AS stride FROM f""",
     "quality_rejects": f"""WITH {CLIPS}, w AS (SELECT *, regexp_extract_all(lower(trim(coalesce(text, ''), ' ')), '{_WORD_CHAR}') AS words FROM clips),
 f AS (SELECT *, len(list_filter(words, lambda x: x IN ('um', 'uh', 'like', 'you know', 'i mean', 'so yeah', 'اه', 'امم', 'يعني بس', 'امم يعني'))) AS fillers, len(words) AS n FROM w)
 SELECT source_id, CASE WHEN NOT coalesce({SOUND}, false) THEN 'invalid_span' WHEN "end" - start < 3 THEN 'too_short' WHEN coalesce(score < 40, true) THEN 'below_threshold'

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators.periods import periods_and_gaps, sound_span
-from spanloom.operators.spans import clamped, containing, coverage, micro_pauses, nearest_edges, overlap_join, overlap_ratio, speech_runs, spoken_words, usable_span
+from spanloom.operators.spans import clamped, containing, coverage, micro_pauses, nearest_edges, overlap_join, overlap_ratio, progress_marks, speech_runs, spoken_words, usable_span
 from spanloom.plans.bases import CANDS, CLIPS, MS, SEGS, SOUND, WORDS, candidates, clips, in_ms, islands_sql, segments, sound_segments
 
 
@@ -76,9 +76,16 @@ def clamp_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cand_id", a.alias("start_s"), b.alias("end_s"), usable_span(F.col("start"), F.col("end"), F.col("d")).alias("usable"))
 
 
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of each source that are the first to reach another five percent of its time."""
+    rows = segments(spark, sf_dir, "end")
+    ends = sound_segments(spark, sf_dir).groupBy("source_id").agg(F.max("end").alias("duration"))
+    return progress_marks(rows, ends)
+
+
 QUERIES = {
     "coverage_by_source": coverage_by_source, "coverage_gaps": coverage_gaps, "activity_runs": activity_runs, "micro_pauses": pauses, "overlap_pairs": overlap_pairs,
-    "words_in_span": words_in_span, "containing_run": containing_run, "nearest_edges": nearest_speech, "clamp_spans": clamp_spans,
+    "words_in_span": words_in_span, "containing_run": containing_run, "nearest_edges": nearest_speech, "clamp_spans": clamp_spans, "progress_marks": progress,
 }
 _SPANS = f"WITH {SEGS}, spans AS (SELECT source_id, {MS} FROM segs WHERE {SOUND}), {islands_sql('spans', 'source_id')}"
 _RUNS = f"""WITH {WORDS}, moved AS (
@@ -112,4 +119,9 @@ SELECT clip_id, (SELECT max("end") FROM g WHERE g.source_id = p.source_id AND g.
 SELECT cand_id, least(greatest(0, least(start, d)), greatest(0, least("end", d))) AS start_s, greatest(greatest(0, least(start, d)), greatest(0, least("end", d))) AS end_s,
   start >= 0 AND start < "end" AND "end" <= d + CAST(0.05 AS DOUBLE) AS usable
 FROM cands JOIN d USING (source_id) WHERE CAST(start AS VARCHAR) <> 'nan' AND CAST("end" AS VARCHAR) <> 'nan'""",
+    "progress_marks": f"""WITH {SEGS}, d AS (SELECT source_id, max("end") AS d FROM segs WHERE {SOUND} GROUP BY ALL),
+p AS (SELECT source_id, seg_idx, d, least(100, greatest(0, CASE WHEN "end" IS NULL OR CAST("end" AS VARCHAR) IN ('nan', 'inf', '-inf') THEN 0 ELSE "end" END / d * 100)) AS p FROM segs JOIN d USING (source_id)),
+q AS (SELECT *, max(floor(p / 5)) OVER (PARTITION BY source_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p)
+SELECT source_id, seg_idx, CAST(floor(p) AS INTEGER) AS percent FROM q WHERE floor(p / 5) >= 1 AND floor(p / 5) > coalesce(before, 0)
+UNION ALL SELECT source_id, seg_idx, NULL FROM segs WHERE source_id NOT IN (SELECT source_id FROM d) AND (seg_idx + 1) % 50 = 0""",
 }
