@@ -24,3 +24,13 @@ def latest_by(df: DataFrame, keys: list[str], columns: list[str], version: str =
 def trimmed(column: str):
     """Text without leading and trailing U+0020; other blanks stay."""
     return F.trim(F.col(column))
+
+
+def hashed_share(rows: DataFrame, key: str, wanted: int, total: int) -> DataFrame:
+    """About twice ``wanted`` of ``total`` rows, those with the least hashes of ``key``; all where there are fewer.
+
+    Before an ordered limit it keeps every task from sending the driver a whole sample of its own.
+    """
+    if total <= 2 * wanted:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(2 * wanted / total * (1 << 40)))

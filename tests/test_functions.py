@@ -150,3 +150,11 @@ def test_rules(spark):
     seg = spark.createDataFrame([("word word", [(0.0, 1.0, "word")]), (None, None)], "text string, words array<struct<start: double, end: double, text: string>>")
     assert rows(correction_counts(seg, rules)) == [("word => term", 3)]
     assert hotwords([("a", "one two"), ("b", "a b c d e f")], "three; one two") == "one two، three"
+
+
+def test_hashed_share(spark):
+    from spanloom.sources.tables import hashed_share
+
+    df = spark.range(20_000)
+    assert hashed_share(df, "id", 10_000, 20_000).count() == 20_000
+    assert 1_800 < hashed_share(df, "id", 1_000, 20_000).count() < 2_200
