@@ -29,13 +29,13 @@ BITS, NARROWEST = 4, 512
 def shingle_sets(rows: DataFrame, group: str, key: str, text: str, words: int, least_words: int) -> DataFrame:
     """group, key, cls (digest of the words), h (distinct hashes of the word n-grams) of texts of ``least_words`` or more.
 
-    Words are maximal runs of letters, marks and numbers of the lower-cased text. Null texts, and texts of fewer words
+    The group is part of what is hashed, so that shingles of different groups are different without their group. Words are maximal runs of letters, marks and numbers of the lower-cased text. Null texts, and texts of fewer words
     than a shingle needs, have no row.
     """
     w = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))
     rows = rows.select(F.col(group).alias("grp"), F.col(key).alias("id"), w.alias("w")).filter(F.col("id").isNotNull())
     rows = rows.filter(F.size("w") >= max(least_words, words))
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(words)]))
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64("grp", *[F.get("w", i + j) for j in range(words)]))
     return rows.select("grp", "id", F.md5(F.array_join("w", " ")).alias("cls"), F.array_distinct(grams).alias("h"))
 
 
@@ -51,7 +51,7 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bits = np.zeros(int(width), dtype=np.uint8)
             bits[np.asarray(h, dtype=np.int64).view(np.uint64) % np.uint64(width)] = 1
             sigs.append(np.packbits(bits, bitorder="little").tobytes())
-        yield batch.drop(columns="h").assign(sig=sigs)
+        yield batch[["rid", "n", "routed"]].assign(sig=sigs)
 
 
 @dataclass
@@ -140,7 +140,7 @@ def forest_pairs(tree: np.ndarray, size: np.ndarray, place: np.ndarray, sig: np.
 def _join_chunk(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Pairs within the groups of ``rows``; in a pair of different blocks only across the two."""
     rows = rows.sort_values(["tree", "n"], kind="stable", ignore_index=True)
-    size, place, ids = rows["n"].to_numpy(np.int64), rows["place"].to_numpy(np.int64), rows["id"].to_numpy(np.int64)
+    size, place, ids = rows["n"].to_numpy(np.int64), rows["place"].to_numpy(np.int64), rows["rid"].to_numpy(np.int64)
     tree, cross, block = rows["tree"].to_numpy(np.int64), (rows["bi"] != rows["bj"]).to_numpy(), rows["b"].to_numpy()
     widths, bits = signature_width(size), rows["sig"].to_numpy()
     found = []
@@ -157,7 +157,7 @@ def _join_chunk(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
         a, b = at[a], at[b]
         ok = (own[a] | own[b]) & (ids[a] != ids[b]) & (~cross[a] | (block[a] != block[b]))
         a, b = a[ok], b[ok]
-        found.append(pd.DataFrame({"grp": rows["grp"].to_numpy()[a], "id_a": np.minimum(ids[a], ids[b]), "id_b": np.maximum(ids[a], ids[b])}))
+        found.append(pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])}))
     return pd.concat(found).drop_duplicates()
 
 
@@ -174,15 +174,15 @@ def _joiner(num: int, den: int):
             if n < CHUNK:
                 continue
             rows = pd.concat(kept, ignore_index=True)
-            keys = rows[["grp", "sh", "bi", "bj"]]
+            keys = rows[["sh", "bi", "bj"]]
             same = (keys == keys.iloc[-1]).all(axis=1).to_numpy()
             ready = rows[~same]
             kept, n = [rows[same]], int(same.sum())
             if not ready.empty:
-                yield _join_chunk(ready.assign(tree=ready.groupby(["grp", "sh", "bi", "bj"], sort=False).ngroup()), num, den)
+                yield _join_chunk(ready.assign(tree=ready.groupby(["sh", "bi", "bj"], sort=False).ngroup()), num, den)
         if n:
             rows = pd.concat(kept, ignore_index=True)
-            yield _join_chunk(rows.assign(tree=rows.groupby(["grp", "sh", "bi", "bj"], sort=False).ngroup()), num, den)
+            yield _join_chunk(rows.assign(tree=rows.groupby(["sh", "bi", "bj"], sort=False).ngroup()), num, den)
 
     return run
 
@@ -190,39 +190,42 @@ def _joiner(num: int, den: int):
 def class_links(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """grp, id_a, id_b (id_a < id_b), shared, na, nb of all pairs of sets whose Jaccard likeness is at least num/den.
 
-    ``sets`` has grp, id, h, one row for each record to join. Every pair is found: two alike sets share a shingle
-    among the first n - ceil(n * num/den) + 1 of each in the order of rising frequency, so each record is sent to the
-    groups of these of its shingles (those that no other record has need no group). A group's records form a signature
-    tree, in blocks where they are many; a task traverses the trees of its groups against themselves. What survives
-    the bound is compared exactly.
+    ``sets`` has grp, id, rid, h, one row for each record to join; rid numbers the rows, and h differs between groups.
+    Every pair is found: two alike sets share a shingle among the first n - ceil(n * num/den) + 1 of each in the order
+    of rising frequency, so each record is sent to the groups of these of its shingles (those that no other record has
+    need no group). A group's records form a signature tree, in blocks where they are many; a task traverses the trees
+    of its groups against themselves. What survives the bound is compared exactly. Single shingles travel as two
+    numbers, shingle and rid; a hot shingle's rows are split by the engine's handling of skewed joins.
     """
     num, den = threshold
     sets = sets.withColumn("n", F.size("h"))
-    shingles = sets.select("grp", "id", "n", F.explode("h").alias("sh"))
-    often = shingles.groupBy("grp", "sh").agg(F.count("*").alias("c")).filter(F.col("c") > 1)
+    shingles = sets.select("rid", F.explode("h").alias("sh"))
+    often = shingles.groupBy("sh").agg(F.count("*").cast("int").alias("c")).filter(F.col("c") > 1)
     order = F.array_sort(F.collect_list(F.struct("c", "sh")))
-    ranked = shingles.join(often, ["grp", "sh"]).groupBy("grp", "id", "n").agg(order.alias("o"))
+    ranked = shingles.join(often, "sh").groupBy("rid").agg(order.alias("o"))
     alone = F.col("n") - F.size("o")
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
     # ceil() of an exact quotient: n * num is a whole number, and the division errs by far less than 1 / den.
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
     routed = F.transform(F.slice("o", 1, F.greatest(F.lit(0), prefix - alone)), lambda x, i: F.struct(x["sh"].alias("sh"), (alone + i).alias("place")))
-    ranked = ranked.select("grp", "id", routed.alias("routed")).filter(F.size("routed") > 0)
-    entries = sets.join(ranked, ["grp", "id"]).select("grp", "id", "n", "h", "routed")
-    schema = "grp string, id bigint, n int, routed array<struct<sh: bigint, place: int>>, sig binary"
-    entries = cut(entries.mapInPandas(_signatures, schema)).select("grp", "id", "n", "sig", F.inline("routed"))
-    large = entries.groupBy("grp", "sh").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
-    entries = entries.join(large, ["grp", "sh"])
+    entries = sets.select("rid", "n", "h").join(ranked, "rid").select("rid", "n", "h", routed.alias("routed")).filter(F.size("routed") > 0)
+    schema = "rid bigint, n int, routed array<struct<sh: bigint, place: int>>, sig binary"
+    entries = cut(entries.mapInPandas(_signatures, schema)).select("rid", "n", "sig", F.inline("routed"))
+    large = entries.groupBy("sh").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
+    entries = entries.join(large, "sh")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    entries = entries.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    entries = entries.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     entries = entries.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    entries = entries.select("grp", "sh", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "id", "n", "place", "sig")
-    entries = entries.repartition("grp", "sh", "bi", "bj").sortWithinPartitions("grp", "sh", "bi", "bj")
-    pairs = entries.mapInPandas(_joiner(num, den), "grp string, id_a bigint, id_b bigint").distinct()
-    side = lambda s: sets.select("grp", F.col("id").alias(f"id_{s}"), F.col("h").alias(f"h_{s}"), F.col("n").alias(f"n{s}"))
-    pairs = pairs.join(side("a"), ["grp", "id_a"]).join(side("b"), ["grp", "id_b"])
+    entries = entries.select("sh", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "rid", "n", "place", "sig")
+    entries = entries.repartition("sh", "bi", "bj").sortWithinPartitions("sh", "bi", "bj")
+    pairs = entries.mapInPandas(_joiner(num, den), "a bigint, b bigint").distinct()
+    side = lambda s: sets.select(F.col("rid").alias(s), F.col("id").alias(f"id_{s}"), F.col("h").alias(f"h_{s}"), F.col("n").alias(f"n{s}"), *(["grp"] if s == "a" else []))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.withColumn("shared", F.size(F.array_intersect("h_a", "h_b")))
-    alike = F.col("shared") * (num + den) >= (F.col("na") + F.col("nb")) * num
-    return pairs.filter(alike).select("grp", "id_a", "id_b", "shared", "na", "nb")
+    found = pairs.filter(F.col("shared") * (num + den) >= (F.col("na") + F.col("nb")) * num)
+    ordered = F.col("id_a") < F.col("id_b")
+    first, second = F.struct(F.col("id_a").alias("id"), F.col("na").alias("n")), F.struct(F.col("id_b").alias("id"), F.col("nb").alias("n"))
+    found = found.select("grp", F.when(ordered, first).otherwise(second).alias("x"), F.when(ordered, second).otherwise(first).alias("y"), "shared")
+    return found.select("grp", F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), "shared", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
 
 
 @dataclass
@@ -242,9 +245,11 @@ def near_duplicates(rows: DataFrame, group: str, key: str, text: str, words: int
     """
     sets = cut(shingle_sets(rows, group, key, text, words, least_words))
     first = F.min(F.struct("id", "h")).alias("f")
-    reps = cut(sets.groupBy("grp", "cls").agg(first).select("grp", "cls", F.col("f.id").alias("id"), F.col("f.h").alias("h")))
+    # The numbers of the rows are made as they are written, and stay.
+    reps = sets.groupBy("grp", "cls").agg(first).select("grp", "cls", F.col("f.id").alias("id"), F.col("f.h").alias("h"), F.monotonically_increasing_id().alias("rid"))
+    reps = cut(reps)
     members = sets.select("grp", "cls", "id").join(reps.select("grp", "cls", F.col("id").alias("class_id")), ["grp", "cls"]).select("grp", "id", "class_id")
-    return NearDuplicates(members, cut(class_links(reps.select("grp", "id", "h"), threshold)))
+    return NearDuplicates(members, cut(class_links(reps.select("grp", "id", "rid", "h"), threshold)))
 
 
 def all_pairs(found: NearDuplicates) -> DataFrame:
