@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.langid import readable
 from spanloom.llm.lookalike import plain_forms
+from spanloom.sources.tables import hashed_share
 
 #: Features are hashes of the n-grams of these lengths; a binary feature counts once a sentence.
 BITS, LENGTHS = 18, (3, 4, 5)
@@ -244,7 +245,8 @@ def fit_classifier(clips: DataFrame, labels: DataFrame, blocklist: DataFrame, sa
     block list is of fixed size; comments and blank lines in it don't count.
     """
     votes = labels.filter(F.col("toxic").isin(0, 1)).groupBy("clip_id").agg(F.avg("toxic").alias("mean")).filter(F.col("mean") != 0.5)
-    rows = clips.join(votes, "clip_id").orderBy(F.xxhash64("clip_id"), "clip_id").limit(sample).select("title", "text", "mean").collect()
+    votes = hashed_share(votes, "clip_id", sample, votes.count())
+    rows = clips.join(votes, "clip_id").orderBy(F.pmod(F.xxhash64("clip_id"), F.lit(1 << 40)), "clip_id").limit(sample).select("title", "text", "mean").collect()
     known = [([folded(s) for s in sentences(r["title"], r["text"])], int(r["mean"] > 0.5)) for r in rows]
     listed = {folded(r["entry"].split("#", 1)[0]).strip() for r in blocklist.select("entry").filter(F.col("entry").isNotNull()).collect()}
     return Classifier.fit(known, sorted(listed - {""}))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.lookalike import plain_forms
+from spanloom.sources.tables import hashed_share
 
 # How labels name each language: codes, English name, own name.
 LABELS = """
@@ -315,7 +316,9 @@ def fit_profiles(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     """Profiles of the languages from at most ``sample`` labelled documents, those with the least hashes of their ids."""
     names = [n for n in NAMES]
     first = F.split(F.lower(F.trim("lang")), "[-_ (]").getItem(0)
-    labelled = docs.filter(F.col("text").isNotNull() & (F.length("text") >= 20) & first.isin(names))
-    rows = labelled.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
+    labelled = docs.filter(first.isin(names))
+    some = hashed_share(labelled, "doc_id", sample, labelled.select("lang").count()).filter(F.length("text") >= 20)
+    order = [F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), F.col("doc_id"), F.col("text")]
+    rows = some.select("doc_id", "text", "lang").orderBy(*order).limit(sample).collect()
     pairs = [(r["text"], label_language(r["lang"])) for r in rows]
     return Profiles.fit([t for t, l in pairs if l in LANGUAGES], [l for _, l in pairs if l in LANGUAGES])
