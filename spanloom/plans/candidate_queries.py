@@ -15,6 +15,7 @@ from spanloom.operators.snap import complete_parts, to_pauses, to_speech, to_wor
 from spanloom.operators.spans import micro_pauses, speech_runs, spoken_words
 from spanloom.operators.windows import anchored_windows, capped, local_priority, merged, sliding_windows, with_context, word_windows
 from spanloom.plans.bases import CANDS, CLIPS, SEGS, SOUND, WORDS, candidates, clips, segments, sound_segments, strip_sql
+from spanloom.plans.lineage import cut
 
 #: Candidates that a source keeps in capped_candidates; small, so that the cap takes effect on small data too.
 KEPT = 8
@@ -134,12 +135,13 @@ def timeline_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapped_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips with their ends moved to word edges, then pauses, then edges of runs of speech."""
-    words = spoken_words(segments(spark, sf_dir, "words"))
+    words = cut(spoken_words(segments(spark, sf_dir, "words")))
     runs = speech_runs(words).select("source_id", (F.col("from_ms") / 1000).alias("r_start"), (F.col("to_ms") / 1000).alias("r_end"))
     ends = words.groupBy("source_id").agg(F.max("w_end").alias("duration"))
     spans = clips(spark, sf_dir, "source_id", "start", "end").filter(sound_span("start", "end")).withColumnRenamed("clip_id", "span_id").join(ends, "source_id")
-    rows = to_word_edges(spans, words, F.col("duration"))
-    rows = to_speech(to_pauses(rows, micro_pauses(words)), runs, F.col("duration"), 90.0)
+    # Each step uses its input three times.
+    rows = cut(to_word_edges(cut(spans), words, F.col("duration")))
+    rows = to_speech(cut(to_pauses(rows, micro_pauses(words))), runs, F.col("duration"), 90.0)
     return rows.select(F.col("span_id").alias("clip_id"), milliseconds("start").alias("start_ms"), milliseconds("end").alias("end_ms"))
 
 
