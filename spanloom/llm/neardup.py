@@ -210,12 +210,16 @@ def class_links(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     entries = sets.select("rid", "n", "h").join(ranked, "rid").select("rid", "n", "h", routed.alias("routed")).filter(F.size("routed") > 0)
     schema = "rid bigint, n int, routed array<struct<sh: bigint, place: int>>, sig binary"
     entries = cut(entries.mapInPandas(_signatures, schema)).select("rid", "n", "sig", F.inline("routed"))
-    large = entries.groupBy("sh").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
-    entries = entries.join(large, "sh")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    entries = entries.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    entries = entries.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    entries = entries.select("sh", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "rid", "n", "place", "sig")
+    # Groups for more than one task are few or none, which their number shows; only where there are any are the entries
+    # joined with them, and else shuffled once.
+    large = cut(entries.groupBy("sh").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK))
+    if large.isEmpty():
+        entries = entries.select("sh", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("b"), "rid", "n", "place", "sig")
+    else:
+        blocks = F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int")
+        entries = entries.join(large, "sh", "left").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+        entries = entries.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        entries = entries.select("sh", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "rid", "n", "place", "sig")
     entries = entries.repartition("sh", "bi", "bj").sortWithinPartitions("sh", "bi", "bj")
     pairs = entries.mapInPandas(_joiner(num, den), "a bigint, b bigint").distinct()
     side = lambda s: sets.select(F.col("rid").alias(s), F.col("id").alias(f"id_{s}"), F.col("h").alias(f"h_{s}"), F.col("n").alias(f"n{s}"), *(["grp"] if s == "a" else []))
