@@ -111,6 +111,22 @@ def with_context(candidates: DataFrame, segments: DataFrame) -> DataFrame:
     return rows.withColumn("context_before", F.coalesce("context_before", F.lit(""))).withColumn("context_after", F.coalesce("context_after", F.lit("")))
 
 
+def numbered_words(words: DataFrame, block: int = 1_024) -> DataFrame:
+    """``words`` (source_id, seg_idx, word_idx, ...) with word_no, a word's place in its source from 0.
+
+    Numbers are summed over the words of a segment, the segments of a block and the blocks of a source, so that no task
+    orders all words, or all segments, of a source.
+    """
+    before = (Window.unboundedPreceding, -1)
+    counts = words.groupBy("source_id", "seg_idx").agg(F.count("*").alias("_n")).withColumn("_b", F.floor(F.col("seg_idx") / block))
+    blocks = counts.groupBy("source_id", "_b").agg(F.sum("_n").alias("_m"))
+    blocks = blocks.select("source_id", "_b", F.coalesce(F.sum("_m").over(Window.partitionBy("source_id").orderBy("_b").rowsBetween(*before)), F.lit(0)).alias("_base"))
+    own = F.coalesce(F.sum("_n").over(Window.partitionBy("source_id", "_b").orderBy("seg_idx").rowsBetween(*before)), F.lit(0))
+    starts = counts.withColumn("_own", own).join(blocks, ["source_id", "_b"]).select("source_id", "seg_idx", (F.col("_base") + F.col("_own")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("source_id", "seg_idx").orderBy("word_idx")) - 1
+    return words.withColumn("_place", place).join(starts, ["source_id", "seg_idx"]).withColumn("word_no", (F.col("_start") + F.col("_place")).cast("long")).drop("_place", "_start")
+
+
 def word_windows(words: DataFrame, shortest: float, longest: float) -> DataFrame:
     """source_id, first_word, last_word, start, end: from anchors a fortieth of the words apart, the longest chunk in the band.
 

@@ -16,7 +16,7 @@ from spanloom.operators.match import pending
 from spanloom.operators.select import accepted, finals, greedy_select
 from spanloom.operators.snap import complete_parts, to_pauses, to_speech, to_word_edges
 from spanloom.operators.spans import micro_pauses, speech_runs, spoken_words
-from spanloom.operators.windows import capped, joined_text, local_priority, merged, sliding_windows, with_context
+from spanloom.operators.windows import capped, joined_text, local_priority, merged, numbered_words, sliding_windows, with_context, word_windows
 from spanloom.plans.lineage import cut
 from spanloom.plans.options import Options
 
@@ -35,7 +35,18 @@ def make_candidates(segments: DataFrame, options: Options, proposals: DataFrame
     if proposals is not None and options.strategy == "hybrid":
         rows = merged(rows, proposals.select(*[c for c in rows.columns if c != "proposed"]).withColumn("proposed", F.lit(True)))
     rows = capped(cut(rows), local_priority(lo, hi, F.col("proposed")), options.most_candidates)
-    return with_context(rows, segments)
+    rows = cut(with_context(rows, segments))
+    return rows.unionByName(_from_words(segments.join(rows.select("source_id").distinct(), "source_id", "left_anti"), lo, hi), allowMissingColumns=True)
+
+
+def _from_words(segments: DataFrame, shortest: float, longest: float) -> DataFrame:
+    """Candidates of sources that have no windows (few or very long segments): spans of timed words within the band."""
+    words = cut(numbered_words(spoken_words(segments)))
+    spans = word_windows(words.select("source_id", "word_no", "w_start", "w_end"), shortest, longest)
+    said = spans.select("source_id", "first_word", F.explode(F.sequence("first_word", "last_word")).alias("word_no")).join(words.select("source_id", "word_no", "word"), ["source_id", "word_no"])
+    texts = said.groupBy("source_id", "first_word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "word"))), lambda x: x["word"]), " ").alias("text"))
+    rows = spans.join(texts, ["source_id", "first_word"]).withColumn("ordinal", F.col("first_word").cast("long"))
+    return rows.select("source_id", "ordinal", "start", "end", "text", F.lit(True).alias("proposed"), F.lit("").alias("context_before"), F.lit("").alias("context_after"))
 
 
 def select_highlights(segments: DataFrame, scorer: Scorer, options: Options, already: DataFrame | None = None, proposals: DataFrame | None = None) -> DataFrame:

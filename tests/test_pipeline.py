@@ -2,7 +2,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from spanloom.operators import review
+from spanloom.operators import review, windows
+from spanloom.operators.spans import spoken_words
 from spanloom.plans.options import Options, preset_name
 from spanloom.plans.pipeline import cover_completely, make_candidates, select_highlights
 
@@ -93,3 +94,12 @@ def test_prompts_and_proposals(spark):
     assert rows(review.before_failures(a).groupBy("source_id").count()) == [("s", 5), ("t", 2)]
     counts = spark.createDataFrame([("a", 3), ("b", 9), ("c", 1)], "rule string, hits long")
     assert [(r.rule, r.total) for r in review.most_frequent(counts, 2).collect()] == [("b", 13), ("a", 13)]
+
+
+def test_words_where_there_are_no_windows(spark):
+    words = [(float(i), i + 0.9, f"w{i}") for i in range(100)]
+    seg = spark.createDataFrame([("long", 0, 0.0, 60.0, "x", words[:60]), ("long", 1, 60.0, 100.0, "x", words[60:])], SEGMENT)
+    numbers = windows.numbered_words(spoken_words(seg), 1)
+    assert [(r.word_no, r.word) for r in numbers.orderBy("word_no").collect()] == [(i, f"w{i}") for i in range(100)]
+    found = make_candidates(seg, Options(shortest=8, longest=10, strategy="windows")).collect()
+    assert found and all(8 <= r.end - r.start <= 10 and r.text.startswith(f"w{int(r.start)} ") for r in found)
