@@ -34,3 +34,13 @@ def hashed_share(rows: DataFrame, key: str, wanted: int, total: int) -> DataFram
     if total <= 2 * wanted:
         return rows
     return rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(2 * wanted / total * (1 << 40)))
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` over two tasks a core or as many as shuffles have, whichever is more.
+
+    For small rows on which much is computed: by their bytes alone they would be put into a few tasks.
+    """
+    spark = rows.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, key)

@@ -158,3 +158,9 @@ def test_hashed_share(spark):
     df = spark.range(20_000)
     assert hashed_share(df, "id", 10_000, 20_000).count() == 20_000
     assert 1_800 < hashed_share(df, "id", 1_000, 20_000).count() < 2_200
+
+
+def test_spread(spark):
+    from spanloom.sources.tables import spread
+
+    assert spread(spark.range(100), "id").rdd.getNumPartitions() >= 8 and spread(spark.range(0), "id").count() == 0
