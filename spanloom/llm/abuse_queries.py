@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.abuse import CUT, fit_classifier, score_clips
-from spanloom.sources.tables import latest_by, table
+from spanloom.sources.tables import latest_by, spread, table
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = latest_by(table(spark, sf_dir, "scored"), ["clip_id"], ["source_id", "title", "text"])
     model = fit_classifier(clips, table(spark, sf_dir, "labels"), table(spark, sf_dir, "blocklist"))
-    return score_clips(clips, model)
+    return score_clips(spread(clips, "clip_id"), model)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
