@@ -102,14 +102,13 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which accepted clips of a source stay without overlap or repetition, after the cap of 600 a source."""
-    rows = capped(accepted(_scored(spark, sf_dir)), F.col("score"))
-    return greedy_select(rows, target=5, longest=60.0).select("source_id", F.col("ordinal").alias("clip_id"), "kept", "conflict")
+    """Which accepted clips of a source stay without overlap or repetition; all of them are decided."""
+    return greedy_select(accepted(_scored(spark, sf_dir)), target=5, longest=60.0).select("source_id", F.col("ordinal").alias("clip_id"), "kept", "conflict")
 
 
 def final_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of the kept clips of each source, numbered in order of time."""
-    rows = capped(accepted(_scored(spark, sf_dir)), F.col("score"))
+    rows = accepted(_scored(spark, sf_dir))
     kept = greedy_select(rows, target=5, longest=60.0).filter("kept").select("source_id", "ordinal", "kept_end")
     best = finals(rows.join(kept, ["source_id", "ordinal"]), 5)
     return best.select("source_id", "index", "clip_id", milliseconds("start").alias("start_ms"), milliseconds("kept_end").alias("end_ms"))
@@ -129,7 +128,7 @@ def alternative_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timeline_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips picked so that each source's timeline is covered."""
     ends = sound_segments(spark, sf_dir).groupBy("source_id").agg(F.max("end").alias("duration"))
-    rows = capped(_scored(spark, sf_dir), F.col("score")).join(ends, "source_id")
+    rows = _scored(spark, sf_dir).join(ends, "source_id")
     return covering_clips(rows).select("source_id", F.col("ordinal").alias("clip_id"), "place")
 
 

@@ -267,3 +267,64 @@ def test_scans_and_sinks(spark, tmp_path):
     assert rows(records.parsed_answers(answers).select("source_id", "entry_no", "echoed", "e_start")) == [("s", 0, "1", 1.5), ("s", 1, None, None)]
     (tmp_path / "v.MP4").write_bytes(b"12")
     assert [r.length for r in records.media_files(spark, str(tmp_path), (".mp4",)).collect()] == [2]
+
+
+def _plain_greedy(clips, order, kept, most_overlap, most_alike):
+    """Each clip against each kept one, in keep order."""
+    dropped = {}
+    for i in order:
+        for k in kept:
+            (s, e, x), (t, f, y) = clips[i], clips[k]
+            if max(0.0, min(e, f) - max(s, t)) / min(e - s, f - t) > most_overlap:
+                dropped[i] = "time"
+                break
+            if most_alike < 1 and x and y and len(x & y) / min(len(x), len(y)) >= most_alike:
+                dropped[i] = "text"
+                break
+        else:
+            kept.append(i)
+    return dropped
+
+
+@pytest.mark.parametrize("most_overlap,most_alike", [(0.15, 0.5), (0.0, 0.9), (0.6, 0.2), (1.0, 0.5), (0.15, 1.0), (0.3, 0.0), (-1.0, 0.5)])
+def test_greedy_as_all_pairs(most_overlap, most_alike):
+    for seed in range(40):
+        r = random.Random(seed)
+        clips = [(s := float(r.randint(0, 300)), s + r.choice((3.0, 10.0, 30.0, 90.0)), frozenset(r.sample("abcdefghijklmnopqrst", r.randint(0, 5)))) for _ in range(60)]
+        order, kept, plain = r.sample(range(60), 60), [], []
+        dropped = select.greedy(clips, order, kept, most_overlap, most_alike)
+        assert dropped == _plain_greedy(clips, order, plain, most_overlap, most_alike) and kept == plain
+
+
+def _plain_cover(clips, duration):
+    left, at, order = list(range(len(clips))), 0.0, []
+    while at < duration - 0.5:
+        reach = [i for i in left if clips[i][1] > at + 0.5]
+        near = [i for i in reach if at - 2.5 <= clips[i][0] <= at + 2.5] or [i for i in reach if at - 6 <= clips[i][0] < at - 2.5]
+        later = [i for i in reach if clips[i][0] > at + 2.5]
+        if not near and not later:
+            break
+        pick = max(near, key=lambda i: (min(clips[i][1], duration), clips[i][2])) if near else min(later, key=lambda i: (clips[i][0], -min(clips[i][1], duration)))
+        left.remove(pick)
+        order.append(pick)
+        at = min(clips[pick][1], duration)
+    return order
+
+
+def test_cover_as_all_clips():
+    for seed in range(60):
+        r = random.Random(seed)
+        clips = [(s := r.randint(0, 400) / 2, s + r.choice((1.0, 5.0, 30.0)), float(r.randint(1, 3))) for _ in range(r.randint(1, 80))]
+        group = pd.DataFrame([("s", i, *c, 190.0) for i, c in enumerate(clips)], columns=["source_id", "ordinal", "start", "end", "score", "duration"])
+        assert list(select._cover()(group)["ordinal"]) == _plain_cover(clips, 190.0)
+
+
+def test_queries_decide_all_clips_of_a_source(spark, monkeypatch):
+    from spanloom.plans import candidate_queries as q
+
+    data = [("s", i, i * 10.0, i * 10.0 + 10, 50.0 + i % 7, f"clip number{i} of many.") for i in range(700)]
+    monkeypatch.setattr(q, "_scored", lambda *_: spark.createDataFrame(data, CLIP).withColumn("clip_id", F.col("ordinal")))
+    monkeypatch.setattr(q, "sound_segments", lambda *_: spark.createDataFrame([("s", 7000.0)], "source_id string, end double"))
+    assert q.greedy(spark, "").filter("kept").count() == 700
+    assert [r.clip_id for r in q.timeline_cover(spark, "").orderBy("place").collect()] == list(range(700))
+    assert rows(q.final_clips(spark, "").select("clip_id")) == [(i,) for i in (6, 13, 20, 27, 34)]
