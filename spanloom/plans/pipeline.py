@@ -16,7 +16,7 @@ from spanloom.operators.match import pending
 from spanloom.operators.select import accepted, finals, greedy_select
 from spanloom.operators.snap import complete_parts, to_pauses, to_speech, to_word_edges
 from spanloom.operators.spans import micro_pauses, speech_runs, spoken_words
-from spanloom.operators.windows import capped, joined_text, local_priority, merged, numbered_words, sliding_windows, with_context, word_windows
+from spanloom.operators.windows import anchored_windows, capped, joined_text, local_priority, merged, numbered_words, sliding_windows, with_context, word_windows
 from spanloom.plans.lineage import cut
 from spanloom.plans.options import Options
 
@@ -30,8 +30,10 @@ def make_candidates(segments: DataFrame, options: Options, proposals: DataFrame
     rows = sliding_windows(segments, options.sizes, options.stride)
     length = F.col("end") - F.col("start")
     rows = rows.filter((length >= max(5.0, 0.5 * lo)) & (length <= 1.5 * hi)).dropDuplicates(["source_id", "first_idx", "last_idx"])
+    rows = cut(rows)
+    rows = rows.unionByName(_grown(segments, rows, options))
     # First and last index make an ordinal that is unique in its source and the same in every run.
-    rows = rows.withColumn("ordinal", F.col("first_idx").cast("long") * 1_000 + (F.col("last_idx") - F.col("first_idx"))).withColumn("proposed", F.lit(False))
+    rows = rows.withColumn("ordinal", F.col("first_idx").cast("long") * 1_000_000 + (F.col("last_idx") - F.col("first_idx"))).withColumn("proposed", F.lit(False))
     if proposals is not None and options.strategy == "hybrid":
         rows = merged(rows, proposals.select(*[c for c in rows.columns if c != "proposed"]).withColumn("proposed", F.lit(True)))
     rows = capped(cut(rows), local_priority(lo, hi, F.col("proposed")), options.most_candidates)
@@ -39,6 +41,20 @@ def make_candidates(segments: DataFrame, options: Options, proposals: DataFrame
     return rows.unionByName(_from_words(segments.join(rows.select("source_id").distinct(), "source_id", "left_anti"), lo, hi), allowMissingColumns=True)
 
 
+def _grown(segments: DataFrame, made: DataFrame, options: Options) -> DataFrame:
+    """Anchored windows of the shortest length or more whose span of segments isn't ``made`` yet, with texts."""
+    lo, hi = options.band
+    spans = anchored_windows(segments, lo, hi, options.stride).filter(F.col("end") - F.col("start") >= lo)
+    spans = cut(spans.join(made.select("source_id", "first_idx", "last_idx"), ["source_id", "first_idx", "last_idx"], "left_anti"))
+    # The segments of an anchor are met once, for all windows that grow from it.
+    reach = spans.groupBy("source_id", "first_idx").agg(F.max("last_idx").alias("_to"))
+    reach = reach.select("source_id", "first_idx", F.explode(F.sequence("first_idx", "_to")).alias("seg_idx"))
+    said = reach.join(segments.select("source_id", "seg_idx", "text"), ["source_id", "seg_idx"])
+    said = said.groupBy("source_id", "first_idx").agg(F.collect_list(F.struct("seg_idx", "text")).alias("_said"))
+    text = joined_text(F.filter("_said", lambda x: x["seg_idx"] <= F.col("last_idx")))
+    return spans.join(said, ["source_id", "first_idx"]).select("source_id", "first_idx", "last_idx", "start", "end", text.alias("text"))
+
+
 def _from_words(segments: DataFrame, shortest: float, longest: float) -> DataFrame:
     """Candidates of sources that have no windows (few or very long segments): spans of timed words within the band."""
     words = cut(numbered_words(spoken_words(segments)))

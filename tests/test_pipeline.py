@@ -103,3 +103,13 @@ def test_words_where_there_are_no_windows(spark):
     assert [(r.word_no, r.word) for r in numbers.orderBy("word_no").collect()] == [(i, f"w{i}") for i in range(100)]
     found = make_candidates(seg, Options(shortest=8, longest=10, strategy="windows")).collect()
     assert found and all(8 <= r.end - r.start <= 10 and r.text.startswith(f"w{int(r.start)} ") for r in found)
+
+
+def test_candidates_grow_from_anchors(spark):
+    seg = spark.createDataFrame(transcript("a", 12) + [("long", 0, 0.0, 25.0, "One.", []), ("long", 1, 25.0, 70.0, "Two.", [])], SEGMENT)
+    found = {(r.source_id, r.ordinal // 1_000_000, r.ordinal % 1_000_000 + 1): r for r in make_candidates(seg, Options(shortest=10, longest=20, strategy="windows")).collect()}
+    slid = {("a", a, n) for a in range(0, 12, 2) for n in (3, 5, 7) if a + n <= 12}
+    grown = {("a", a, n) for a in range(0, 12, 2) for n in range(1, 13 - a) if 10 <= 4 * n - 0.5 <= 30}
+    assert set(found) == slid | grown | {("long", 0, 1)} and len(grown - slid) > 5
+    assert found["a", 2, 4].text == " ".join(f"a says sentence number {i}." for i in range(2, 6)) and found["long", 0, 1].text == "One."
+    assert (found["a", 2, 4].start, found["a", 2, 4].end, found["a", 2, 4].context_after) == (8.0, 23.5, "a says sentence number 6.")
