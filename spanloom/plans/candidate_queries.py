@@ -13,7 +13,7 @@ from spanloom.operators.periods import milliseconds, sound_span
 from spanloom.operators.select import accepted, covering_clips, finals, greedy_select, reject_counts
 from spanloom.operators.snap import complete_parts, to_pauses, to_speech, to_word_edges
 from spanloom.operators.spans import micro_pauses, speech_runs, spoken_words
-from spanloom.operators.windows import anchored_windows, capped, local_priority, merged, sliding_windows, with_context, word_windows
+from spanloom.operators.windows import anchored_windows, capped, local_priority, merged, numbered_words, sliding_windows, with_context, word_windows
 from spanloom.plans.bases import CANDS, CLIPS, SEGS, SOUND, WORDS, candidates, clips, segments, sound_segments, strip_sql
 from spanloom.plans.lineage import cut
 
@@ -70,6 +70,12 @@ def word_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_windows(rows, 20.0, 60.0).select("source_id", "first_word", "last_word", milliseconds("start").alias("start_ms"), milliseconds("end").alias("end_ms"))
 
 
+def source_word_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 to 60 seconds from every fortieth part of the words of each source on, across its segments."""
+    words = cut(numbered_words(spoken_words(segments(spark, sf_dir, "words"))).select("source_id", "word_no", "w_start", "w_end"))
+    return word_windows(words, 20.0, 60.0).select("source_id", "first_word", "last_word", milliseconds("start").alias("start_ms"), milliseconds("end").alias("end_ms"))
+
+
 def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clips(spark, sf_dir, "hook_score", "content_score", "story_score", "emotion_score", "standalone_score", "ending_score")
     return rows.select("clip_id", weighted_score().alias("weighted"))
@@ -196,7 +202,7 @@ def llm_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "sliding_windows": windows, "anchored_windows": anchored, "capped_candidates": capped_candidates, "candidate_priority": candidate_priority, "merged_candidates": merged_candidates,
-    "candidate_context": candidate_context, "word_windows": word_fallback, "weighted_scores": weighted_scores, "quality_rejects": quality_rejects, "nearest_match": nearest_match,
+    "candidate_context": candidate_context, "word_windows": word_fallback, "source_word_windows": source_word_fallback, "weighted_scores": weighted_scores, "quality_rejects": quality_rejects, "nearest_match": nearest_match,
     "resume_pending": resume_pending, "greedy_select": greedy, "final_clips": final_clips, "top3": top3, "alternative_clip": alternative_clip, "timeline_cover": timeline_cover,
     "snapped_clips": snapped_clips, "capacity": capacities, "band_plan": bands, "even_parts": even_parts, "complete_parts": spoken_parts, "caption_groups": captions,
     "budget_chunks": request_chunks, "prompt_excerpts": prompt_excerpts, "llm_batches": llm_batches,

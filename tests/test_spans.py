@@ -92,3 +92,20 @@ def test_nearest_edges_and_containing(spark):
         assert r.next_start == min((s for _, s, _ in spans if s >= r.x), default=None)
     for r in containing(p, g, "x", ("start", "end")).collect():
         assert (r.start, r.end) == min(((s, e) for _, s, e in spans if s <= r.x <= e), default=(None, None))
+
+
+def test_word_windows_cross_segments(spark, monkeypatch):
+    from spanloom.plans import candidate_queries as q
+
+    r = random.Random(3)
+    times = {s: [(float(i) + r.random() / 4, i + 0.5 + r.random() / 4) for i in range(n)] for s, n in (("a", 130), ("b", 45), ("c", 15))}
+    data = [(s, k, [(x, y, "w") for x, y in ws[a : a + 7]]) for s, ws in times.items() for k, a in enumerate(range(0, len(ws), 7))]
+    monkeypatch.setattr(q, "segments", lambda *_: spark.createDataFrame(data, "source_id string, seg_idx int, words array<struct<start: double, end: double, text: string>>"))
+    wanted = set()
+    for s, ws in times.items():
+        for i in range(0, len(ws), max(1, len(ws) // 40)):
+            last = max(k for k in range(i, len(ws)) if ws[k][1] - ws[i][0] <= 60)
+            if ws[last][1] - ws[i][0] >= 20:
+                wanted.add((s, i, last))
+    found = {(x.source_id, x.first_word, x.last_word) for x in q.QUERIES["source_word_windows"](spark, "").collect()}
+    assert found == wanted and len(found) > 20 and not q.word_fallback(spark, "").count()
