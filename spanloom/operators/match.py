@@ -32,6 +32,7 @@ def layered_match(entries: DataFrame, candidates: DataFrame) -> DataFrame:
     batch_no, place, c_start, c_end. In turn: the same span anywhere in the source; the nearest span in the batch; the
     place in the batch that the entry names; its own place, but only in a batch where no entry matched by time and as
     many came back as were sent. Where several candidates have the same span the first one counts.
+    An entry without a batch is matched by its exact span only.
     """
     same = candidates.groupBy("source_id", F.col("c_start").alias("e_start"), F.col("c_end").alias("e_end")).agg(F.min("ordinal").alias("exact"))
     rows = entries.withColumn("entry_id", F.struct("batch_no", "entry_no")).join(same, ["source_id", "e_start", "e_end"], "left")
@@ -39,7 +40,7 @@ def layered_match(entries: DataFrame, candidates: DataFrame) -> DataFrame:
     rows = rows.join(near.select("source_id", "batch_no", "entry_id", F.col("ordinal").alias("near")), ["source_id", "batch_no", "entry_id"], "left")
     sent = candidates.groupBy("source_id", "batch_no").agg(F.count("*").alias("_sent"))
     came = rows.groupBy("source_id", "batch_no").agg(F.count("*").alias("_came"), F.count(F.coalesce("exact", "near")).alias("_timed"))
-    rows = rows.join(sent, ["source_id", "batch_no"], "left").join(came, ["source_id", "batch_no"])
+    rows = rows.join(sent, ["source_id", "batch_no"], "left").join(came, ["source_id", "batch_no"], "left")
     number = F.col("echoed").try_cast("double")
     echoed = F.when((number == F.floor(number)) & (number >= 0) & (number < F.col("_sent")), number.cast("int"))
     own = F.when((F.col("_timed") == 0) & (F.col("_came") == F.col("_sent")), F.col("entry_no").cast("int"))

@@ -95,7 +95,10 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By which layer each clip finds its candidate: clips as the answers to batches of 16 candidates of their run."""
+    """By which layer each clip finds its candidate: clips as the answers to batches of 16 candidates of their run.
+
+    A clip whose candidate isn't known is in no batch: it is found by its exact span or dropped.
+    """
     pool = candidates(spark, sf_dir, "run_id", "cand_idx", "start", "end").filter(sound_span("start", "end") & F.col("cand_idx").isNotNull())
     pool = pool.groupBy("run_id", "cand_idx").agg(F.min(F.struct("cand_id", "start", "end")).alias("c"))
     pool = batches(pool.select(F.col("run_id").alias("source_id"), "cand_idx", F.col("c.cand_id").alias("ordinal"), milliseconds("c.start").cast("double").alias("ms"), milliseconds("c.end").cast("double").alias("me")), ["source_id"], "cand_idx", 16)
@@ -103,7 +106,7 @@ def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = clips(spark, sf_dir, "run_id", "cand_id", "start", "end").filter(sound_span("start", "end"))
     entries = entries.select(F.col("run_id").alias("source_id"), "clip_id", "cand_id", (milliseconds("start") / 1000).alias("e_start"), (milliseconds("end") / 1000).alias("e_end"))
     home = pool.select("source_id", F.col("ordinal").alias("cand_id"), "batch_no")
-    rows = entries.join(home, ["source_id", "cand_id"]).select("source_id", "batch_no", F.col("clip_id").alias("entry_no"), "e_start", "e_end", F.lit(None).cast("string").alias("echoed"))
+    rows = entries.join(home, ["source_id", "cand_id"], "left").select("source_id", "batch_no", F.col("clip_id").alias("entry_no"), "e_start", "e_end", F.lit(None).cast("string").alias("echoed"))
     return layered_match(rows, pool).groupBy("method").agg(F.count("*").alias("entries"))
 
 

@@ -328,3 +328,15 @@ def test_queries_decide_all_clips_of_a_source(spark, monkeypatch):
     assert q.greedy(spark, "").filter("kept").count() == 700
     assert [r.clip_id for r in q.timeline_cover(spark, "").orderBy("place").collect()] == list(range(700))
     assert rows(q.final_clips(spark, "").select("clip_id")) == [(i,) for i in (6, 13, 20, 27, 34)]
+
+
+def test_entries_without_a_batch(spark, monkeypatch):
+    from spanloom.plans import text_queries as q
+
+    entries = [("s", 0, i, 900.0 + i, 950.0, str(3 - i)) for i in range(4)] + [("s", None, 8, 50.0, 90.0, None), ("s", None, 9, 51.0, 90.0, "1")]
+    assert methods(spark, 4, entries) == {i: (3 - i, "index") for i in range(4)} | {8: (1, "exact"), 9: (None, "dropped")}
+    pool = [(1, "r", 0, 0.0, 10.0), (2, "r", 1, 20.0, 30.0)]
+    clips = [(1, "r", 1, 0.0, 10.0), (2, "r", None, 20.0, 30.0), (3, "r", 99, 0.0, 10.0), (4, "r", None, 50.0, 60.0), (5, "other", 1, 0.0, 10.0)]
+    monkeypatch.setattr(q, "candidates", lambda *_: spark.createDataFrame(pool, "cand_id long, run_id string, cand_idx int, start double, end double"))
+    monkeypatch.setattr(q, "clips", lambda *_: spark.createDataFrame(clips, "clip_id long, run_id string, cand_id long, start double, end double"))
+    assert rows(q.layered(spark, "")) == [("dropped", 2), ("exact", 3)]
