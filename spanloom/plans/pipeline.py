@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.planning import weighted_score
 from spanloom.operators.match import pending
-from spanloom.operators.select import accepted, finals, greedy_select
+from spanloom.operators.select import accepted, finals, greedy_select, kept_text
 from spanloom.operators.snap import complete_parts, to_pauses, to_speech, to_word_edges
 from spanloom.operators.spans import micro_pauses, speech_runs, spoken_words
 from spanloom.operators.windows import anchored_windows, capped, joined_text, local_priority, merged, numbered_words, sliding_windows, with_context, word_windows
@@ -91,7 +91,7 @@ def select_highlights(segments: DataFrame, scorer: Scorer, options: Options, alr
     spans = cut(to_pauses(spans, micro_pauses(words)))
     spans = cut(to_speech(spans, runs, F.col("duration"), hi).withColumnRenamed("span_id", "ordinal"))
     kept = greedy_select(spans, options.most_overlap, options.most_alike, options.clips, hi).filter("kept").select("source_id", "ordinal", "kept_end")
-    best = finals(spans.join(kept, ["source_id", "ordinal"]).withColumn("end", F.col("kept_end")), options.clips)
+    best = finals(spans.join(kept, ["source_id", "ordinal"]).withColumn("text", kept_text(hi)).withColumn("end", F.col("kept_end")), options.clips)
     return best.select("source_id", "index", "start", "end", "score", "text")
 
 

@@ -113,3 +113,19 @@ def test_candidates_grow_from_anchors(spark):
     assert set(found) == slid | grown | {("long", 0, 1)} and len(grown - slid) > 5
     assert found["a", 2, 4].text == " ".join(f"a says sentence number {i}." for i in range(2, 6)) and found["long", 0, 1].text == "One."
     assert (found["a", 2, 4].start, found["a", 2, 4].end, found["a", 2, 4].context_after) == (8.0, 23.5, "a says sentence number 6.")
+
+
+def test_trimmed_clips_are_compared_and_returned_as_cut(spark):
+    from spanloom.operators import select
+
+    words = lambda a, n: [f"{a}{i}" for i in range(n)]
+    shared = words("shared", 40)
+    data = [("s", 0, 0.0, 20.0, 90.0, " ".join(shared)), ("s", 1, 100.0, 140.0, 80.0, " ".join(words("own", 30) + shared[:30])), ("s", 2, 200.0, 210.0, 70.0, "short   text stays")]
+    df = spark.createDataFrame(data, "source_id string, ordinal long, start double, end double, score double, text string")
+    found = select.greedy_select(df, most_alike=0.4, target=3, longest=20.0)
+    assert rows(found.select("ordinal", "kept_end", "kept")) == [(0, 20.0, True), (1, 120.0, True), (2, 210.0, True)]
+    texts = rows(df.join(found, ["source_id", "ordinal"]).select("ordinal", select.kept_text(20.0)))
+    assert texts == [(0, data[0][5]), (1, " ".join(words("own", 30))), (2, data[2][5])]
+    assert {r.ordinal: r.kept for r in select.greedy_select(df, most_alike=0.4).collect()}[1] is False
+    parts = [(text, share, " ".join(text.split()[: max(1, round(len(text.split()) * share))]) if text.split() else text) for text in ("a b c d e", "a　b c", " ", "x") for share in (0.1, 0.5, 0.9)]
+    assert all(r[0] == r[1] for r in spark.createDataFrame(parts, "text string, share double, wanted string").select(select.shortened("text", F.col("share")), "wanted").collect())
