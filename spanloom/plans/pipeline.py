@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.planning import weighted_score
 from spanloom.operators.match import pending
+from spanloom.operators.periods import sound_span
 from spanloom.operators.select import accepted, finals, greedy_select, kept_text
-from spanloom.operators.snap import complete_parts, to_pauses, to_speech, to_word_edges
+from spanloom.operators.snap import complete_parts, to_pauses, to_speech, to_word_edges, with_neighbours
 from spanloom.operators.spans import micro_pauses, speech_runs, spoken_words
 from spanloom.operators.windows import anchored_windows, capped, joined_text, local_priority, merged, numbered_words, sliding_windows, with_context, word_windows
 from spanloom.plans.lineage import cut
@@ -69,8 +70,8 @@ def select_highlights(segments: DataFrame, scorer: Scorer, options: Options, alr
     """source_id, index, start, end, score, text: the best clips of each source in order of time.
 
     Segments: source_id, seg_idx, start, end, text, words. Candidates whose span was scored before (``already``: source_id,
-    start, end and the sub-scores) aren't scored again. Rejection, snapping to words, pauses and speech, greedy selection
-    with refill and trimming, and numbering follow in this order. Sources without candidates have no row.
+    start, end and the sub-scores) aren't scored again. Rejection, snapping to words, pauses and speech (or widening by
+    neighbours in sources without words), greedy selection with refill and trimming, and numbering follow in this order. Sources without candidates have no row.
     """
     _, hi = options.band
     candidates = cut(make_candidates(segments, options, proposals))
@@ -85,11 +86,15 @@ def select_highlights(segments: DataFrame, scorer: Scorer, options: Options, alr
     rows = accepted(rows.select("source_id", "ordinal", "start", "end", "text", "score"), options.least_score)
     words = cut(spoken_words(segments))
     ends = segments.groupBy("source_id").agg(F.max("end").alias("duration"))
-    runs = speech_runs(words).select("source_id", (F.col("from_ms") / 1000).alias("r_start"), (F.col("to_ms") / 1000).alias("r_end"))
+    runs = cut(speech_runs(words)).select("source_id", (F.col("from_ms") / 1000).alias("r_start"), (F.col("to_ms") / 1000).alias("r_end"))
     spans = cut(rows.join(ends, "source_id").withColumnRenamed("ordinal", "span_id"))
     spans = cut(to_word_edges(spans, words, F.col("duration")))
     spans = cut(to_pauses(spans, micro_pauses(words)))
-    spans = cut(to_speech(spans, runs, F.col("duration"), hi).withColumnRenamed("span_id", "ordinal"))
+    # Without any run of speech there is nothing to snap to, and neighbouring segments widen a span instead.
+    spoken = runs.select("source_id").distinct()
+    silent = with_neighbours(cut(spans.join(spoken, "source_id", "left_anti")), segments.filter(sound_span("start", "end")), hi)
+    spans = to_speech(spans.join(spoken, "source_id", "left_semi"), runs, F.col("duration"), hi).unionByName(silent)
+    spans = cut(spans.withColumnRenamed("span_id", "ordinal"))
     kept = greedy_select(spans, options.most_overlap, options.most_alike, options.clips, hi).filter("kept").select("source_id", "ordinal", "kept_end")
     best = finals(spans.join(kept, ["source_id", "ordinal"]).withColumn("text", kept_text(hi)).withColumn("end", F.col("kept_end")), options.clips)
     return best.select("source_id", "index", "start", "end", "score", "text")

@@ -129,3 +129,11 @@ def test_trimmed_clips_are_compared_and_returned_as_cut(spark):
     assert {r.ordinal: r.kept for r in select.greedy_select(df, most_alike=0.4).collect()}[1] is False
     parts = [(text, share, " ".join(text.split()[: max(1, round(len(text.split()) * share))]) if text.split() else text) for text in ("a b c d e", "a　b c", " ", "x") for share in (0.1, 0.5, 0.9)]
     assert all(r[0] == r[1] for r in spark.createDataFrame(parts, "text string, share double, wanted string").select(select.shortened("text", F.col("share")), "wanted").collect())
+
+
+def test_sources_without_words_are_widened(spark):
+    seg = spark.createDataFrame([r if r[0] == "a" else (*r[:5], []) for r in transcript("a", 8) + transcript("mute", 8)] + [("mute", 8, float("nan"), 40.0, "x", [])], SEGMENT)
+    options = Options(clips=1, shortest=10, longest=30, strategy="windows", sizes=(3,))
+    only = lambda c: scorer(c).withColumns({x: F.when(F.col("ordinal") == 2_000_002, 99.0).otherwise(45.0) for x in SUB})
+    found = {r.source_id: (r.start, r.end) for r in select_highlights(seg, only, options).collect()}
+    assert found["mute"] == (4.0, 23.5) and found["a"][0] == 8.0
