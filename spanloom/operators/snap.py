@@ -11,14 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.spans import BIN_S, bin_of, bins_of, timed
 
 def _near(points: DataFrame, things: DataFrame, point: str, at: tuple[str, str], reach: float) -> DataFrame:
     """Points (source_id, point_id, point) joined with what touches [point - reach, point + reach]."""
-    bin_ = lambda c: F.floor(c / 60.0).cast("long")
-    p = points.withColumn("_b", F.explode(F.sequence(bin_(F.col(point) - reach), bin_(F.col(point) + reach))))
-    t = things.withColumn("_b", F.explode(F.sequence(bin_(F.col(at[0])), bin_(F.col(at[1])))))
-    met = p.join(t, ["source_id", "_b"]).filter((F.col(at[1]) >= F.col(point) - reach) & (F.col(at[0]) <= F.col(point) + reach))
-    return met.drop("_b").distinct()
+    low, high = F.col(point) - reach, F.col(point) + reach
+    p = points.filter(timed(point, point)).withColumn("_b", F.explode(bins_of(low, high, BIN_S)))
+    t = things.filter(timed(*at)).withColumn("_b", F.explode(bins_of(F.col(at[0]), F.col(at[1]), BIN_S)))
+    # The later of the two beginnings lies in one bin, in which the pair counts.
+    home = F.col("_b") == bin_of(F.greatest(low, F.col(at[0])), BIN_S)
+    return p.join(t, ["source_id", "_b"]).filter((F.col(at[1]) >= low) & (F.col(at[0]) <= high) & home).drop("_b")
 
 
 def to_word_edges(spans: DataFrame, words: DataFrame, limit: Column) -> DataFrame:

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.periods import periods_and_gaps
+from spanloom.operators.periods import milliseconds, periods_and_gaps
 
 #: Seconds of one bin of the joins on time.
 BIN_S = 60.0
+#: Bins are numbered in a circle of so many, so that a span of any length is in no more.
+CIRCLE = 16_384
 
 
 def clamped(start: Column, end: Column, limit: Column) -> tuple[Column, Column]:
@@ -34,18 +36,29 @@ def overlap_ratio(a_start: Column, a_end: Column, b_start: Column, b_end: Column
     return F.when(shorter > 0, shared / shorter).otherwise(F.lit(0.0))
 
 
-def _bin(x: Column, width: float) -> Column:
-    return F.floor(x / width).cast("long")
+def bin_of(x: Column, width: float) -> Column:
+    return F.pmod(F.floor(x / width), F.lit(CIRCLE)).cast("int")
+
+
+def bins_of(start: Column, end: Column, width: float) -> Column:
+    """The bins of a span, each once; times a whole circle apart share one, so what meets in a bin is compared by time too."""
+    number = lambda x: F.floor(x / width).cast("double")
+    first, more = bin_of(start, width), F.least(number(end) - number(start), F.lit(CIRCLE - 1.0)).cast("int")
+    return F.transform(F.sequence(first, first + more), lambda b: F.pmod(b, F.lit(CIRCLE)))
+
+
+def timed(start: str, end: str) -> Column:
+    s, e = F.col(start), F.col(end)
+    return s.isNotNull() & e.isNotNull() & ~F.isnan(s) & ~F.isnan(e) & (F.abs(s) < float("inf")) & (F.abs(e) < float("inf"))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str, str], r: tuple[str, str], bin_s: float = BIN_S) -> DataFrame:
     """Pairs of the same keys whose spans share time (touching is not sharing); columns of both, which must not clash.
 
-    Each span is sent to its bins; a pair counts in the bin where the later of the two starts lies, so it comes once
-    without a distinct. Spans with null or unordered ends meet nothing.
+    Each span, however long, is sent to its bins; a pair counts in the bin where the later of the two starts lies, so
+    it comes once without a distinct. Spans with null, infinite or unordered ends meet nothing.
     """
-    sound = lambda s, e: F.col(s).isNotNull() & F.col(e).isNotNull() & ~F.isnan(F.col(s)) & ~F.isnan(F.col(e)) & (F.col(e) > F.col(s)) & (F.col(e) - F.col(s) < 1e6 * bin_s)
-    spread = lambda df, s, e: df.filter(sound(s, e)).withColumn("_bin", F.explode(F.sequence(_bin(F.col(s), bin_s), _bin(F.col(e), bin_s))))
+    spread = lambda df, s, e: df.filter(timed(s, e) & (F.col(e) > F.col(s))).withColumn("_bin", F.explode(bins_of(F.col(s), F.col(e), bin_s)))
     right = spread(right, *r)
     right = right.select([F.col(c).alias(f"_r_{c}") if c in (*keys, "_bin") else F.col(c) for c in right.columns])
     left = spread(left, *l)
@@ -54,7 +67,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[st
         on = on & (left[k] == right[f"_r_{k}"])
     pairs = left.join(right, on)
     shared = (F.col(r[1]) > F.col(l[0])) & (F.col(r[0]) < F.col(l[1]))
-    home = F.col("_bin") == _bin(F.greatest(F.col(l[0]), F.col(r[0])), bin_s)
+    home = F.col("_bin") == bin_of(F.greatest(F.col(l[0]), F.col(r[0])), bin_s)
     return pairs.filter(shared & home).drop("_bin", "_r__bin", *[f"_r_{k}" for k in keys])
 
 
@@ -71,8 +84,7 @@ def speech_runs(words: DataFrame, gap_ms: int = 450) -> DataFrame:
     Ends are moved by the gap less one millisecond and back, which turns the rule into that of touching spans; the
     period operator bounds what a task holds.
     """
-    ms = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long")
-    spans = words.select("source_id", ms("w_start").alias("s"), (ms("w_end") + (gap_ms - 1)).alias("e"))
+    spans = words.select("source_id", milliseconds("w_start").alias("s"), (milliseconds("w_end") + (gap_ms - 1)).alias("e"))
     runs = periods_and_gaps(spans, ["source_id"], "s", "e").filter("kind = 'period'")
     return runs.select("source_id", "from_ms", (F.col("to_ms") - (gap_ms - 1)).alias("to_ms"))
 
@@ -108,9 +120,9 @@ def containing(points: DataFrame, spans: DataFrame, point: str, span: tuple[str,
     ``points`` needs a column point_id; a span holds its start and its end.
     """
     s, e = span
-    wide = spans.filter(F.col(e) >= F.col(s)).withColumn("_bin", F.explode(F.sequence(_bin(F.col(s), bin_s), _bin(F.col(e), bin_s))))
+    wide = spans.filter(timed(s, e) & (F.col(e) >= F.col(s))).withColumn("_bin", F.explode(bins_of(F.col(s), F.col(e), bin_s)))
     wide = wide.select(*[F.col(c).alias("_src") if c == "source_id" else F.col(c) for c in wide.columns])
-    p = points.withColumn("_pbin", _bin(F.col(point), bin_s))
+    p = points.filter(timed(point, point)).withColumn("_pbin", bin_of(F.col(point), bin_s))
     found = p.join(wide, (p["source_id"] == wide["_src"]) & (p["_pbin"] == wide["_bin"]) & (wide[s] <= p[point]) & (wide[e] >= p[point]))
     best = found.groupBy("source_id", "point_id").agg(F.min(F.struct(s, e)).alias("_b")).select("source_id", "point_id", f"_b.{s}", f"_b.{e}")
     return points.join(best, ["source_id", "point_id"], "left")
@@ -126,7 +138,7 @@ def nearest_edges(points: DataFrame, spans: DataFrame, point: str, span: tuple[s
     rows = points.select("source_id", F.col(point).alias("_x"), F.lit(1).alias("_k"), F.lit(None).cast("double").alias("_e"), F.lit(None).cast("double").alias("_s"), "point_id")
     edge = lambda c, name: spans.select("source_id", F.col(c).alias("_x"), F.lit(1).alias("_k"), (F.col(c) if name == "_e" else F.lit(None).cast("double")).alias("_e"), (F.col(c) if name == "_s" else F.lit(None).cast("double")).alias("_s"), F.lit(None).cast("long").alias("point_id"))
     rows = rows.withColumn("point_id", F.col("point_id").cast("long")).unionByName(edge(e, "_e")).unionByName(edge(s, "_s"))
-    rows = rows.withColumn("_bin", _bin(F.col("_x"), 10 * BIN_S))
+    rows = rows.withColumn("_bin", F.floor(F.col("_x") / (10 * BIN_S)))
     bins = rows.groupBy("source_id", "_bin").agg(F.max("_e").alias("_me"), F.min("_s").alias("_ms"))
     over = Window.partitionBy("source_id").orderBy("_bin")
     bins = bins.select("source_id", "_bin", F.max("_me").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_pe"), F.min("_ms").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_ns"))

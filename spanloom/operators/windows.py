@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import ends_sentence
+from spanloom.operators.periods import sound_span
+from spanloom.operators.spans import bin_of, bins_of, timed
 
 
 def joined_text(rows: Column) -> Column:
@@ -42,23 +44,45 @@ def sliding_windows(segments: DataFrame, sizes: tuple[int, ...] = (3, 5, 7), str
     return windows.select("source_id", "first_idx", (F.col("first_idx") + F.col("size") - 1).alias("last_idx"), "start", "end", "text")
 
 
+def _stops(rows: DataFrame, width: float, block: int = 1_024) -> DataFrame:
+    """source_id, stop_idx, s_end, _bin: rows that end bins later than one that comes after them, in the bins between.
+
+    Only such a row can end the windows of an anchor although rows behind it still end near the anchor. The least bin
+    of the rows behind is summed up for each block of indices, so that no task orders a whole source.
+    """
+    number = F.floor(F.col("end") / width).cast("double")
+    after = (1, Window.unboundedFollowing)
+    rows = rows.select("source_id", "seg_idx", "end", number.alias("_n"), F.floor(F.col("seg_idx") / block).alias("_block"))
+    blocks = rows.groupBy("source_id", "_block").agg(F.min("_n").alias("_m"))
+    blocks = blocks.select("source_id", "_block", F.min("_m").over(Window.partitionBy("source_id").orderBy("_block").rowsBetween(*after)).alias("_far"))
+    near = F.min("_n").over(Window.partitionBy("source_id", "_block").orderBy("seg_idx").rowsBetween(*after))
+    rows = rows.withColumn("_near", near).join(blocks, ["source_id", "_block"]).withColumn("_least", F.least("_near", "_far"))
+    rows = rows.filter(F.col("_least") < F.col("_n"))
+    # The anchor's own bin is that of its start, one bin or more before the end of the row behind.
+    return rows.select("source_id", F.col("seg_idx").alias("stop_idx"), F.col("end").alias("s_end"), F.explode(bins_of((F.col("_least") - 1) * width, F.col("end"), width)).alias("_bin"))
+
+
 def anchored_windows(segments: DataFrame, shortest: float, longest: float, stride: int = 2) -> DataFrame:
     """source_id, first_idx, last_idx, start, end: from every ``stride``-th row on, each reach of ``shortest`` to 1.5 x ``longest`` seconds.
 
-    A window ends before the first row whose end is more than 1.5 x longest after the anchor's start. Anchors meet the
-    rows of their own and the next time bin only.
+    A window ends before the first row whose end is more than 1.5 x longest after the anchor's start, wherever that is.
+    Anchors meet the rows that end in the time bin of their start or the next one; rows that end later count where rows
+    behind them end earlier again (see _stops). Rows without a sound span are passed over.
     """
-    most, least = 1.5 * longest, max(5.0, 0.5 * shortest)
-    sound = segments.filter((F.col("end") > F.col("start")) & ~F.isnan("start") & ~F.isnan("end")).select("source_id", "seg_idx", "start", "end")
-    bin_ = lambda c: F.floor(F.col(c) / most).cast("long")
-    anchors = sound.filter(F.col("seg_idx") % stride == 0).select(F.col("source_id").alias("_s"), F.col("seg_idx").alias("first_idx"), F.col("start").alias("a_start"), F.explode(F.array(bin_("start"), bin_("start") + 1)).alias("_b"))
-    rows = sound.withColumn("_bin", bin_("end"))
-    met = anchors.join(rows, (anchors["_s"] == rows["source_id"]) & (anchors["_b"] == rows["_bin"]) & (rows["seg_idx"] >= anchors["first_idx"]))
-    met = met.filter((F.col("end") - F.col("a_start") <= 2 * most) & (F.col("end") > F.col("a_start")))
+    most = 1.5 * longest
+    sound = segments.filter(sound_span("start", "end") & timed("start", "end")).select("source_id", "seg_idx", "start", "end")
+    anchors = sound.filter(F.col("seg_idx") % stride == 0).select("source_id", F.col("seg_idx").alias("first_idx"), F.col("start").alias("a_start"))
+    met = anchors.withColumn("_bin", F.explode(bins_of(F.col("a_start"), F.col("a_start") + most, most))).join(sound.withColumn("_bin", bin_of(F.col("end"), most)), ["source_id", "_bin"])
+    length = F.col("end") - F.col("a_start")
+    met = met.filter((F.col("seg_idx") >= F.col("first_idx")) & (length > 0) & (length <= 2 * most))
     w = Window.partitionBy("source_id", "first_idx").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, 0)
-    met = met.withColumn("_reach", F.max("end").over(w) - F.col("a_start"))
-    ok = (F.col("_reach") <= most) & (F.col("end") - F.col("a_start") >= least)
-    return met.filter(ok).select("source_id", "first_idx", F.col("seg_idx").alias("last_idx"), F.col("a_start").alias("start"), "end")
+    met = met.withColumn("_reach", F.max("end").over(w) - F.col("a_start")).filter((F.col("_reach") <= most) & (length >= shortest))
+    met = met.select("source_id", "first_idx", F.col("seg_idx").alias("last_idx"), F.col("a_start").alias("start"), "end")
+    ended = anchors.withColumn("_bin", bin_of(F.col("a_start"), most)).join(_stops(sound, most), ["source_id", "_bin"])
+    ended = ended.filter((F.col("stop_idx") >= F.col("first_idx")) & (F.col("s_end") - F.col("a_start") > most))
+    ended = ended.groupBy("source_id", "first_idx").agg(F.min("stop_idx").alias("_stop"))
+    met = met.join(ended, ["source_id", "first_idx"], "left").filter(F.col("_stop").isNull() | (F.col("last_idx") < F.col("_stop")))
+    return met.drop("_stop")
 
 
 def local_priority(shortest: float, longest: float, proposed: Column | None = None) -> Column:

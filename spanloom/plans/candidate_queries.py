@@ -224,7 +224,7 @@ met AS (
   SELECT a.source_id, a.seg_idx AS first_idx, b.seg_idx AS last_idx, a.start, b."end",
     max(b."end") OVER (PARTITION BY a.source_id, a.seg_idx ORDER BY b.seg_idx) - a.start AS reach
   FROM g a JOIN g b ON a.source_id = b.source_id AND b.seg_idx >= a.seg_idx WHERE a.seg_idx % 2 = 0)
-SELECT source_id, first_idx, last_idx, {_MS('start', 'start_ms')}, {_MS('"end"', 'end_ms')} FROM met WHERE reach <= 90 AND "end" - start >= 10""",
+SELECT source_id, first_idx, last_idx, {_MS('start', 'start_ms')}, {_MS('"end"', 'end_ms')} FROM met WHERE reach <= 90 AND "end" - start >= 20""",
     "capped_candidates": f"""WITH {CANDS}, c AS (SELECT source_id, cand_id, start, "end", TRY_CAST(floor("end" * 1000 + 0.5) AS BIGINT) - TRY_CAST(floor(start * 1000 + 0.5) AS BIGINT) AS p FROM cands WHERE {SOUND}),
 n AS (SELECT *, count(*) OVER (PARTITION BY source_id) AS n, CASE WHEN max("end") OVER (PARTITION BY source_id) > 0 THEN max("end") OVER (PARTITION BY source_id) ELSE 1 END AS span FROM c),
 parts AS (SELECT *, row_number() OVER (PARTITION BY source_id, greatest(0, least({KEPT - 1}, CAST(floor(start / span * {KEPT}) AS INTEGER))) ORDER BY p DESC, start, cand_id) AS r FROM n),

@@ -43,9 +43,9 @@ def make_candidates(segments: DataFrame, options: Options, proposals: DataFrame
 
 
 def _grown(segments: DataFrame, made: DataFrame, options: Options) -> DataFrame:
-    """Anchored windows of the shortest length or more whose span of segments isn't ``made`` yet, with texts."""
+    """Anchored windows whose span of segments isn't ``made`` yet, with texts."""
     lo, hi = options.band
-    spans = anchored_windows(segments, lo, hi, options.stride).filter(F.col("end") - F.col("start") >= lo)
+    spans = anchored_windows(segments, lo, hi, options.stride)
     spans = cut(spans.join(made.select("source_id", "first_idx", "last_idx"), ["source_id", "first_idx", "last_idx"], "left_anti"))
     # The segments of an anchor are met once, for all windows that grow from it.
     reach = spans.groupBy("source_id", "first_idx").agg(F.max("last_idx").alias("_to"))

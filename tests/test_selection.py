@@ -134,7 +134,25 @@ def test_windows(spark):
     found = {(r.first_idx, r.last_idx): r.text for r in windows.sliding_windows(df).collect()}
     assert sorted(found) == [(0, 2), (0, 4), (0, 6), (2, 4), (2, 6), (4, 6)] and found[0, 2] == "t0 t1 t2"
     grown = {(r.first_idx, r.last_idx) for r in windows.anchored_windows(df, 10.0, 20.0).collect()}
-    assert grown == {(a, b) for a in (0, 2, 4, 6, 8) for b in range(a, 10) if b != 7 and 5.0 <= (b - a + 1) * 4 <= 30}
+    assert grown == {(a, b) for a in (0, 2, 4, 6, 8) for b in range(a, 10) if b != 7 and 10.0 <= (b - a + 1) * 4 <= 30}
+
+
+def test_anchored_windows_end_at_the_first_row_too_far(spark):
+    """Against brute force, with ends out of order, by little and by much."""
+    random.seed(8)
+    rows_ = [(s, i, i * 3.0, i * 3.0 + random.choice([2.0, *[3.0] * 12, 25.0, 70.0, 4e9])) for s, n in (("a", 120), ("b", 3)) for i in range(n)] + [("b", 3, 9.0, 1.0), ("b", 4, 12.0, 21.0), ("b", 6, None, 30.0)]
+    wanted = set()
+    for source in "ab":
+        own = sorted((i, s, e) for x, i, s, e in rows_ if x == source and s is not None and e > s)
+        for first, start, _ in own:
+            for i, _, end in [r for r in own if r[0] >= first] if first % 2 == 0 else []:
+                if end - start > 30.0:
+                    break
+                if end - start >= 10.0:
+                    wanted.add((source, first, i))
+    df = spark.createDataFrame(rows_, "source_id string, seg_idx int, start double, end double")
+    found = windows.anchored_windows(df, 10.0, 20.0).collect()
+    assert sorted((r.source_id, r.first_idx, r.last_idx) for r in found) == sorted(wanted) and len(wanted) > 60
 
 
 def test_word_windows_stay_in_the_band(spark):

@@ -37,11 +37,21 @@ def test_periods_of_bad_and_no_rows(spark):
 
 
 def test_sound_span_and_rounding(spark):
-    df = spark.createDataFrame([(0.0005, 1.0), (float("nan"), 2.0), (None, 1.0), (2.0, 1.0), (1.0, float("inf"))], "start double, end double")
-    assert [r[0] for r in df.select(sound_span("start", "end")).collect()] == [True, False, False, False, False]
+    df = spark.createDataFrame([(0.0005, 1.0), (float("nan"), 2.0), (None, 1.0), (2.0, 1.0), (1.0, float("inf")), (-3e12, 4e12)], "start double, end double")
+    assert [r[0] for r in df.select(sound_span("start", "end")).collect()] == [True, False, False, False, True, True]
     assert df.limit(1).select(milliseconds("start")).first()[0] == 1
 
 
+def test_spans_of_any_length_count(spark):
+    """Spans of millions of years, beside others of a second, and infinite ones, whose ends are the last that there are."""
+    df = spark.createDataFrame([("a", -3e12, 4e12), ("a", 5e12, 5e12 + 1.0), ("b", 0.0, float("inf"))], "k string, start double, end double")
+    df = df.filter(sound_span("start", "end")).select("k", milliseconds("start").alias("s"), milliseconds("end").alias("e"))
+    assert rows(periods_and_gaps(df, ["k"], "s", "e")) == [("a", "gap", 4 * 10**15, 5 * 10**15), ("a", "period", -3 * 10**15, 4 * 10**15), ("a", "period", 5 * 10**15, 5 * 10**15 + 1000), ("b", "period", 0, 2**61)]
+    a = spark.createDataFrame([("s", 1, 0.0, 3e9), ("s", 2, 10.0, 20.0), ("s", 3, 1e6, 1e6 + 5.0)], "source_id string, i int, s double, e double")
+    b = a.select("source_id", F.col("i").alias("j"), F.col("s").alias("t"), F.col("e").alias("f"))
+    assert rows(overlap_join(a, b, ["source_id"], ("s", "e"), ("t", "f"), 0.5).select("i", "j")) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (3, 3)]
+
+
 def test_coverage_golden(spark):
     spans = spark.createDataFrame([("a", 0, 60_000), ("a", 58_000, 118_000)], "source_id string, s long, e long")
     d = spark.createDataFrame([("a", 120_000), ("none", 10), ("zero", 0)], "source_id string, duration_ms long")
