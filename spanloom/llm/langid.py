@@ -256,8 +256,9 @@ def _document(spans: list[tuple[int, int]], words: list[int], texts: list[str],
             clear = whole
     lang, places = best.copy(), np.flatnonzero(clear)
     for k in np.flatnonzero(~clear):
-        near = places[places < k][-1] if (places < k).any() else places[0]
-        lang[k] = best[near]
+        near = best[places[places < k][-1] if (places < k).any() else places[0]]
+        if near in order[k, :2]:
+            lang[k] = near
     confidence = _confidence(cosines)
     found: dict[int, list[float]] = {}
     for k in places:

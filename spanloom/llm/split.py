@@ -16,6 +16,8 @@ PENALTY = {"part": 0.0, "line": 0.2, "sentence": 0.5, "pause": 1.0, "clause": 2.
 KINDS = list(PENALTY)
 #: A silence between words of this many seconds or more is a natural place.
 PAUSE_S = 0.45
+#: A word stands for its first place within so many characters; further on, the next words must follow within GAP.
+NEAR, GAP = 400, 40
 
 _ENDS = regex.compile(r"(?P<line>[^\S\n]*\n\s*)|(?P<sentence>[.!?…؟。！？۔]+[\"'”’»)\]]*\s+|[。！？]+)|(?P<clause>[,;:،؛、–—]+[\"'”’»)\]]*\s+)|(?P<word>\s+)")
 
@@ -104,20 +106,44 @@ def cut_places(text: str, marks: dict[int, str], limits: Limits) -> list[int]:
     return ends[::-1]
 
 
+def _place(text: str, tokens: list[str], k: int, at: int) -> int:
+    """Where the k-th of ``tokens`` stands in ``text`` from ``at`` on, or -1.
+
+    Near ``at`` its first place counts. Further on, where words were left out in between, it counts if the next token
+    (and the one after it) follows there too, else any word that isn't in the text would skip all up to a like one.
+    """
+    token = tokens[k]
+    i = text.find(token, at)
+    if i < 0 or i <= at + NEAR:
+        return i
+    while i >= 0:
+        end = i + len(token)
+        for after in tokens[k + 1 : k + 3]:
+            j = text.find(after, end, end + len(after) + GAP)
+            if j < 0:
+                break
+            end = j + len(after)
+        else:
+            return i
+        i = text.find(token, i + 1)
+    return -1
+
+
 def word_times(text: str, words) -> tuple[list[tuple[int, int, float | None, float | None]], dict[int, str]]:
     """Words found in ``text`` in their order, as (from, to, start, end), and the pauses between them as marks.
 
-    Words that are null, blank or not in the text are passed over; a pause needs the times of both its words.
+    Words that are null, blank or not in the text are passed over, and what stands in the text but not among the words
+    is skipped, however long it is; a pause needs the times of the two words next to it.
     """
-    found, marks, at, before = [], {}, 0, None
-    for w in words if words is not None else []:
-        token = (w["text"] or "").strip() if w is not None else ""
-        if not token:
-            continue
-        i = text.find(token, at, at + 400 + len(token))
+    spoken = [(t, w) for w in (words if words is not None else []) if w is not None and (t := (w["text"] or "").strip())]
+    tokens, found, marks, at, before = [t for t, _ in spoken], [], {}, 0, None
+    for k, (token, w) in enumerate(spoken):
+        i = _place(text, tokens, k, at)
         if i < 0:
             before = None
             continue
+        if any(c.isalnum() for c in text[at:i]):  # words in between have no times
+            before = None
         s, e = (None if x is None or x != x else float(x) for x in (w["start"], w["end"]))
         if before is not None and s is not None and s - before >= PAUSE_S:
             marks[i] = "pause"

@@ -83,6 +83,21 @@ def test_split_items(spark):
         split.Limits(10, 5)
 
 
+def test_words_after_a_hole_are_found():
+    text = " ".join(f"w{i}" for i in range(300))
+    timed = lambda ks: [{"text": f"w{k}", "start": float(k), "end": k + 0.9} for k in ks]
+    found, marks = split.word_times(text, timed([*range(50), *range(120, 300)]))
+    assert len(found) == 230 and all(text[a:b] == f"w{int(s)}" for a, b, s, _ in found) and not marks
+    strange = timed(range(50)) + [{"text": "w299", "start": 50.0, "end": 51.0}, {"text": "nowhere", "start": None, "end": None}] + timed(range(50, 300))
+    found, _ = split.word_times(text, strange)
+    assert [s for _, _, s, _ in found] == [float(k) for k in range(300)]
+    words = timed(range(300))
+    for w in words[200:]:
+        w["start"] += 1.0
+        w["end"] += 1.0
+    assert split.word_times(text, words)[1] == {text.index("w200"): "pause"}
+
+
 # 3: near duplicates
 
 
@@ -330,6 +345,15 @@ def test_profiles_on_mixed_documents(spark):
     assert langid.detect(df, langid.fit_profiles(df.limit(0))).filter("size(languages) > 0").count() == 0
 
 
+def test_short_foreign_passages_keep_their_language(spark):
+    russian = ["Старая учительница рассказывает историю, пока все ждут.", "Сегодня утром гость объясняет план с улыбкой.", "Никто в комнате не забывает цену свежего хлеба."]
+    profiles = langid.Profiles.fit(ENGLISH * 3 + GERMAN * 3 + russian * 3, ["en"] * 9 + ["de"] * 9 + ["ru"] * 9)
+    text = f"{ENGLISH[0]}\nпривет\n{ENGLISH[1]}\nThe plan\n{GERMAN[0]}"
+    row = langid.detect(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"), profiles).first()
+    assert [(p.lang, text[p.from_char : p.to_char].split("\n")[0]) for p in row.passages][:2] == [("en", ENGLISH[0]), ("ru", "привет")]
+    assert row.languages == ["en", "de"] and [p.lang for p in row.passages] in (["en", "ru", "en", "de"], ["en", "ru", "en", "de", "de"])
+
+
 def test_cosines_are_those_of_the_bundles():
     profiles = langid.Profiles.fit(ENGLISH + GERMAN, ["en"] * 3 + ["de"] * 3)
     text = langid.letters_of(ENGLISH[1])[0]
