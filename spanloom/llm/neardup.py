@@ -2,62 +2,149 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.plans.lineage import cut
+from spanloom.sources.tables import latest_by
 
 #: Shingles and threshold a caller gets who names none; the threshold is a fraction, so that no float decides a tie.
 WORDS, THRESHOLD = 5, (4, 5)
 LEAST_WORDS = 40
-#: Entries of one routing shingle that a task joins with each other; larger groups are split into blocks.
-BLOCK = 4_096
-#: Entries whose trees are built and traversed together.
-CHUNK = 20_000
+#: Entries of one token that a task joins with each other; larger groups are split into blocks.
+BLOCK = 16_384
+#: Entries of one tree and of one task on average, and entries whose trees are traversed together.
+TREE, TASK, CHUNK = 8_192, 250_000, 65_536
 FANOUT = 8
 #: Node pairs of one traversal step.
 STEP = 100_000
-#: Bits of a signature for each shingle of its set, and the narrowest one; widths are powers of two.
-BITS, NARROWEST = 4, 512
+#: Bits of a signature, whatever the length of its text.
+BITS = 384
+#: Counters, of a fixed number, from which the order of the shingles is taken; the first bits of a hash choose one.
+COUNTERS, SLICE = 20, 1_024
+#: Words whose hashes a worker remembers.
+REMEMBERED = 500_000
 
 
-def shingle_sets(rows: DataFrame, group: str, key: str, text: str, words: int, least_words: int) -> DataFrame:
-    """group, key, cls (digest of the words), h (distinct hashes of the word n-grams) of texts of ``least_words`` or more.
+class _Hashes(dict):
+    """64 bits of each word, the same in every process."""
 
-    The group is part of what is hashed, so that shingles of different groups are different without their group. Words are maximal runs of letters, marks and numbers of the lower-cased text. Null texts, and texts of fewer words
-    than a shingle needs, have no row.
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return value
+
+
+_hashes = _Hashes()
+
+
+def shingles(groups: list[str], said: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every word n-gram of texts of single-blank separated words, repeated ones too.
+
+    The group is part of what is hashed, so that the shingles of different groups are different.
     """
-    w = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))
-    rows = rows.select(F.col(group).alias("grp"), F.col(key).alias("id"), w.alias("w")).filter(F.col("id").isNotNull())
-    rows = rows.filter(F.size("w") >= max(least_words, words))
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64("grp", *[F.get("w", i + j) for j in range(words)]))
-    return rows.select("grp", "id", F.md5(F.array_join("w", " ")).alias("cls"), F.array_distinct(grams).alias("h"))
+    parts = [t.split(" ") for t in said]
+    lengths = np.array([len(p) for p in parts], dtype=np.int64)
+    flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(parts)), dtype=np.uint64, count=int(lengths.sum()))
+    many = np.maximum(0, lengths - words + 1)
+    row = np.repeat(np.arange(len(said)), many)
+    at = np.arange(len(row)) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(many) - many), many)
+    h = np.array([_hashes["\0" + g] for g in groups], dtype=np.uint64)[row]
+    for k in range(words):
+        h = (h ^ flat[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return row, h
+
+
+def _texts_of(batch: pa.RecordBatch) -> tuple[list[str], list[str]]:
+    return batch.column("grp").to_pylist(), batch.column("said").to_pylist()
+
+
+def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How many shingles of all texts (grp, said) fall to each of the fixed number of counters."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            _, h = shingles(*_texts_of(batch), words)
+            total += np.bincount((h >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
+        parts = [total[a : a + SLICE] for a in range(0, len(total), SLICE)]
+        some = [k for k, p in enumerate(parts) if p.any()]
+        small = [parts[k].astype(np.uint32 if parts[k].max() < 2**32 else np.uint64) for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([p.tobytes() for p in small], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(*[c.to_pylist() for c in batch.columns]):
+                total[part] = total.get(part, 0) + np.frombuffer(data, np.uint32 if len(data) == 4 * SLICE else np.uint64).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([p.tobytes() for p in total.values()], pa.binary())], names=["part", "counts"])
+
+    schema = "part int, counts binary"
+    out = np.zeros(1 << COUNTERS, np.int64)
+    for r in texts.select("grp", "said").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():
+        out[r["part"] * SLICE : (r["part"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
+    return out
+
+
+def _signatures(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    bits = np.zeros(rows * BITS, np.uint8)
+    bits[row * BITS + (h % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(bits.reshape(rows, BITS), axis=1, bitorder="little")
 
-def signature_width(sizes: np.ndarray) -> np.ndarray:
-    return np.maximum(NARROWEST, 2 ** np.ceil(np.log2(np.maximum(1, sizes) * BITS)).astype(np.int64))
+
+def _entries(counts, words: int, num: int, den: int, tasks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each text, once for each task that it goes to: its size, signature and the tokens by which it goes there."""
+        table = counts.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, h = shingles(*_texts_of(batch), words)
+            often = table[(h >> np.uint64(64 - COUNTERS)).astype(np.int64)]
+            order = np.lexsort((h, often, row))
+            row, h = row[order], h[order]
+            first = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]
+            row, h = row[first], h[first]
+            n = np.bincount(row, minlength=batch.num_rows)
+            sig = _signatures(row, h, batch.num_rows)
+            place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            routed = np.flatnonzero(place < (n + (-n * num) // den + 1)[row])
+            task = ((h[routed] >> np.uint64(16)) % np.uint64(tasks)).astype(np.int64)
+            routed = routed[order := np.lexsort((task, row[routed]))]
+            task, owner = task[order], row[routed]
+            begins = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (task[1:] != task[:-1])])
+            own = owner[begins]
+            tokens = pa.StructArray.from_arrays([pa.array(h[routed].view(np.int64)), pa.array(place[routed].astype(np.int32))], names=["sh", "place"])
+            size = sig.shape[1]
+            sigs = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((np.arange(len(own) + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(sig[own].tobytes())])
+            take = lambda name: batch.column(name).take(pa.array(own))  # noqa: B023, E731
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(owner)].astype(np.int32)), tokens)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(task[begins].astype(np.int32)), take("grp"), take("id"), pa.array(n[own].astype(np.int32)), sigs, lists], names=["task", "grp", "id", "n", "sig", "tokens"]
+            )
+
+    return run
 
 
-def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A bitmap of each row's set h, of which only the routed shingles are kept."""
-    for batch in batches:
-        sigs = []
-        for h, width in zip(batch["h"], signature_width(batch["n"].to_numpy())):
-            bits = np.zeros(int(width), dtype=np.uint8)
-            bits[np.asarray(h, dtype=np.int64).view(np.uint64) % np.uint64(width)] = 1
-            sigs.append(np.packbits(bits, bitorder="little").tobytes())
-        yield batch[["rid", "n", "routed"]].assign(sig=sigs)
+ENTRIES = "task int, grp string, id bigint, n int, sig binary, tokens array<struct<sh: bigint, place: int>>"
 
 
 @dataclass
 class Level:
-    """Nodes of one level: OR of the bitmaps below, ranges of size, the most slack and reach, and where the children are."""
+    """Nodes of one level: OR-combined bitmaps of tokens and of signatures, ranges of size, the most slack and reach, and where the children are."""
 
+    tokens: np.ndarray
     sig: np.ndarray
     low: np.ndarray
     high: np.ndarray
@@ -75,50 +162,62 @@ def _parents(level: Level) -> Level:
     first = np.flatnonzero(within % FANOUT == 0)
     over = lambda f, x: f.reduceat(x, first)
     return Level(
-        np.bitwise_or.reduceat(level.sig, first, axis=0), over(np.minimum, level.low), over(np.maximum, level.high), over(np.maximum, level.slack),
-        over(np.maximum, level.reach), level.tree[first], first, np.diff(np.r_[first, len(level.tree)]),
+        np.bitwise_or.reduceat(level.tokens, first, axis=0), np.bitwise_or.reduceat(level.sig, first, axis=0), over(np.minimum, level.low), over(np.maximum, level.high),
+        over(np.maximum, level.slack), over(np.maximum, level.reach), level.tree[first], first, np.diff(np.r_[first, len(level.tree)]),
     )
 
 
 def _possible(level: Level, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether records below a and b can be alike: sizes fit, and the maximum possible overlap is enough."""
+    """Which pairs of nodes can have alike records below them: sizes fit, and the maximum possible overlap is enough.
+
+    That overlap is nothing where the nodes have no token in common, and else the least of what the first common token
+    can leave (reach) and the bits that the signatures share plus the shingles that share a bit (slack).
+    """
     la, lb = level.low[a], level.low[b]
     need = -(-num * (la + lb) // (num + den))
-    ok = (level.high[a] * den >= lb * num) & (level.high[b] * den >= la * num) & (np.minimum(level.reach[a], level.reach[b]) >= need)
-    at = np.flatnonzero(ok)
+    at = np.flatnonzero((level.high[a] * den >= lb * num) & (level.high[b] * den >= la * num) & (np.minimum(level.reach[a], level.reach[b]) >= need))
+    at = at[(level.tokens[a[at]] & level.tokens[b[at]]).any(axis=1)]
     shared = np.bitwise_count(level.sig[a[at]] & level.sig[b[at]]).sum(axis=1, dtype=np.int64)
-    ok[at] = shared + np.minimum(level.slack[a[at]], level.slack[b[at]]) >= need[at]
-    return ok
+    return at[shared + np.minimum(level.slack[a[at]], level.slack[b[at]]) >= need[at]]
 
 
-def forest_pairs(tree: np.ndarray, size: np.ndarray, place: np.ndarray, sig: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one tree whose likeness may reach num/den, by dual traversal.
+def forest_pairs(tree: np.ndarray, token: np.ndarray, size: np.ndarray, place: np.ndarray, sig: np.ndarray, num: int, den: int, met: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one tree, with the same token, whose likeness may reach num/den, by dual traversal.
 
-    Rows are ordered by tree and size. ``place`` is where the tree's shingle stands in the row's own order: as the
-    first shingle that two sets share, it leaves at most size - place of them. The overlap of two sets is also at most
-    the bits they share and the shingles that share a bit with another one of their set (slack); of two nodes, at most
-    that of their OR-combined bitmaps and the greatest slack below them. Pairs of nodes below the overlap that their
-    least sizes need are dropped with all that is under them.
+    Rows are ordered by tree, token and size. A leaf is one record by one of its tokens, ``place`` is where that stands
+    in the record's own order: as the first token that two sets share, it leaves at most size - place of them. Pairs of
+    nodes below the overlap that their least sizes need are dropped with all that is under them. ``met`` counts, by
+    level, the node pairs that were looked at, and by (level, "kept") those that were not dropped.
     """
     none = np.zeros(0, np.int64)
     if len(tree) < 2:
         return none, none
+    # Tokens are numbered in their tree, so that a bitmap has a bit for each.
+    new = np.r_[True, (tree[1:] != tree[:-1]) | (token[1:] != token[:-1])]
+    number = np.cumsum(new) - 1
+    begins = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+    number = number - np.repeat(number[begins], np.diff(np.r_[begins, len(tree)]))
+    tokens = np.zeros((len(tree), int(number.max()) // 64 + 1), np.uint64)
+    tokens[np.arange(len(tree)), number >> 6] = np.uint64(1) << (number & 63).astype(np.uint64)
     slack = size - np.bitwise_count(sig).sum(axis=1, dtype=np.int64)
-    levels = [Level(sig, size, size, slack, size - place, tree)]
-    while True:
+    levels = [Level(tokens, sig, size, size, slack, size - place, tree)]
+    while len(levels[-1].tree) > len(begins):
         levels.append(_parents(levels[-1]))
-        if len(levels[-1].tree) == len(np.unique(tree)):
-            break
+    if len(levels) == 1:
+        return none, none
     todo = [(len(levels) - 1, np.arange(len(levels[-1].tree)), np.arange(len(levels[-1].tree)))]
     left, right = [], []
     while todo:
         at, a, b = todo.pop()
         keep = _possible(levels[at], a, b, num, den)
+        if met is not None:
+            met[at] += len(a)
+            met[at, "kept"] += len(keep)
+        a, b = a[keep], b[keep]
         if at == 0:
-            left.append(a[keep])
-            right.append(b[keep])
+            left.append(a)
+            right.append(b)
             continue
-        a, b = a[keep], b[keep]
         level = levels[at]
         many = level.count[a] * level.count[b]
         ends = np.cumsum(many)
@@ -137,99 +236,141 @@ def forest_pairs(tree: np.ndarray, size: np.ndarray, place: np.ndarray, sig: np.
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _join_chunk(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Pairs within the groups of ``rows``; in a pair of different blocks only across the two."""
-    rows = rows.sort_values(["tree", "n"], kind="stable", ignore_index=True)
-    size, place, ids = rows["n"].to_numpy(np.int64), rows["place"].to_numpy(np.int64), rows["rid"].to_numpy(np.int64)
-    tree, cross, block = rows["tree"].to_numpy(np.int64), (rows["bi"] != rows["bj"]).to_numpy(), rows["b"].to_numpy()
-    widths, bits = signature_width(size), rows["sig"].to_numpy()
-    found = []
-    for width in np.unique(widths):
-        # Sets that are alike have widths at most a factor of two apart; the wider bitmap is folded.
-        own = widths == width
-        at = np.flatnonzero(own | (widths == 2 * width))
-        sig = np.empty((len(at), int(width) // 64), np.uint64)
-        same = own[at]
-        sig[same] = np.frombuffer(b"".join(bits[at[same]]), np.uint64).reshape(-1, int(width) // 64)
-        wide = np.frombuffer(b"".join(bits[at[~same]]), np.uint64).reshape(-1, 2, int(width) // 64)
-        sig[~same] = wide[:, 0] | wide[:, 1]
-        a, b = forest_pairs(tree[at], size[at], place[at], sig, num, den)
-        a, b = at[a], at[b]
-        ok = (own[a] | own[b]) & (ids[a] != ids[b]) & (~cross[a] | (block[a] != block[b]))
-        a, b = a[ok], b[ok]
-        found.append(pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])}))
-    return pd.concat(found).drop_duplicates()
-
-
-def _joiner(num: int, den: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Batches come ordered by group; whole groups are joined as soon as there are enough rows."""
-        kept: list[pd.DataFrame] = []
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _join_chunk(table: pa.Table, num: int, den: int, met: Counter | None) -> pa.RecordBatch:
+    """Pairs within the trees of ``table``; in a tree of two blocks only across the two."""
+    sig = table.column("sig").combine_chunks()
+    ends = np.frombuffer(sig.buffers()[1], np.int32)[sig.offset : sig.offset + len(sig) + 1]
+    bits = np.frombuffer(sig.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(sig), BITS // 8)
+    _, tree = np.unique(_column(table, "tree"), return_inverse=True)
+    token, size, place, ids = (_column(table, c).astype(np.int64) for c in ("sh", "n", "place", "id"))
+    order = np.lexsort((size, token, tree))
+    a, b = forest_pairs(tree[order], token[order], size[order], place[order], np.ascontiguousarray(bits[order]).view(np.uint64), num, den, met)
+    a, b = order[a], order[b]
+    cross, block = _column(table, "cross"), _column(table, "b")
+    ok = (ids[a] != ids[b]) & (~cross[a] | (block[a] != block[b]))
+    a, b = a[ok], b[ok]
+    group = table.column("grp").combine_chunks().dictionary_encode()
+    found = np.unique(np.stack([group.indices.to_numpy()[a], np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]), axis=1)
+    return pa.RecordBatch.from_arrays([group.dictionary.take(pa.array(found[0])).cast(pa.string()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], names=["grp", "a", "b"])
+
+
+def _joiner(num: int, den: int, report: bool = False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches come ordered by tree; whole trees are joined as soon as there are enough rows."""
+        met: Counter | None = Counter() if report else None
+        kept: list[pa.RecordBatch] = []
         n = 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                kept.append(batch)
+                n += batch.num_rows
+                if n < CHUNK:
+                    continue
+            if not kept:
+                continue
+            table = pa.Table.from_batches(kept)
+            ready = n
+            if batch is not None:
+                trees = _column(table, "tree")
+                ready = int(np.argmax(trees == trees[-1]))  # the last tree may go on
+                kept, n = table.slice(ready).to_batches(), n - ready
+            if ready:
+                out = _join_chunk(table.slice(0, ready), num, den, met)
+                if not report:
+                    yield out
+        if report:
+            levels = sorted(k for k in met if not isinstance(k, tuple))
+            yield pa.RecordBatch.from_arrays([pa.array(levels, pa.int32()), pa.array([met[k] for k in levels], pa.int64()), pa.array([met[k, "kept"] for k in levels], pa.int64())], names=["level", "met", "kept"])
+
+    return run
+
+
+def _routed(reps: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """tree, sh, cross, b, grp, id, n, place, sig: every text by each of its tokens, in the tasks and order of the trees."""
+    num, den = threshold
+    counts = shingle_counts(reps, words)
+    total = int(counts.sum()) * (den - num) // den
+    cores = reps.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-total // TASK), min(2 * cores, total // (TASK // 16)))
+    shared = reps.sparkSession.sparkContext.broadcast(counts)
+    entries = reps.select("grp", "id", "said").mapInArrow(_entries(shared, words, num, den, tasks), ENTRIES)
+    flat = lambda df: df.select("task", "grp", "id", "n", "sig", F.inline("tokens"))
+    trees = max(1, -(-total // (tasks * TREE)))
+    large = None
+    if (counts > BLOCK).any():
+        # A counter is at least as high as each of its shingles' counts, so only these can be those of more than a block.
+        bound = reps.sparkSession.sparkContext.broadcast(np.flatnonzero(counts > BLOCK))
+
+        def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = (batch.column("sh").to_numpy().view(np.uint64) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+                yield batch.filter(pa.array(np.isin(at, bound.value)))
+
+        found = flat(entries).select("sh").mapInArrow(hot, "sh bigint")
+        large = cut(found.groupBy("sh").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK))
+        large = None if large.isEmpty() else large
+    number = lambda sh: F.pmod(sh, F.lit(trees))
+    if large is None:
+        rows = flat(entries.repartitionById(tasks, F.col("task")))
+        rows = rows.select(number(F.col("sh")).alias("tree"), "sh", F.lit(False).alias("cross"), F.lit(0).alias("b"), "grp", "id", "n", "place", "sig")
+        return rows.sortWithinPartitions("tree")
+    rows = flat(entries).join(large, "sh", "left")
+    blocks = F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
+    # Two blocks of a large token have a tree of their own; that two such trees may get one number does no harm.
+    tree = F.when(F.col("m").isNull(), F.col("task") * F.lit(trees) + number(F.col("sh"))).otherwise(F.xxhash64("sh", "i", "j"))
+    rows = rows.select(tree.cast("long").alias("tree"), "sh", (F.col("i") != F.col("j")).alias("cross"), "b", "grp", "id", "n", "place", "sig")
+    return rows.repartition(tasks, "tree").sortWithinPartitions("tree")
+
+
+def _exact(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How many shingles the two texts of each row have, and how many they share."""
         for batch in batches:
             if batch.empty:
                 continue
-            kept.append(batch)
-            n += len(batch)
-            if n < CHUNK:
-                continue
-            rows = pd.concat(kept, ignore_index=True)
-            keys = rows[["sh", "bi", "bj"]]
-            same = (keys == keys.iloc[-1]).all(axis=1).to_numpy()
-            ready = rows[~same]
-            kept, n = [rows[same]], int(same.sum())
-            if not ready.empty:
-                yield _join_chunk(ready.assign(tree=ready.groupby(["sh", "bi", "bj"], sort=False).ngroup()), num, den)
-        if n:
-            rows = pd.concat(kept, ignore_index=True)
-            yield _join_chunk(rows.assign(tree=rows.groupby(["sh", "bi", "bj"], sort=False).ngroup()), num, den)
+            groups, both = batch["grp"].tolist(), []
+            for side in ("said_a", "said_b"):
+                both.append(np.unique(np.stack([x.astype(np.uint64) for x in shingles(groups, batch[side].tolist(), words)]), axis=1))
+            (ra, _), (rb, _) = both
+            together = np.concatenate(both, axis=1)
+            together = together[:, np.lexsort(together[::-1])]
+            twice = together[0, 1:][(together[:, 1:] == together[:, :-1]).all(axis=0)]
+            n = lambda rows: np.bincount(rows.astype(np.int64), minlength=len(batch)).astype(np.int32)  # noqa: B023, E731
+            yield batch[["grp", "id_a", "id_b"]].assign(shared=n(twice), na=n(ra), nb=n(rb))
 
     return run
 
 
-def class_links(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """grp, id_a, id_b (id_a < id_b), shared, na, nb of all pairs of sets whose Jaccard likeness is at least num/den.
+def class_links(reps: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """grp, id_a, id_b (id_a < id_b), shared, na, nb of all pairs of texts whose Jaccard likeness is at least num/den.
 
-    ``sets`` has grp, id, rid, h, one row for each record to join; rid numbers the rows, and h differs between groups.
-    Every pair is found: two alike sets share a shingle among the first n - ceil(n * num/den) + 1 of each in the order
-    of rising frequency, so each record is sent to the groups of these of its shingles (those that no other record has
-    need no group). A group's records form a signature tree, in blocks where they are many; a task traverses the trees
-    of its groups against themselves. What survives the bound is compared exactly. Single shingles travel as two
-    numbers, shingle and rid; a hot shingle's rows are split by the engine's handling of skewed joins.
+    ``reps`` has grp, id, said (the words with one blank between), and is read several times. Every pair is found: two
+    alike sets share a shingle among the first n - ceil(n * num/den) + 1 of each in one order of all shingles, here that
+    of rising counts, so each text is sent to the tasks of these of its shingles, its tokens. The counts only order the
+    shingles; they are kept in a fixed number of counters. In a task, the texts by their tokens form signature trees
+    that are traversed against themselves. What survives the bound is compared exactly.
     """
     num, den = threshold
-    sets = sets.withColumn("n", F.size("h"))
-    shingles = sets.select("rid", F.explode("h").alias("sh"))
-    often = shingles.groupBy("sh").agg(F.count("*").cast("int").alias("c")).filter(F.col("c") > 1)
-    order = F.array_sort(F.collect_list(F.struct("c", "sh")))
-    ranked = shingles.join(often, "sh").groupBy("rid").agg(order.alias("o"))
-    alone = F.col("n") - F.size("o")
-    # ceil() of an exact quotient: n * num is a whole number, and the division errs by far less than 1 / den.
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
-    routed = F.transform(F.slice("o", 1, F.greatest(F.lit(0), prefix - alone)), lambda x, i: F.struct(x["sh"].alias("sh"), (alone + i).alias("place")))
-    entries = sets.select("rid", "n", "h").join(ranked, "rid").select("rid", "n", "h", routed.alias("routed")).filter(F.size("routed") > 0)
-    schema = "rid bigint, n int, routed array<struct<sh: bigint, place: int>>, sig binary"
-    entries = cut(entries.mapInPandas(_signatures, schema)).select("rid", "n", "sig", F.inline("routed"))
-    # Groups for more than one task are few or none, which their number shows; only where there are any are the entries
-    # joined with them, and else shuffled once.
-    large = cut(entries.groupBy("sh").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK))
-    if large.isEmpty():
-        entries = entries.select("sh", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("b"), "rid", "n", "place", "sig")
-    else:
-        blocks = F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int")
-        entries = entries.join(large, "sh", "left").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-        entries = entries.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        entries = entries.select("sh", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "rid", "n", "place", "sig")
-    entries = entries.repartition("sh", "bi", "bj").sortWithinPartitions("sh", "bi", "bj")
-    pairs = entries.mapInPandas(_joiner(num, den), "a bigint, b bigint").distinct()
-    side = lambda s: sets.select(F.col("rid").alias(s), F.col("id").alias(f"id_{s}"), F.col("h").alias(f"h_{s}"), F.col("n").alias(f"n{s}"), *(["grp"] if s == "a" else []))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    pairs = pairs.withColumn("shared", F.size(F.array_intersect("h_a", "h_b")))
-    found = pairs.filter(F.col("shared") * (num + den) >= (F.col("na") + F.col("nb")) * num)
-    ordered = F.col("id_a") < F.col("id_b")
-    first, second = F.struct(F.col("id_a").alias("id"), F.col("na").alias("n")), F.struct(F.col("id_b").alias("id"), F.col("nb").alias("n"))
-    found = found.select("grp", F.when(ordered, first).otherwise(second).alias("x"), F.when(ordered, second).otherwise(first).alias("y"), "shared")
-    return found.select("grp", F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), "shared", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    pairs = _routed(reps, words, threshold).mapInArrow(_joiner(num, den), "grp string, a bigint, b bigint").distinct()
+    side = lambda s: reps.select("grp", F.col("id").alias(s), F.col("said").alias(f"said_{s}"))
+    pairs = pairs.join(side("a"), ["grp", "a"]).join(side("b"), ["grp", "b"])
+    pairs = pairs.select("grp", F.col("a").alias("id_a"), F.col("b").alias("id_b"), "said_a", "said_b")
+    found = pairs.mapInPandas(_exact(words), "grp string, id_a bigint, id_b bigint, shared int, na int, nb int")
+    return found.filter(F.col("shared") * (num + den) >= (F.col("na") + F.col("nb")) * num)
+
+
+def pruning(reps: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """level, met, kept: node pairs that the traversal looked at on each level (0: records), and those it didn't drop."""
+    rows = _routed(reps, words, threshold).mapInArrow(_joiner(*threshold, report=True), "level int, met bigint, kept bigint")
+    return rows.groupBy("level").agg(F.sum("met").alias("met"), F.sum("kept").alias("kept"))
 
 
 @dataclass
@@ -240,20 +381,34 @@ class NearDuplicates:
     links: DataFrame
 
 
-def near_duplicates(rows: DataFrame, group: str, key: str, text: str, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, least_words: int = 0) -> NearDuplicates:
+def classes(rows: DataFrame, group: str, key: str, text: str, words: int, least_words: int = 0, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members (grp, id, cls, class_id) and one text for each class (grp, id, said); see near_duplicates."""
+    w = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))
+    when = F.lit(None).cast("int") if version is None else F.col(version)
+    rows = rows.select(F.col(group).cast("string").alias("grp"), F.col(key).cast("bigint").alias("id"), when.alias("_v"), w.alias("w")).filter(F.col("id").isNotNull() & F.col("grp").isNotNull())
+    said = F.when(F.size("w") >= max(least_words, words), F.array_join("w", " "))
+    rows = rows.select("grp", "id", "_v", said.alias("said"), F.md5(said).alias("cls"))
+    # Digests decide which version counts and what is a copy; a text is shuffled once for each class.
+    one = latest_by(rows.select("grp", "id", "_v", "cls"), ["grp", "id"], ["cls"], "_v").filter(F.col("cls").isNotNull())
+    members = cut(one.join(one.groupBy("grp", "cls").agg(F.min("id").alias("class_id")), ["grp", "cls"]).select("grp", "id", "cls", "class_id"))
+    texts = rows.filter(F.col("cls").isNotNull()).groupBy("grp", "cls").agg(F.first("said").alias("said"))
+    reps = cut(texts.join(members.filter("id = class_id").select("grp", "cls", "id"), ["grp", "cls"]).select("grp", "id", "said"))
+    return members, reps
+
+
+def near_duplicates(
+    rows: DataFrame, group: str, key: str, text: str, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, least_words: int = 0, version: str | None = None
+) -> NearDuplicates:
     """Records whose texts are alike, over the whole table; only records with the same ``group`` are compared.
 
-    Likeness: distinct word n-grams in both, divided by those in either. Records with the same words make a class,
-    however many they are, and only its least id is joined. ``key`` is a whole number, unique in its group; null keys,
-    null texts, empty texts and those of fewer than ``least_words`` words are in no class. Extra columns are dropped.
+    Likeness: distinct word n-grams in both, divided by those in either; words are maximal runs of letters, marks and
+    numbers of the lower-cased text. Records with the same words make a class, however many they are, and only its least
+    id is joined. ``key`` is a whole number; a key that is delivered more than once counts with the text of the greatest
+    ``version`` (a tie is decided by a digest of the words). Null keys and groups, null texts, empty texts and those of
+    fewer than ``least_words`` words, or too few for a shingle, are in no class. Extra columns are dropped.
     """
-    sets = cut(shingle_sets(rows, group, key, text, words, least_words))
-    first = F.min(F.struct("id", "h")).alias("f")
-    # The numbers of the rows are made as they are written, and stay.
-    reps = sets.groupBy("grp", "cls").agg(first).select("grp", "cls", F.col("f.id").alias("id"), F.col("f.h").alias("h"), F.monotonically_increasing_id().alias("rid"))
-    reps = cut(reps)
-    members = sets.select("grp", "cls", "id").join(reps.select("grp", "cls", F.col("id").alias("class_id")), ["grp", "cls"]).select("grp", "id", "class_id")
-    return NearDuplicates(members, cut(class_links(reps.select("grp", "id", "rid", "h"), threshold)))
+    members, reps = classes(rows, group, key, text, words, least_words, version)
+    return NearDuplicates(members.select("grp", "id", "class_id"), cut(class_links(reps, words, threshold)))
 
 
 def all_pairs(found: NearDuplicates) -> DataFrame:

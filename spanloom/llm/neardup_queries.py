@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.neardup import NearDuplicates, all_pairs, groups, near_duplicates
-from spanloom.sources.tables import latest_by, table
+from spanloom.sources.tables import table
 
 #: The statement of the problem fixes three-word sequences, a likeness of 0.6 and texts of 40 words or more.
 WORDS, THRESHOLD, LEAST_WORDS = 3, (3, 5), 40
@@ -15,13 +15,12 @@ WORDS, THRESHOLD, LEAST_WORDS = 3, (3, 5), 40
 def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name, key in (("candidates", "cand_id"), ("scored", "clip_id")):
-        rows = latest_by(table(spark, sf_dir, name), [key], ["text"])
-        parts.append(rows.select(F.lit(name).alias("tbl"), F.col(key).alias("id"), "text"))
+        parts.append(table(spark, sf_dir, name).select(F.lit(name).alias("tbl"), F.col(key).alias("id"), "text", "written_at"))
     return parts[0].unionByName(parts[1])
 
 
 def found(spark: SparkSession, sf_dir: str) -> NearDuplicates:
-    return near_duplicates(speech(spark, sf_dir), "tbl", "id", "text", WORDS, THRESHOLD, LEAST_WORDS)
+    return near_duplicates(speech(spark, sf_dir), "tbl", "id", "text", WORDS, THRESHOLD, LEAST_WORDS, "written_at")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
