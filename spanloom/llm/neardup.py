@@ -27,10 +27,12 @@ TREE, TASK, CHUNK = 8_192, 250_000, 65_536
 FANOUT = 8
 #: Node pairs of one traversal step.
 STEP = 100_000
-#: Bits of a signature, whatever the length of its text.
-BITS = 384
+#: Bits of a signature, and of that of sets of more than LONG shingles, however long the text is.
+BITS, WIDE, LONG = 384, 1_536, 240
 #: Counters, of a fixed number, from which the order of the shingles is taken; the first bits of a hash choose one.
 COUNTERS, SLICE = 20, 1_024
+#: Texts whose shingles are made, and pairs that are compared, at once.
+AT_ONCE = 2_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 500_000
 
@@ -66,6 +68,12 @@ def shingles(groups: list[str], said: list[str], words: int) -> tuple[np.ndarray
     return row, h
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(a, AT_ONCE)
+
+
 def _texts_of(batch: pa.RecordBatch) -> tuple[list[str], list[str]]:
     return batch.column("grp").to_pylist(), batch.column("said").to_pylist()
 
@@ -75,7 +83,7 @@ def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTERS, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             _, h = shingles(*_texts_of(batch), words)
             total += np.bincount((h >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
         parts = [total[a : a + SLICE] for a in range(0, len(total), SLICE)]
@@ -97,19 +105,28 @@ def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
     return out
 
 
-def _signatures(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
-    bits = np.zeros(rows * BITS, np.uint8)
-    bits[row * BITS + (h % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(bits.reshape(rows, BITS), axis=1, bitorder="little")
+def _signatures(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of all sets, one after the other, and how many bytes each has."""
+    width = np.where(n > LONG, WIDE, BITS)
+    starts = np.cumsum(width) - width
+    bits = np.zeros(int(width.sum()), np.uint8)
+    bits[starts[row] + (h % width[row].astype(np.uint64)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little"), width // 8
+
+
+def _gathered(data: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[bytes, bytes]:
+    """Offsets and bytes of the bitmaps of ``rows``."""
+    many = sizes[rows]
+    ends = np.cumsum(many)
+    at = np.repeat((np.cumsum(sizes) - sizes)[rows] - (ends - many), many) + np.arange(int(many.sum()))
+    return np.r_[0, ends].astype(np.int32).tobytes(), data[at].tobytes()
 
 
 def _entries(counts, words: int, num: int, den: int, tasks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each text, once for each task that it goes to: its size, signature and the tokens by which it goes there."""
         table = counts.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             row, h = shingles(*_texts_of(batch), words)
             often = table[(h >> np.uint64(64 - COUNTERS)).astype(np.int64)]
             order = np.lexsort((h, often, row))
@@ -117,7 +134,7 @@ def _entries(counts, words: int, num: int, den: int, tasks: int):
             first = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]
             row, h = row[first], h[first]
             n = np.bincount(row, minlength=batch.num_rows)
-            sig = _signatures(row, h, batch.num_rows)
+            sig, sizes = _signatures(row, h, n)
             place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
             routed = np.flatnonzero(place < (n + (-n * num) // den + 1)[row])
             task = ((h[routed] >> np.uint64(16)) % np.uint64(tasks)).astype(np.int64)
@@ -126,8 +143,7 @@ def _entries(counts, words: int, num: int, den: int, tasks: int):
             begins = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (task[1:] != task[:-1])])
             own = owner[begins]
             tokens = pa.StructArray.from_arrays([pa.array(h[routed].view(np.int64)), pa.array(place[routed].astype(np.int32))], names=["sh", "place"])
-            size = sig.shape[1]
-            sigs = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((np.arange(len(own) + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(sig[own].tobytes())])
+            sigs = pa.Array.from_buffers(pa.binary(), len(own), [None, *map(pa.py_buffer, _gathered(sig, sizes, own))])
             take = lambda name: batch.column(name).take(pa.array(own))  # noqa: B023, E731
             lists = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(owner)].astype(np.int32)), tokens)
             yield pa.RecordBatch.from_arrays(
@@ -240,16 +256,34 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
+def _bitmaps(sig: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bitmaps of BITS bits of all rows, the wider ones folded; those of WIDE bits, and each row's place among these (-1: none)."""
+    ends = np.frombuffer(sig.buffers()[1], np.int32)[sig.offset : sig.offset + len(sig) + 1].astype(np.int64)
+    data = np.frombuffer(sig.buffers()[2], np.uint8)
+    long = np.diff(ends) > BITS // 8
+    at = lambda rows, bits: np.ascontiguousarray(data[ends[:-1][rows][:, None] + np.arange(bits // 8)]).view(np.uint64)
+    wide = at(long, WIDE)
+    narrow = np.empty((len(sig), BITS // 64), np.uint64)
+    narrow[~long] = at(~long, BITS)
+    narrow[long] = np.bitwise_or.reduce(wide.reshape(len(wide), WIDE // BITS, BITS // 64), axis=1)
+    return narrow, wide, np.where(long, np.cumsum(long) - 1, -1)
+
+
 def _join_chunk(table: pa.Table, num: int, den: int, met: Counter | None) -> pa.RecordBatch:
     """Pairs within the trees of ``table``; in a tree of two blocks only across the two."""
-    sig = table.column("sig").combine_chunks()
-    ends = np.frombuffer(sig.buffers()[1], np.int32)[sig.offset : sig.offset + len(sig) + 1]
-    bits = np.frombuffer(sig.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(sig), BITS // 8)
+    sig, wide, place_wide = _bitmaps(table.column("sig").combine_chunks())
     _, tree = np.unique(_column(table, "tree"), return_inverse=True)
     token, size, place, ids = (_column(table, c).astype(np.int64) for c in ("sh", "n", "place", "id"))
     order = np.lexsort((size, token, tree))
-    a, b = forest_pairs(tree[order], token[order], size[order], place[order], np.ascontiguousarray(bits[order]).view(np.uint64), num, den, met)
+    a, b = forest_pairs(tree[order], token[order], size[order], place[order], sig[order], num, den, met)
     a, b = order[a], order[b]
+    both = np.flatnonzero((place_wide[a] >= 0) & (place_wide[b] >= 0))
+    x, y = place_wide[a[both]], place_wide[b[both]]
+    slack = size[place_wide >= 0] - np.bitwise_count(wide).sum(axis=1, dtype=np.int64)
+    enough = np.ones(len(a), bool)
+    shared = np.bitwise_count(wide[x] & wide[y]).sum(axis=1, dtype=np.int64) + np.minimum(slack[x], slack[y])
+    enough[both] = shared * (num + den) >= (size[a[both]] + size[b[both]]) * num
+    a, b = a[enough], b[enough]
     cross, block = _column(table, "cross"), _column(table, "b")
     ok = (ids[a] != ids[b]) & (~cross[a] | (block[a] != block[b]))
     a, b = a[ok], b[ok]
@@ -330,21 +364,23 @@ def _routed(reps: DataFrame, words: int, threshold: tuple[int, int]) -> DataFram
     return rows.repartition(tasks, "tree").sortWithinPartitions("tree")
 
 
+def _distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    first = np.r_[np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (h[1:] != h[:-1])]
+    return row[first], h[first]
+
+
 def _exact(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """How many shingles the two texts of each row have, and how many they share."""
-        for batch in batches:
-            if batch.empty:
-                continue
-            groups, both = batch["grp"].tolist(), []
-            for side in ("said_a", "said_b"):
-                both.append(np.unique(np.stack([x.astype(np.uint64) for x in shingles(groups, batch[side].tolist(), words)]), axis=1))
-            (ra, _), (rb, _) = both
-            together = np.concatenate(both, axis=1)
-            together = together[:, np.lexsort(together[::-1])]
-            twice = together[0, 1:][(together[:, 1:] == together[:, :-1]).all(axis=0)]
-            n = lambda rows: np.bincount(rows.astype(np.int64), minlength=len(batch)).astype(np.int32)  # noqa: B023, E731
-            yield batch[["grp", "id_a", "id_b"]].assign(shared=n(twice), na=n(ra), nb=n(rb))
+        for batch in (b.iloc[a : a + AT_ONCE] for b in batches for a in range(0, len(b), AT_ONCE)):
+            groups = batch["grp"].tolist()
+            row, h = zip(*[_distinct(*shingles(groups, batch[side].tolist(), words)) for side in ("said_a", "said_b")])
+            many = [np.bincount(r, minlength=len(batch)).astype(np.int32) for r in row]
+            either, _ = _distinct(np.concatenate(row), np.concatenate(h))
+            shared = many[0] + many[1] - np.bincount(either, minlength=len(batch)).astype(np.int32)
+            yield batch[["grp", "id_a", "id_b"]].assign(shared=shared, na=many[0], nb=many[1])
 
     return run
 
