@@ -427,7 +427,8 @@ def classes(rows: DataFrame, group: str, key: str, text: str, words: int, least_
     # Digests decide which version counts and what is a copy; a text is shuffled once for each class.
     one = latest_by(rows.select("grp", "id", "_v", "cls"), ["grp", "id"], ["cls"], "_v").filter(F.col("cls").isNotNull())
     members = cut(one.join(one.groupBy("grp", "cls").agg(F.min("id").alias("class_id")), ["grp", "cls"]).select("grp", "id", "cls", "class_id"))
-    texts = rows.filter(F.col("cls").isNotNull()).groupBy("grp", "cls").agg(F.first("said").alias("said"))
+    # Rows without a class fall to one row of each group and out of the join; a filter would make all words twice.
+    texts = rows.groupBy("grp", "cls").agg(F.first("said").alias("said"))
     reps = cut(texts.join(members.filter("id = class_id").select("grp", "cls", "id"), ["grp", "cls"]).select("grp", "id", "said"))
     return members, reps
 
