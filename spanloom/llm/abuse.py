@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata as U
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.langid import readable
-from spanloom.llm.lookalike import plain_forms
+from spanloom.llm.lookalike import Table, plain_forms
 from spanloom.sources.tables import hashed_share
 
 #: Features are hashes of the n-grams of these lengths; a binary feature counts once a sentence.
@@ -21,14 +23,14 @@ BITS, LENGTHS = 18, (3, 4, 5)
 SAMPLE = 5_000
 #: Sentences of more words are also scored in windows of so many, at this distance, as full stops may be missing.
 WINDOW, STRIDE = 9, 5
-#: Texts whose features are made, and features whose gradients are summed, at once; they bound the memory of a fit.
-AT_ONCE, BLOCK = 4_000, 1_000_000
+#: Texts whose features are made at once.
+AT_ONCE = 4_000
 #: Clips of a batch that are scored together.
 CLIPS_AT_ONCE = 500
-#: Steps of each fit, and the penalty on weights.
-STEPS, PENALTY = 60, 2e-6
-#: From so many abusive clips on, a chosen sentence must have this score or more by a fit on other clips.
-CONFIRMED, CONFIRM = 100, 0.05
+#: Parts of the texts that a step of a fit is taken on, rounds over all, of which the last ones' weights count, and the penalty on weights.
+PARTS, ROUNDS, MEAN, PENALTY, RATE, SEED = 10, 7, 2, 2e-4, 0.06, 4_711
+#: The weight of a chosen sentence until a fit on other clips gives it the score of CONFIRM or more.
+DOUBT, CONFIRM = 0.1, 0.05
 #: Added to the counts of each class before their ratio is taken.
 SMOOTH = 0.5
 #: A clip whose best sentence scores this much or more is a case.
@@ -37,12 +39,23 @@ CUT = 0.8
 # Signs that stand for letters in disguised words.
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "€": "e", "!": "i", "|": "i", "+": "t"})
 
-_SENTENCE = regex.compile(r"(?<=[.!?؟。！？…])[\"'”’»)\]]*\s+|[\n\r|]+")
-_TOKEN = regex.compile(r"\S+")
+_SENTENCE = re.compile(r"(?<=[.!?؟。！？…])[\"'”’»)\]]*\s+|[\n\r|]+")
+_SIGNED = re.compile(r"\S*[" + re.escape("".join(map(chr, DISGUISE))) + r"]\S*")
+#: Two single letters, or signs for them, with a sign or blank between: only then may a word be spelled out.
+_SINGLE = re.compile(r"(?:^|[\W_])[^\W_2]\W?[-_.*~+ ]\S\W?(?:[-_.*~+ ]|$)|[$@!][-_.*~+ ]")
 _SPELLED = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?:[\p{L}0134578$@!][\p{M}]*[-_.*~+ ]){2,}[\p{L}0134578$@!][\p{M}]*(?![\p{L}\p{M}\p{N}])")
-_REPEATED = regex.compile(r"(\p{L})\1{2,}")
-_MARKS = regex.compile(r"[ً-ٰٟـ]")
-_NUMBER = regex.compile(r"\p{N}+")
+_JOINTS = str.maketrans("", "", "-_.*~+ ")
+_REPEATED = re.compile(r"([^\W\d_])\1{2,}")
+_MARKS = dict.fromkeys([*range(0x64B, 0x660), 0x670, 0x640])
+
+
+def _read(c: str) -> str:
+    kind = U.category(c)[0]
+    return c if kind in "LM" or c == "*" else "0" if kind == "N" else " "
+
+
+_READ = Table(_read)
+_ZEROS = re.compile("00+")
 
 
 def sentences(title: str | None, text: str | None) -> list[str]:
@@ -57,7 +70,7 @@ def sentences(title: str | None, text: str | None) -> list[str]:
 def _undisguised(m) -> str:
     """One token: signs for letters are read as such where the token also has letters and isn't a plain number."""
     token = m[0]
-    if not any(c.isalpha() for c in token) or token.isalpha():
+    if not any(c.isalpha() for c in token):
         return token
     core = token.rstrip(".,;:!?\"')]؟،")
     return core.translate(DISGUISE) + token[len(core) :]
@@ -65,11 +78,19 @@ def _undisguised(m) -> str:
 
 def folded(sentence: str) -> str:
     """Lower case, Arabic vowel signs gone, spelled-out words joined, disguised letters read, numbers made alike."""
-    text = _MARKS.sub("", sentence.lower())
-    text = _SPELLED.sub(lambda m: regex.sub(r"[-_.*~+ ]", "", m[0]), text)
-    text = _TOKEN.sub(_undisguised, text)
-    text = _REPEATED.sub(r"\1", text)
-    return " " + regex.sub(r"\s+", " ", _NUMBER.sub("0", regex.sub(r"[^\p{L}\p{M}\p{N}*]+", " ", text))).strip() + " "
+    text = sentence.lower()
+    if not text.isascii():
+        text = text.translate(_MARKS)
+    if _SINGLE.search(text):
+        text = _SPELLED.sub(lambda m: m[0].translate(_JOINTS), text)
+    text = _REPEATED.sub(r"\1", _SIGNED.sub(_undisguised, text))
+    return " " + " ".join(_ZEROS.sub("0", text.translate(_READ)).split()) + " "
+
+
+def windows(words: int) -> list[int]:
+    """The first words of the windows of a sentence; each word of a long one is in a window."""
+    last = words - WINDOW
+    return [*range(0, last, STRIDE), last] if words > WINDOW + STRIDE else []
 
 
 def units(found: list[str]) -> list[str]:
@@ -78,8 +99,7 @@ def units(found: list[str]) -> list[str]:
     for sentence in found:
         out.append(sentence)
         words = sentence.split()
-        if len(words) > WINDOW + STRIDE:
-            out += [" " + " ".join(words[a : a + WINDOW]) + " " for a in range(0, len(words) - STRIDE, STRIDE)]
+        out += [" " + " ".join(words[a : a + WINDOW]) + " " for a in windows(len(words))]
     return out
 
 
@@ -105,7 +125,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 at = np.flatnonzero(left > k)
                 mixed = (h[at] ^ (h[at] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
                 parts.append((owner[at] << BITS) | (mixed >> np.uint64(64 - BITS)).astype(np.int64))
-    both = np.unique(np.concatenate(parts))
+    both = np.sort(np.concatenate(parts))
+    both = both[np.r_[np.ones(min(1, len(both)), bool), both[1:] != both[:-1]]]
     return (both & ((1 << BITS) - 1)).astype(np.int32), np.bincount(both >> BITS, minlength=len(texts))
 
 
@@ -128,6 +149,9 @@ class Classifier:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Between 0 and 1 for each folded text."""
         at, sizes = features(texts)
+        return self._scores(at, sizes)
+
+    def _scores(self, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         z = _sums(self.weights[at], sizes) / np.sqrt(np.maximum(1, sizes)) + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
@@ -135,10 +159,10 @@ class Classifier:
     def fit(cls, clips: list[tuple[list[str], int]], words: list[str]) -> Classifier:
         """From labelled clips (folded sentences, label) and listed words, which count as abusive sentences.
 
-        A clip's label says that one of its sentences is abusive, not which, and isn't always right. First each abusive
-        clip's sentence or window with the greatest mean log-count ratio is taken, unless more clean clips hold it. A
-        fit on one half of the clips then chooses anew in the other half and drops clips in which it finds nothing;
-        the classifier is the fit on what is left.
+        A clip's label says that one of its sentences is abusive, not which, and isn't always right. Of each abusive
+        clip the sentence or window with the greatest mean log-count ratio is taken, unless as many clean clips hold it,
+        and weighs little. A fit on one half of the clips then chooses anew in the other half; what it finds there has
+        full weight. The classifier is the fit on all. The steps are the same for any number of clips.
         """
         texts: list[str] = []
         index: dict[str, int] = {}
@@ -151,55 +175,46 @@ class Classifier:
 
         bags = [(np.array([number(s) for s in dict.fromkeys(units(found))], dtype=np.int64), label) for found, label in clips if found]
         listed = np.array([number(f" {w.strip()} ") for w in words], dtype=np.int64)
-        abusive = [bag for bag, label in bags if label]
-        if not len(listed) and not abusive:
+        if not len(listed) and not any(label for _, label in bags):
             return cls(np.zeros(1 << BITS, np.float32), -5.0)
         at, sizes = features(texts)
         ends = np.cumsum(sizes)
         clean, foul = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
         for bag, label in bags:
             (foul if label else clean)[bag] += 1
+        ratio = cls._ratio(at, np.repeat(((foul > 0) & (clean == 0)).astype(np.float32), sizes), np.repeat((clean > 0).astype(np.float32), sizes))
+        score = _sums(ratio[at], sizes) / np.maximum(1, sizes)
+        trust = np.zeros(len(texts), np.float32)
 
-        def scored(model: Classifier) -> np.ndarray:
-            z = _sums(model.weights[at], sizes) / np.sqrt(np.maximum(1, sizes)) + model.bias
-            return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
-
-        def best(bag: np.ndarray, score: np.ndarray, least: float) -> list[int]:
-            i = int(bag[np.argmax(score[bag])])
-            return [i] if score[i] > least and foul[i] > clean[i] else []
-
-        def fitted(chosen: list[int], others: list[np.ndarray], score: np.ndarray | None) -> Classifier:
-            positive = np.zeros(len(texts), bool)
-            positive[chosen] = True
-            positive[listed] = True
-            negative = np.zeros(len(texts), bool)
-            for bag in others:
-                negative[bag] = True
-            negative &= ~positive
-            if score is not None:
-                negative &= (score < 0.8) | (clean > 2)
-            use = np.flatnonzero(positive | negative)
+        def fitted(which: list[int]) -> Classifier:
+            """The fit on some of the clips, by what is chosen of the abusive ones."""
+            weight, seen = np.zeros(len(texts), np.float32), np.zeros(len(texts), bool)
+            weight[listed] = 1.0
+            for k in which:
+                bag, label = bags[k]
+                if not label:
+                    seen[bag] = True
+                elif chosen[k] >= 0:
+                    weight[chosen[k]] = np.maximum(weight[chosen[k]], trust[chosen[k]])
+            use = np.flatnonzero((weight > 0) | seen)
             rows = np.concatenate([at[ends[i] - sizes[i] : ends[i]] for i in use])
-            return cls._fit_rows(rows, sizes[use], positive[use].astype(np.float32))
+            return cls._fit_rows(rows, sizes[use], weight[use])
 
-        ratio = cls._ratio(at, np.repeat(((foul > 0) & (clean == 0)).astype(np.float32), sizes), np.repeat((clean > 0).astype(np.float32), sizes))
-        score = _sums(ratio[at], sizes) / np.maximum(1, sizes)
-        first = [best(bag, score, 0.0) if label else [] for bag, label in bags]
-        if len(abusive) < CONFIRMED:
-            return fitted([i for x in first for i in x], [bag for bag, label in bags if not label], None)
-        halves = [[k for k in range(len(bags)) if k % 2 == h] for h in (0, 1)]
-        models = [fitted([i for k in half for i in first[k]], [bags[k][0] for k in half if not bags[k][1]], None) for half in halves]
-        other = np.zeros(len(texts))
-        chosen: list[int] = []
-        for half, model in zip(halves, models[::-1]):
-            score = scored(model)
-            for k in half:
+        def choose(which: list[int], score: np.ndarray, least: float, then: float) -> None:
+            for k in which:
                 bag, label = bags[k]
-                if label:
-                    chosen += best(bag, score, CONFIRM)
-                else:
-                    other[bag] = np.maximum(other[bag], score[bag])
-        return fitted(chosen, [bag for bag, label in bags if not label], other)
+                best = int(bag[np.argmax(score[bag])])
+                if label and score[best] > least and foul[best] > clean[best]:
+                    chosen[k], trust[best] = best, then
+
+        everything = list(range(len(bags)))
+        chosen = [-1] * len(bags)
+        choose(everything, score, 0.0, DOUBT)
+        halves = [everything[h::2] for h in (0, 1)]
+        models = [fitted(half) for half in halves]
+        for half, model in zip(halves, models[::-1]):
+            choose(half, model._scores(at, sizes), CONFIRM, 1.0)
+        return fitted(everything)
 
     @staticmethod
     def _ratio(at: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
@@ -211,30 +226,36 @@ class Classifier:
         return ratio
 
     @classmethod
-    def _fit_rows(cls, at: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> Classifier:
-        """Logistic regression on binary features times their log-count ratios; abusive ones have a quarter of the weight."""
-        n = 1 << BITS
+    def _fit_rows(cls, at: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> Classifier:
+        """Logistic regression on binary features times their log-count ratios. ``weight`` is that of an abusive text, 0 for others; together the abusive ones weigh a quarter."""
+        n, y = 1 << BITS, (weight > 0).astype(np.float32)
         ratio = cls._ratio(at, np.repeat(y, sizes), np.repeat(1 - y, sizes)).astype(np.float32)
         root = (1.0 / np.sqrt(np.maximum(1, sizes))).astype(np.float32)
-        balance = np.where(y > 0, 0.25 / max(1.0, y.sum()), 0.75 / max(1.0, (1 - y).sum()))
+        balance = np.where(y > 0, 0.25 * weight / max(1.0, weight.sum()), 0.75 / max(1.0, (1 - y).sum()))
+        # Steps over parts of the texts, in an order of their own; the weights are the mean over the last rounds.
         edges = np.r_[0, np.cumsum(sizes)]
-        cuts = [0]
-        while cuts[-1] < len(sizes):
-            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(edges, edges[cuts[-1]] + BLOCK, "right")) - 1))
-        w, m, v, bias, mb, vb = np.zeros(n, np.float32), np.zeros(n), np.zeros(n), 0.0, 0.0, 0.0
-        for step in range(1, STEPS + 1):
-            scaled, grad, gb = w * ratio, PENALTY * w.astype(np.float64), 0.0
-            for a, b in zip(cuts, cuts[1:]):
-                own, many = at[edges[a] : edges[b]], sizes[a:b]
-                z = _sums(scaled[own], many) * root[a:b] + bias
-                g = balance[a:b] * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y[a:b])
-                grad += np.bincount(own, weights=np.repeat((g * root[a:b]).astype(np.float32), many), minlength=n) * ratio
-                gb += float(g.sum())
-            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-            mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-            rate = 0.1 / (1 + step / 40)
-            w -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-            bias -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-6)
+        order = np.random.default_rng(SEED).permutation(len(sizes))
+        parts = [np.sort(order[k::PARTS]) for k in range(PARTS)]
+        gathered = [np.concatenate([at[edges[i] : edges[i + 1]] for i in part]) if len(part) else at[:0] for part in parts]
+        w, m, v, bias, mb, vb = np.zeros(n, np.float32), np.zeros(n, np.float32), np.zeros(n, np.float32), 0.0, 0.0, 0.0
+        mean, mean_bias, step = np.zeros(n, np.float64), 0.0, 0
+        for turn in range(ROUNDS):
+            for part, own in zip(parts, gathered):
+                step += 1
+                many = sizes[part]
+                z = _sums((w * ratio)[own], many) * root[part] + bias
+                g = PARTS * balance[part] * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y[part])
+                grad = np.bincount(own, weights=np.repeat(g * root[part], many), minlength=n).astype(np.float32) * ratio + PENALTY * w
+                gb = float(g.sum())
+                m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+                mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+                rate = RATE / (1 + step / 40)
+                w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+                bias -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-6)
+                if turn >= ROUNDS - MEAN:
+                    mean += w
+                    mean_bias += bias
+        w, bias = (mean / (MEAN * PARTS)).astype(np.float32), mean_bias / (MEAN * PARTS)
         return cls((w * ratio).astype(np.float32), float(bias))
 
 

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.lookalike import plain_forms
+from spanloom.llm.lookalike import Table, plain_forms
 from spanloom.sources.tables import hashed_share
 
 # How labels name each language: codes, English name, own name.
@@ -46,7 +46,8 @@ WHOLE_WORDS, WHOLE_LETTERS, LEAD = 3, 14, 0.02
 
 _BREAK = regex.compile(r"(?<=[.!?؟。！？…۔])[\"'”’»)\]]*\s+|[\n\r\u2028\u2029{}\[\]|<>\"“”«»#*=♪]+")
 _LATIN_TWINS = str.maketrans("АВЕКМНОРСТУХІЅЈаеорсухѕіјΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEKMHOPCTYXISJaeopcyxsijABEZHIKMNOPTYXo")
-_MIXED = regex.compile(r"\p{L}*(?:\p{Latin}\p{M}*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}]\p{M}*\p{Latin})[\p{L}\p{M}]*")
+_MIXED = regex.compile(r"\p{Latin}\p{M}*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}]\p{M}*\p{Latin}")
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _NUMBERED = regex.compile(r"\S*\p{N}\S*")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 
@@ -80,12 +81,23 @@ def passages(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _single(c: str) -> str:
+    """The form of a character where that is one character too."""
+    form = plain_forms(c)
+    return form if len(form) == 1 and c not in "یک" else " " if form.isspace() else c
+
+
+_singles = Table(_single)
+
+
 def readable(text: str) -> str:
     """Look-alike letters within words of mixed script as Latin ones; every code point keeps its place."""
     if text.isascii():
         return text
-    shown = "".join(f if len(f := plain_forms(c)) == 1 and c not in "یک" else c if not f.isspace() else " " for c in text)
-    return _MIXED.sub(lambda m: m[0].translate(_LATIN_TWINS), shown)
+    shown = text.translate(_singles)
+    if _MIXED.search(shown) is None:
+        return shown
+    return _LETTERS.sub(lambda m: m[0].translate(_LATIN_TWINS) if _MIXED.search(m[0]) else m[0], shown)
 
 
 class Space:

@@ -39,7 +39,6 @@ _ORDER = {c: i for group in CLASSES.split() for i, c in enumerate(group)}
 _JOINS = regex.compile(r"[\p{Script=Arabic}&&\p{L}]", regex.V1)
 _SCRIPT = regex.compile(r"(\p{Latin})|(\p{Greek})|(\p{Cyrillic})|(\p{Armenian})|(\p{Arabic})")
 _SPLIT = regex.compile(r"[^ \n]+")
-_forms: dict[str, str] = {}
 
 
 def _form(c: str) -> str:
@@ -59,6 +58,21 @@ def _form(c: str) -> str:
     return c
 
 
+class Table(dict):
+    """A table for str.translate that asks for each character once."""
+
+    def __init__(self, form):
+        super().__init__()
+        self.form = form
+
+    def __missing__(self, code: int) -> str:
+        self[code] = found = self.form(chr(code))
+        return found
+
+
+_forms = Table(_form)
+
+
 def _pictograph(c: str) -> bool:
     return U.category(c) in ("So", "Sk") or c == "\ufe0f"
 
@@ -71,13 +85,7 @@ def plain_forms(text: str) -> str:
     if "\u200d" in text:
         n = len(text)
         text = "".join(c for i, c in enumerate(text) if c != "\u200d" or (0 < i < n - 1 and _pictograph(text[i - 1]) and _pictograph(text[i + 1])))
-    out = []
-    for c in text:
-        f = _forms.get(c)
-        if f is None:
-            f = _forms[c] = _form(c)
-        out.append(f)
-    text = "".join(out)
+    text = text.translate(_forms)
     if "ی" in text or "ک" in text:
         text = _persian(text)
     return U.normalize("NFC", text)

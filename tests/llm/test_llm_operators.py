@@ -194,6 +194,20 @@ def test_classifier_on_held_out_clips():
     assert right >= 195
 
 
+@pytest.mark.parametrize("n", [14, 15, 16, 20, 25, 33])
+def test_every_word_is_in_a_window(n):
+    words = [f"w{i}x" for i in range(n)]
+    parts = [u.split() for u in abuse.units([" " + " ".join(words) + " "])[1:]]
+    assert (n > 14) == bool(parts) and all(len(p) == 9 for p in parts) and (not parts or set(sum(parts, [])) == set(words) and parts[-1][-1] == words[-1])
+
+
+def test_one_procedure_for_few_and_many():
+    """Twice the same clips give what once gives: nothing depends on how many there are."""
+    clips = [([f" the host repeats part {c} of the talk "], 0) for c in "abcdefgh"] + [([f" the host repeats part {c} ", " you pathetic zorgling "], 1) for c in "abc"]
+    score = lambda many: abuse.Classifier.fit(clips * many, []).scores([" what a zorgling ", " the host repeats "])
+    assert score(1)[0] > score(1)[1] and score(60)[0] > score(60)[1]
+
+
 def test_folding():
     assert abuse.folded("a-s-s-h-o-l-e m0r0n sh!t 2024 كَلِب") == " asshole moron shit 0 كلب "
     assert abuse.sentences(None, "") == [] and abuse.sentences("A. B", None) == ["A.", "B"]
