@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata as U
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,10 +45,11 @@ AT_ONCE, DOCS_AT_ONCE = 8_000, 1_000
 #: A passage speaks for a language of its own with this many words and letters, and this lead over the next language.
 WHOLE_WORDS, WHOLE_LETTERS, LEAD = 3, 14, 0.02
 
-_BREAK = regex.compile(r"(?<=[.!?؟。！？…۔])[\"'”’»)\]]*\s+|[\n\r\u2028\u2029{}\[\]|<>\"“”«»#*=♪]+")
+_BREAK = re.compile(r"(?<=[.!?؟。！？…۔])[\"'”’»)\]]*\s+|[\n\r\u2028\u2029{}\[\]|<>\"“”«»#*=♪]+")
 _LATIN_TWINS = str.maketrans("АВЕКМНОРСТУХІЅЈаеорсухѕіјΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEKMHOPCTYXISJaeopcyxsijABEZHIKMNOPTYXo")
 _MIXED = regex.compile(r"\p{Latin}\p{M}*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}]\p{M}*\p{Latin}")
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+_SOME = re.compile(r"[^\W\d_]")
 _NUMBERED = regex.compile(r"\S*\p{N}\S*")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 
@@ -63,21 +65,35 @@ def label_language(label: str | None) -> str:
     return NAMES.get(first, "" if first in NO_LABEL else "other")
 
 
+def _letter(c: str) -> str:
+    """Letters, marks and apostrophes as they are, numbers as 0, all else as a blank."""
+    kind = U.category(c)[0]
+    return c if kind in "LM" or c in "'’" else "0" if kind == "N" else " "
+
+
+_letters = Table(_letter)
+
+
 def letters_of(passage: str) -> tuple[str, int]:
     """The words of a passage in lower case with one blank between and around them, and their number.
     Tokens that hold a digit (file names, codes, times) are no words."""
-    words = _WORD.findall(_NUMBERED.sub(" ", passage))
+    shown = passage.translate(_letters)
+    if "0" in shown:
+        shown = _NUMBERED.sub(" ", passage).translate(_letters)
+    words = shown.split() if "'" not in shown and "’" not in shown else _WORD.findall(shown)
     return (" " + " ".join(words).lower() + " " if words else ""), len(words)
 
 
 def passages(text: str) -> list[tuple[int, int]]:
     """Where the sentences, lines and fields of a text begin and end, without those that hold no letter."""
     found, begin = [], 0
-    for m in [*_BREAK.finditer(text), None]:
-        end = m.start() if m else len(text)
-        if end > begin and any(c.isalpha() for c in text[begin:end]):
+    for m in _BREAK.finditer(text):
+        end = m.start()
+        if end > begin and _SOME.search(text, begin, end):
             found.append((begin, end))
-        begin = m.end() if m else end
+        begin = m.end()
+    if _SOME.search(text, begin):
+        found.append((begin, len(text)))
     return found
 
 
@@ -170,9 +186,8 @@ class Profiles:
         at, keep = at.astype(np.int32), np.ones(len(pieces), bool)
         found = cls(languages, np.zeros((len(languages), DIM), np.float32))
         for again in range(rounds):
-            counts = np.zeros((len(languages), len(distinct)), np.float32)
             use = keep[piece]
-            np.add.at(counts, (number[piece[use]], at[use]), 1.0)
+            counts = np.bincount(number[piece[use]] * len(distinct) + at[use], minlength=len(languages) * len(distinct)).reshape(len(languages), -1).astype(np.float32)
             found = cls(languages, cls._bundle(counts, distinct))
             if again < rounds - 1:
                 cosines = Scorer(found).cosines(pieces)
@@ -228,12 +243,13 @@ class Scorer:
             return out
         distinct, at = np.unique(grams, return_inverse=True)
         products = self._lookup(distinct)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        pair, count = np.unique(owner * len(distinct) + at, return_counts=True)
-        owner, at = pair // len(distinct), pair % len(distinct)
-        np.add.at(out, owner, products[at] * count[:, None].astype(np.float32))
-        square = np.zeros(len(texts))
-        np.add.at(square, owner, count.astype(float) ** 2)
+        pair = np.sort(np.repeat(np.arange(len(texts)), sizes) * len(distinct) + at)
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        count = np.diff(np.r_[first, len(pair)])
+        owner, at = np.divmod(pair[first], len(distinct))
+        begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        out[owner[begins]] = np.add.reduceat(products[at] * count[:, None].astype(np.float32), begins, axis=0)
+        square = np.bincount(owner, weights=count.astype(float) ** 2, minlength=len(texts))
         return out / np.sqrt(np.maximum(1.0, square) * self.space.dim)[:, None].astype(np.float32)
 
 
