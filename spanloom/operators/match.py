@@ -75,10 +75,14 @@ def alternatives(rows: DataFrame, pool: DataFrame, least_score: float = 50.0, mo
     return good.join(hit, ["source_id", "ordinal"], "left_anti").groupBy("source_id").agg(best).select("source_id", "b.*")
 
 
-def retried(rows: DataFrame, failed: DataFrame, edits: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Rows whose keys are in ``failed``, with the edited values of ``columns`` where there are any."""
-    e = edits.select(*keys, *[F.col(c).alias(f"_e_{c}") for c in columns])
-    kept = rows.join(failed.select(*keys).distinct(), keys, "left_semi").join(e, keys, "left")
+def retried(rows: DataFrame, failed: DataFrame, edits: DataFrame, keys: list[str], columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """Rows whose keys are in ``failed``, with the edited values of ``columns`` where there are any.
+
+    ``edits`` has one row for each value of ``by``, the keys unless others are named; a null edit changes nothing.
+    """
+    by = by or keys
+    e = edits.select(*by, *[F.col(c).alias(f"_e_{c}") for c in columns])
+    kept = rows.join(failed.select(*keys).distinct(), keys, "left_semi").join(e, by, "left")
     return kept.select(*[F.coalesce(f"_e_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 

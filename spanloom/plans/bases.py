@@ -60,3 +60,35 @@ def islands_sql(source: str, key: str) -> str:
 seen AS (SELECT {key}, s, e, max(e) OVER (PARTITION BY {key} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}),
 labelled AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM seen),
 periods AS (SELECT {key}, island, min(s) AS from_ms, max(e) AS to_ms FROM labelled GROUP BY ALL)"""
+
+
+#: Letters, marks, digits and joining signs that words are made of, as the inside of a class.
+WORD_SIGNS = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}"
+_HIDDEN = r"[\x{0610}-\x{061a}\x{064b}-\x{065f}\x{0670}\x{06d6}-\x{06ed}\x{0640}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}]"
+
+
+def normal_sql(word: str) -> str:
+    """A word in the form in which words are compared."""
+    return f"translate(lower(regexp_replace(regexp_replace({word}, '{_HIDDEN}', '', 'g'), '[^{WORD_SIGNS}]|_', '', 'g')), 'أإآىة', 'ااايه')"
+
+
+#: All forms of the listed words, in one list.
+BLOCKED = rf"""cores AS (SELECT DISTINCT {normal_sql(strip_sql("split_part(entry, '#', 1)"))} AS w FROM blocklist WHERE entry IS NOT NULL),
+shaped AS (
+  SELECT b || w || a AS form FROM cores, (SELECT unnest(['', 'و', 'ف', 'ب', 'ل', 'ال', 'وال', 'فال', 'بال', 'لل']) AS b), (SELECT unnest(['', 'ه', 'ها', 'هم', 'ك', 'كم', 'نا', 'ي', 'يه', 'ات']) AS a) WHERE regexp_full_match(w, '[\x{{0600}}-\x{{06FF}}]+')
+  UNION ALL SELECT w || a FROM cores, (SELECT unnest(['', 's', 'ing', 'ed']) AS a) WHERE w <> '' AND NOT regexp_full_match(w, '[\x{{0600}}-\x{{06FF}}]+')),
+blocked AS (SELECT list(DISTINCT form) AS forms FROM shaped)"""
+
+
+def masked_sql(text: str) -> str:
+    """``text`` with blocked words as stars; the list stands in column forms."""
+    stars = lambda x: f"regexp_replace({x}, '[{WORD_SIGNS}]', '*', 'g')"
+    inner = f"list_transform(regexp_extract_all(p, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\x{{200c}}\\x{{200d}}]+|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\x{{200c}}\\x{{200d}}]+'), lambda w: CASE WHEN list_contains(forms, {normal_sql('w')}) THEN {stars('w')} ELSE w END)"
+    part = f"CASE WHEN regexp_matches(p, '^[\t-\r ]') THEN p WHEN list_contains(forms, {normal_sql('p')}) THEN {stars('p')} ELSE coalesce(array_to_string({inner}, ''), '') END"
+    return f"CASE WHEN {text} IS NOT NULL THEN coalesce(array_to_string(list_transform(regexp_extract_all({text}, '[\t-\r ]+|[^\t-\r ]+'), lambda p: {part}), ''), '') END"
+
+
+def blocked_sql(text: str) -> str:
+    """Whether ``text`` holds a blocked word; the list stands in column forms."""
+    some = lambda pattern: f"len(list_filter(regexp_extract_all(coalesce({text}, ''), '{pattern}'), lambda w: list_contains(forms, {normal_sql('w')}))) > 0"
+    return f"({some('[^\t-\r ]+')} OR {some('[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\x{200c}\\x{200d}]+')})"

@@ -231,6 +231,9 @@ parts AS (SELECT *, row_number() OVER (PARTITION BY source_id, greatest(0, least
 rest AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY p DESC, start, cand_id) AS q FROM parts WHERE n > {KEPT} AND r > 1),
 picked AS (SELECT source_id, count(*) AS k FROM parts WHERE n > {KEPT} AND r = 1 GROUP BY ALL)
 SELECT source_id, cand_id FROM parts WHERE n <= {KEPT} OR r = 1 UNION ALL SELECT rest.source_id, cand_id FROM rest JOIN picked USING (source_id) WHERE q <= {KEPT} - k""",
+    "candidate_priority": f"""WITH {CANDS}, c AS (SELECT *, greatest(1e-6::DOUBLE, "end" - start) AS len_, len(regexp_extract_all(coalesce(text, ''), '[^\t-\r ]+')) AS n FROM cands WHERE {SOUND})
+SELECT cand_id, CAST(floor((0.5::DOUBLE * (1::DOUBLE - least(1::DOUBLE, abs(len_ - 40::DOUBLE) / 40::DOUBLE)) + 0.25::DOUBLE * CASE WHEN regexp_matches(coalesce(text, ''), '[.!?؟…][\t-\r ]*$') THEN 1::DOUBLE ELSE 0.5::DOUBLE END
+  + 0.25::DOUBLE * least(1::DOUBLE, n / len_ / 2.5::DOUBLE) + 0::DOUBLE) * 1000000 + 0.5::DOUBLE) AS BIGINT) AS priority_ppm FROM c""",
     "merged_candidates": f"""WITH {CANDS}, r AS (SELECT source_id, start, "end", cand_id, source, CASE WHEN source = 'semantic' THEN 0 ELSE 1 END AS rank FROM cands WHERE {SOUND})
 SELECT source_id, {_MS('start', 'start_ms')}, {_MS('"end"', 'end_ms')}, coalesce(min(cand_id) FILTER (rank = 1), min(cand_id)) AS ordinal, arg_min(source, rank * 1000000000000 + cand_id) AS source
 FROM r GROUP BY source_id, start, "end\"""",

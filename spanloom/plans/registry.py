@@ -17,6 +17,6 @@ def core_queries() -> dict:
 
 def core_sql() -> dict[str, str]:
     found: dict = {}
-    for name in MODULES:
+    for name in (*MODULES, "fold_sql"):
         found |= import_module(f"spanloom.plans.{name}").SQL
     return found
