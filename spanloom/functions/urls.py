@@ -92,7 +92,9 @@ def stream_plan(info_json: Column | str) -> Column:
 
 
 def single_video(info_json: Column | str) -> Column:
-    """Whether a description is of one recorded video open to all ages."""
-    full = F.from_json(F.col(info_json) if isinstance(info_json, str) else info_json, FULL)
+    """Whether a description is of one recorded video open to all ages; false for what is null or no JSON."""
+    text = F.col(info_json) if isinstance(info_json, str) else info_json
+    full = F.from_json(text, FULL)
     listed = full["_type"].isin("playlist", "multi_video") | (F.size(full["entries"]) > 0)
-    return full.isNotNull() & ~F.coalesce(listed, F.lit(False)) & ~F.coalesce(full["is_live"], F.lit(False)) & (F.coalesce(full["age_limit"], F.lit(0)) < 18)
+    # What can't be parsed is a structure of nulls, not null.
+    return F.try_parse_json(text).isNotNull() & ~F.coalesce(listed, F.lit(False)) & ~F.coalesce(full["is_live"], F.lit(False)) & (F.coalesce(full["age_limit"], F.lit(0)) < 18)

@@ -34,12 +34,10 @@ def smoothed(values: DataFrame, keys: list[str], key_schema: str, keep: float =
 
 class _Follow:
     def __init__(self, crop: float, frame: float, safe: float, slow: float, fast: float):
-        self.crop, self.frame, self.safe, self.slow, self.fast, self.at = crop, frame, safe, slow, fast, None
+        self.crop, self.frame, self.safe, self.slow, self.fast, self.at = crop, frame, safe, slow, fast, frame / 2
 
     def add(self, row) -> list[tuple]:
         aim = float(row.value)
-        if self.at is None:
-            self.at = aim
         away = aim - self.at
         if abs(away) > self.crop * self.safe:
             pace = self.fast if abs(away) > self.crop / 2 else self.slow
@@ -53,7 +51,7 @@ class _Follow:
 
 def followed(centers: DataFrame, keys: list[str], key_schema: str, crop: float, frame: float, safe: float = 0.25, slow: float = 3.0, fast: float = 15.0) -> DataFrame:
     """keys, place, center: a camera ``crop`` wide that rests while the target (keys, place, value) is near its middle and
-    else moves by a bounded step, never past the target or out of the frame."""
+    else moves by a bounded step, never past the target or out of the frame. It starts in the middle of the frame."""
     return ordered_fold(centers.select(*keys, "place", "value").filter("value IS NOT NULL"), keys, ["place"], lambda: _Follow(crop, frame, safe, slow, fast), f"{key_schema}, place bigint, center double")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (name -> callable of session and directory) and SQL (name -> text).
-MODULES = ("training_core", "interval_queries", "candidate_queries", "text_queries", "queue_queries")
+MODULES = ("training_core", "interval_queries", "candidate_queries", "text_queries", "queue_queries", "measure_queries")
 
 
 def core_queries() -> dict:

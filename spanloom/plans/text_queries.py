@@ -119,7 +119,7 @@ def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = entries.select(F.col("run_id").alias("source_id"), "clip_id", "cand_id", (milliseconds("start") / 1000).alias("e_start"), (milliseconds("end") / 1000).alias("e_end"))
     home = pool.select("source_id", F.col("ordinal").alias("cand_id"), "batch_no")
     rows = entries.join(home, ["source_id", "cand_id"], "left").select("source_id", "batch_no", F.col("clip_id").alias("entry_no"), "e_start", "e_end", F.lit(None).cast("string").alias("echoed"))
-    return layered_match(rows, pool).select(F.col("entry_no").alias("clip_id"), F.col("ordinal").alias("cand_id"), "method")
+    return layered_match(rows, pool).groupBy("method").agg(F.count("*").alias("entries"))
 
 
 def echoed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +191,7 @@ SELECT clip_id, placeholder, n > 0 AND n <= 8 AND length(t) <= 100 AND NOT place
   replace(replace(replace(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</w:t></w:r></w:p>' AS paragraph FROM l""",
     "layered_match": f"""WITH {_POOL}, {CLIPS}, entries AS (SELECT c.run_id, p.batch_no, c.clip_id AS no, c.s / 1000 AS e_start, c.e / 1000 AS e_end, NULL::VARCHAR AS echoed
   FROM (SELECT *, {MS} FROM clips WHERE {SOUND}) c LEFT JOIN pool p ON p.run_id = c.run_id AND p.cand_id = c.cand_id), {_LAYERS}
-SELECT no AS clip_id, cand_id_ AS cand_id, method FROM result""",
+SELECT method, count(*) AS entries FROM result GROUP BY ALL""",
     "echoed_match": f"""WITH {_POOL}, kinds AS (SELECT run_id, min(cand_id) % 5 AS kind FROM pool GROUP BY ALL), entries AS (SELECT p.run_id, batch_no, place AS no, c_start + m AS e_start, c_end + m AS e_end,
   CASE WHEN kind = 2 THEN CASE WHEN place % 2 = 0 THEN CAST(place AS VARCHAR) ELSE 'no place' END WHEN kind = 3 THEN '99' END AS echoed
   FROM (SELECT *, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 1.5 ELSE 1e6 END AS m FROM pool JOIN kinds USING (run_id)) p WHERE kind <> 4 OR place <> 0), {_LAYERS}
