@@ -17,7 +17,7 @@ from spanloom.operators.match import distinct_names, edited_segments
 from spanloom.operators.periods import sound_span
 from spanloom.operators.queue import expired, slice_findings, stalled, verdict
 from spanloom.operators.review import before_failures, unsure_languages
-from spanloom.operators.select import accepted, dropped, finals
+from spanloom.operators.select import accepted, dropped, finals, reject_counts, shortfall
 from spanloom.operators.tracking import followed, smoothed
 from spanloom.operators.windows import batches
 from spanloom.plans.bases import CANDS, CLIPS, SEGS, SOUND, candidates, clips, segments
@@ -171,6 +171,14 @@ def rejected_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropped(rows, finals(rows, 3), ["source_id", "ordinal"]).select("clip_id")
 
 
+def shortfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why sources have fewer than eight accepted clips."""
+    rows = clips(spark, sf_dir, "source_id", "start", "end", "score", "text")
+    counts = reject_counts(rows, ["source_id"])
+    wide = counts.groupBy("source_id").agg(*[F.sum(F.when(F.col("reason") == r, F.col("clips"))).alias(r if r != "accepted" else "final") for r in ("accepted", "below_threshold", "filler", "too_short", "invalid_span")])
+    return shortfall(wide.withColumn("requested", F.lit(8)))
+
+
 def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each run: its batches of four candidates, and how many are in each."""
     rows = candidates(spark, sf_dir, "run_id", "cand_idx").filter("cand_idx IS NOT NULL").select("run_id", "cand_idx").distinct()
@@ -212,7 +220,7 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "addresses": addresses, "streams": streams, "answers": answers, "light": light, "median_faces": medians, "sound_levels": sound_levels, "boxes": boxes, "crops": crops, "seconds": seconds,
     "glossary_rules": glossary, "smooth_frames": smooth_frames, "follow_frames": follow_frames, "verdicts": verdicts, "findings": findings, "dead_jobs": dead_jobs, "stopped_chunks": stopped_chunks,
-    "unsure_languages": unsure, "rejected_clips": rejected_clips, "request_batches": request_batches, "alike_clips": alike_clips, "context_shares": context_shares, "edited_segments": edits, "file_names": file_names,
+    "unsure_languages": unsure, "rejected_clips": rejected_clips, "request_batches": request_batches, "shortfalls": shortfalls, "alike_clips": alike_clips, "context_shares": context_shares, "edited_segments": edits, "file_names": file_names,
 }
 
 
@@ -294,8 +302,13 @@ def _shared_sql() -> dict[str, str]:
     """SQL that uses shingles and accepted clips."""
     from spanloom.plans.fold_sql import _ACCEPTED, shingles_sql, tokens_sql
 
+    from spanloom.plans.candidate_queries import SQL as CANDIDATE
+
     one = f"t AS (SELECT *, {tokens_sql('text')} AS tok FROM clips), s AS (SELECT source_id, clip_id, {shingles_sql('tok')} AS sh FROM t WHERE source_id IS NOT NULL)"
     return {
+        "shortfalls": f"""WITH r AS ({CANDIDATE['quality_rejects']}), s AS (SELECT source_id, coalesce(sum(clips) FILTER (reason = 'accepted'), 0) AS final FROM r GROUP BY ALL), few AS (SELECT * FROM s WHERE final < 8)
+SELECT source_id, 'missing' AS reason, CAST(8 - final AS BIGINT) AS clips, NULL::DOUBLE AS bound FROM few
+UNION ALL SELECT r.source_id, reason, clips, CASE reason WHEN 'below_threshold' THEN 40 WHEN 'too_short' THEN 3 END FROM r JOIN few ON few.source_id IS NOT DISTINCT FROM r.source_id WHERE reason <> 'accepted'""",
         "rejected_clips": f"WITH {_ACCEPTED}, r AS (SELECT o, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, o) AS k FROM acc) SELECT o AS clip_id FROM r WHERE k > 3",
         "alike_clips": f"""WITH {CLIPS}, {one} SELECT a.source_id, a.clip_id AS clip_a, b.clip_id AS clip_b, len(list_intersect(a.sh, b.sh)) AS shared
 FROM s a JOIN s b ON a.source_id = b.source_id AND a.clip_id < b.clip_id WHERE len(a.sh) > 0 AND len(b.sh) > 0 AND len(list_intersect(a.sh, b.sh)) * 2 >= least(len(a.sh), len(b.sh))""",

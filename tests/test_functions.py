@@ -115,6 +115,12 @@ def test_band(spark, d, n, lo, hi, wanted):
         assert r.clips_that_fit == 5
 
 
+def test_feasibility(spark):
+    plan = P.band_plan(spark.createDataFrame([(100.0,), (3000.0,)], "d double"), "d", P.Band(20, 20.0, 60.0))
+    found = [r[0] for r in plan.orderBy("d").select(P.feasibility("d", 20, 60.0, "clips_that_fit", "max_s")).collect()]
+    assert tuple(found[0]) == (20, 14, 100.0, 8.0, True) and found[1] is None
+
+
 def test_counts_and_batches(spark):
     assert one(spark, P.suggested_clips(59 * 60)) == 15
     assert (one(spark, P.batch_size(None, 60.0)), one(spark, P.batch_size(None, 110.0))) == (16, 9)
@@ -145,6 +151,9 @@ def test_rules(spark):
     for bad in ("word", "a =>", "a => a", "a => " + "b" * 61):
         with pytest.raises(RuleError, match="line 2"):
             parse_rules("x => y\n" + bad)
+    assert parse_rules(" a = b  =>  c   d ") == [("a = b", "c d")] and parse_rules(None) == []
+    with pytest.raises(RuleError, match="line 1: .*line 3: "):
+        parse_rules("no rule\na => b\n=> c")
     rules = [("word", "term")]
     assert one(spark, corrected(F.lit("word, (word) xword word2"), rules)) == "term, (term) xword word2"
     seg = spark.createDataFrame([("word word", [(0.0, 1.0, "word")]), (None, None)], "text string, words array<struct<start: double, end: double, text: string>>")

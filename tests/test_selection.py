@@ -56,11 +56,8 @@ def test_finals_and_dropped(spark):
 
 
 def test_shortfall(spark):
-    df = spark.createDataFrame([("s", 5, 2, 3, None), ("t", 2, 2, 1, 1)], "source_id string, requested int, final int, rejected_below_threshold int, dropped_as_overlapping int")
-    for c in ("rejected_filler", "rejected_too_short", "rejected_invalid_span", "rejected_text_duplicate"):
-        df = df.withColumn(c, F.lit(0))
-    found = [r.line for r in select.shortfall(df).orderBy("line_no").collect()]
-    assert found[0].startswith("Produced 2 of 5") and len(found) == 3
+    df = spark.createDataFrame([("s", 5, 2, 3, None, 4), ("t", 2, 2, 1, 1, 0), ("u", 3, None, None, 1, 9)], "source_id string, requested int, final int, below_threshold int, overlapping int, fit int")
+    assert rows(select.shortfall(df)) == [("s", "below_threshold", 3, 40.0), ("s", "missing", 3, None), ("s", "room", 1, None), ("u", "missing", 3, None), ("u", "overlapping", 1, 0.15)]
 
 
 def test_cover(spark):
