@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _ENDS = re.compile(r"[.!?؟…]$")
@@ -42,6 +42,10 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], make: Calla
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+#: Seconds of the slices in which words are ordered before they are folded.
+SLICE_S = 60.0
+
+
 class _Captions:
     def __init__(self, most: int, chars: int, gap_s: float):
         self.most, self.chars, self.gap_s, self.words, self.no = max(1, most), chars, gap_s, [], 0
@@ -69,10 +73,30 @@ def caption_groups(words: DataFrame, keys: list[str], key_schema: str, most: int
     """keys, caption_no, start, end, text: words (keys, w_start, w_end, word; blank ones left out before) in short groups.
 
     A group ends before a silence of ``gap_s``, after ``most`` words, before it would pass ``chars``, and after the end
-    of a sentence. Equal starts are ordered by end and text.
+    of a sentence. Equal starts are ordered by end and text. Null keys are an entity like any other.
+
+    Nothing of a group is carried over a silence or the end of a sentence. So the words from the first such place of a
+    slice of a minute up to that of a later slice are folded on their own, beside all others; what a slice has to know
+    of those before it, and the numbers of the groups, come from one row for each slice.
     """
-    rows = words.select(*keys, "w_start", "w_end", "word")
-    return ordered_fold(rows, keys, ["w_start", "w_end", "word"], lambda: _Captions(most, chars, gap_s), f"{key_schema}, caption_no int, start double, end double, text string")
+    rows = words.select(F.struct(*keys).alias("_k"), "w_start", "w_end", "word", F.floor(F.col("w_start") / SLICE_S).alias("_slice"), F.col("word").rlike(_ENDS.pattern).alias("_ends"))
+    own, earlier = Window.partitionBy("_k", "_slice").orderBy("w_start", "w_end", "word"), (Window.unboundedPreceding, -1)
+    before = F.lag(F.struct("w_end", "_ends")).over(own)
+    rows = rows.withColumn("_b", before).withColumn("_last", F.lead("w_end").over(own).isNull())
+    rows = rows.withColumn("_opens", (F.col("w_start") - F.col("_b.w_end") >= gap_s) | F.col("_b._ends"))
+    slices = rows.groupBy("_k", "_slice").agg(F.min("w_start").alias("_first"), F.max(F.when(F.col("_last"), F.col("w_end"))).alias("_e"), F.max(F.when(F.col("_last"), F.col("_ends"))).alias("_s"), F.max("_opens").alias("_some"))
+    over = Window.partitionBy("_k").orderBy("_slice")
+    at_first = F.lag("_e").over(over).isNull() | (F.col("_first") - F.lag("_e").over(over) >= gap_s) | F.lag("_s").over(over)
+    slices = slices.withColumn("_at_first", at_first)
+    home = F.max(F.when(F.col("_at_first") | F.coalesce("_some", F.lit(False)), F.col("_slice"))).over(over.rowsBetween(*earlier))
+    rows = rows.join(slices.select("_k", "_slice", "_at_first", home.alias("_home")), ["_k", "_slice"])
+    opened = F.max(F.coalesce("_opens", "_at_first")).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select(*[F.col("_k")[k].alias(k) for k in keys], F.when(opened, F.col("_slice")).otherwise(F.col("_home")).alias("home"), "w_start", "w_end", "word")
+    schema = f"{key_schema}, home bigint, place int, start double, end double, text string"
+    made = ordered_fold(rows, [*keys, "home"], ["w_start", "w_end", "word"], lambda: _Captions(most, chars, gap_s), schema).withColumn("_k", F.struct(*keys))
+    counts = made.groupBy("_k", "home").agg(F.count("*").alias("_n")).select("_k", "home", F.coalesce(F.sum("_n").over(Window.partitionBy("_k").orderBy("home").rowsBetween(*earlier)), F.lit(0)).alias("_base"))
+    made = made.join(counts, ["_k", "home"])
+    return made.select(*keys, (F.col("_base") + F.col("place")).cast("int").alias("caption_no"), "start", "end", "text")
 
 
 class _Chunks:

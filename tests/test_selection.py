@@ -1,5 +1,6 @@
 import math
 import random
+from collections import namedtuple
 
 import pandas as pd
 import pytest
@@ -119,6 +120,24 @@ def test_captions(spark):
     assert cue == "1\n00:01:00,000 --> 00:01:01,000\nx\n"
 
 
+def test_captions_over_slices(spark):
+    """Against one fold over a whole source; words run on over slices, pause and end sentences."""
+    random.seed(4)
+    data, t = [], 0.0
+    for i in range(900):
+        t += random.choice([0.3, 0.3, 0.31, 0.9] if i % 300 < 200 else [0.3])
+        data.append(("s" if i % 2 else None, round(t, 2), round(t + random.choice([0.1, 0.3]), 2), random.choice(["a", "bb", "ccc", "dddddddddd", "end.", "so?"][: 6 if i % 300 < 200 else 4])))
+    df = spark.createDataFrame(data + data[:5], "source_id string, w_start double, w_end double, word string")
+    found = folds.caption_groups(df, ["source_id"], "source_id string").collect()
+    row = namedtuple("row", "w_start w_end word")
+    for source in ("s", None):
+        fold, wanted = folds._Captions(5, 42, 0.45), []
+        for r in sorted(row(*r[1:]) for r in data + data[:5] if r[0] == source):
+            wanted += fold.add(r)
+        wanted += fold.end()
+        assert sorted((r.caption_no, r.start, r.end, r.text) for r in found if r.source_id == source) == wanted
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([("s", i, "x" * 2000) for i in range(21)], "source_id string, place int, text string")
     found = folds.budget_chunks(df).orderBy("chunk_no").collect()
