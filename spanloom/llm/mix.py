@@ -83,7 +83,7 @@ def plan_shares(stats: list, targets: list, size: float | None) -> dict:
     tokens, weight or repeats is not usable; its weight is spread over the others in proportion to their weights.
     """
     wanted: dict = {}
-    for t in targets:
+    for t in sorted(targets, key=lambda t: (-(t["weight"] or 0.0), -(t["max_repeats"] or 0))):
         if t["source"] is not None and t["weight"] and t["weight"] > 0 and (t["max_repeats"] or 0) > 0:
             wanted.setdefault(t["source"], (float(t["weight"]), int(t["max_repeats"])))
     have = {s["source"]: s for s in stats if s["source"] in wanted and (s["tokens"] or 0) > 0}
@@ -111,7 +111,7 @@ def mix_copies(sized: DataFrame, targets: DataFrame, size: float | None = None)
     """Copies of each document in the mix, and the plan.
 
     ``sized`` has doc_id, source, n_tokens, one row for each document; ``targets`` has source, weight, max_repeats and
-    is of fixed size (one row a source; of repeated rows one counts). Result: doc_id, source, n_tokens, copies, for
+    is of fixed size (one row a source; of repeated rows that of the greatest weight, then cap, counts). Result: doc_id, source, n_tokens, copies, for
     every document whose source is usable. No document has more than max_repeats copies, because the fraction is
     rounded to the whole number below or above it. Documents with a null source or id or one without target take no
     part; empty documents have copies like others but no tokens; empty tables give no rows.

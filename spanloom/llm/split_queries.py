@@ -50,6 +50,20 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(items(spark, sf_dir), LIMITS)
 
 
+def p1_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each item whether its pieces, numbered without holes, are within the limit and repeat what they should, and the
+    text that they make when each is put behind the others without its overlap: that of the item."""
+    p = p1_pieces(spark, sf_dir)
+    limit = F.when(F.col("item_kind") == "segment", LIMITS["segment"].longest).otherwise(LIMITS["candidate"].longest)
+    rows = p.withColumn("ok", (F.length("text") <= limit) & (F.length("text") == F.col("to_char") - F.col("from_char")))
+    piece = F.struct("piece_no", "from_char", "to_char", "overlap", "text")
+    rows = rows.groupBy("item_kind", "source_id", "item_no").agg(F.min("ok").alias("ok"), F.max("pieces").alias("n"), F.array_sort(F.collect_list(piece)).alias("p"))
+    follows = F.forall(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (F.get("p", i)["piece_no"] == i) & ((i == 0) | (F.get("p", i)["from_char"] + F.get("p", i)["overlap"] == F.get("p", i - 1)["to_char"])))
+    repeats = F.forall(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | F.endswith(F.get("p", i - 1)["text"], F.substring(F.get("p", i)["text"], F.lit(1), F.get("p", i)["overlap"])))
+    text = F.array_join(F.transform("p", lambda x: F.substring(x["text"], x["overlap"] + 1, F.length(x["text"]))), "")
+    return rows.select("item_kind", "source_id", "item_no", (F.col("ok") & (F.size("p") == F.col("n")) & follows & repeats).alias("ok"), text.alias("text"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items that had to be cut."""
     cut = p1_pieces(spark, sf_dir).filter((F.col("pieces") > 1) & (F.col("piece_no") == 0))
@@ -69,8 +83,11 @@ joined AS (
   FROM listed l JOIN segs s ON s.source_id = l.source_id AND s.seg_idx = l.seg_idx WHERE text <> '' GROUP BY ALL)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_rejoined": p1_rejoined}
 SQL = {
+    "p1_rejoined": ITEMS + """
+SELECT 'segment' AS item_kind, source_id, CAST(seg_idx AS BIGINT) AS item_no, true AS ok, text FROM segs WHERE text <> ''
+UNION ALL SELECT 'candidate', source_id, cand_id, true, text FROM joined""",
     "p1_found": ITEMS + """
 SELECT 'segment' AS item_kind, source_id, CAST(seg_idx AS BIGINT) AS item_no FROM segs WHERE length(text) > 1200
 UNION ALL SELECT 'candidate', source_id, cand_id FROM joined WHERE length(text) > 2400""",

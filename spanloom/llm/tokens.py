@@ -146,6 +146,20 @@ def token_count(spark: SparkSession, text: str, path: str | None = None) -> Colu
     return count(F.col(text))
 
 
+def decoded(spark: SparkSession, ids: str, path: str | None = None) -> Column:
+    """The text of a list of ids; null for null. Bytes that are no text on their own come out as U+FFFD."""
+    get = _encoder(spark, path or os.path.join(FOLDER, VOCABULARY))
+    kept: list[dict[int, bytes]] = []
+
+    @F.pandas_udf("string")
+    def text(lists: pd.Series) -> pd.Series:
+        if not kept:
+            kept.append({i: b for b, i in get().ranks.items()})
+        return pd.Series([None if x is None else b"".join([kept[0][int(i)] for i in x]).decode("utf-8", "replace") for x in lists], dtype=object)
+
+    return text(F.col(ids))
+
+
 def encode_corpus(docs: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """``key`` and ``ids`` of each row; no shuffle, so ties, repeated rows and null keys stay as they are.
 
