@@ -6,6 +6,7 @@ Words, pauses and runs of a source are met by time bins around each moved end, s
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.spans import BIN_S, bin_of, bins_of, timed
 
+
 def _near(points: DataFrame, things: DataFrame, point: str, at: tuple[str, str], reach: float) -> DataFrame:
-    """Points (source_id, point_id, point) joined with what touches [point - reach, point + reach]."""
+    """Points (source_id, ..., point) joined with what touches [point - reach, point + reach]."""
     low, high = F.col(point) - reach, F.col(point) + reach
     p = points.filter(timed(point, point)).withColumn("_b", F.explode(bins_of(low, high, BIN_S)))
     t = things.filter(timed(*at)).withColumn("_b", F.explode(bins_of(F.col(at[0]), F.col(at[1]), BIN_S)))
@@ -23,25 +25,31 @@ def _near(points: DataFrame, things: DataFrame, point: str, at: tuple[str, str],
     return p.join(t, ["source_id", "_b"]).filter((F.col(at[1]) >= low) & (F.col(at[0]) <= high) & home).drop("_b")
 
 
+def _both_ends(spans: DataFrame, things: DataFrame, at: tuple[str, str], reach: float, best: dict[str, Callable]) -> DataFrame:
+    """``spans`` with column "start" + "_to" and "end" + "_to": where each end goes, null where nowhere.
+
+    ``best`` gives, for each end, an aggregate over the things near it (its place is in column _p) that meets only those
+    of this end. Both ends meet the things in one join.
+    """
+    ends = F.array(*[F.struct(F.lit(c).alias("_end"), F.col(c).alias("_p")) for c in ("start", "end")])
+    met = _near(spans.select("source_id", "span_id", F.inline(ends)), things, "_p", at, reach)
+    own = lambda c: lambda x: F.when(F.col("_end") == c, x)
+    found = met.groupBy("source_id", "span_id").agg(*[best[c](own(c)).alias(f"{c}_to") for c in ("start", "end")])
+    return spans.join(found, ["source_id", "span_id"], "left")
+
+
 def to_word_edges(spans: DataFrame, words: DataFrame, limit: Column) -> DataFrame:
     """``spans`` (source_id, span_id, start, end) with ends that lie strictly inside a word moved to the word's edge.
 
     A start goes to the word's start; an end to the word's end, at most ``limit``, if that is after the start. Of
     words that overlap, the one that starts last counts.
     """
-    w = words.select("source_id", "w_start", "w_end")
-
-    def inside(point: str, name: str) -> DataFrame:
-        p = spans.select("source_id", F.col("span_id").alias("point_id"), F.col(point).alias("_p"))
-        met = _near(p, w, "_p", ("w_start", "w_end"), 0.0).filter(F.col("w_start") <= F.col("_p"))
-        last = met.groupBy("source_id", "point_id", "_p").agg(F.max(F.struct("w_start", "w_end")).alias("b"))
-        last = last.filter((F.col("b.w_start") < F.col("_p")) & (F.col("b.w_end") > F.col("_p")))
-        return last.select("source_id", F.col("point_id").alias("span_id"), F.col("b.w_start" if name == "_ns" else "b.w_end").alias(name))
-
-    rows = spans.join(inside("start", "_ns"), ["source_id", "span_id"], "left").join(inside("end", "_ne"), ["source_id", "span_id"], "left")
-    start = F.coalesce("_ns", "start")
-    end = F.when(F.col("_ne").isNotNull(), F.least(F.col("_ne"), limit))
-    return rows.withColumn("start", start).withColumn("end", F.when(end > F.col("start"), end).otherwise(F.col("end"))).drop("_ns", "_ne")
+    last = lambda own: F.max(own(F.when(F.col("w_start") <= F.col("_p"), F.struct("w_start", "w_end"))))
+    rows = _both_ends(spans, words.select("source_id", "w_start", "w_end"), ("w_start", "w_end"), 0.0, {"start": last, "end": last})
+    inside = lambda c: (F.col(f"{c}_to.w_start") < F.col(c)) & (F.col(f"{c}_to.w_end") > F.col(c))
+    start = F.when(inside("start"), F.col("start_to.w_start")).otherwise(F.col("start"))
+    end = F.when(inside("end"), F.least(F.col("end_to.w_end"), limit))
+    return rows.withColumns({"start": start, "end": F.when(end > start, end).otherwise(F.col("end"))}).drop("start_to", "end_to")
 
 
 def to_pauses(spans: DataFrame, pauses: DataFrame, most_s: float = 1.25) -> DataFrame:
@@ -50,51 +58,42 @@ def to_pauses(spans: DataFrame, pauses: DataFrame, most_s: float = 1.25) -> Data
     ``pauses`` has source_id, moment, gap. The start moves if it stays half a second before the end, then the end if it
     stays half a second after the new start.
     """
+    far = F.abs(F.col("moment") - F.col("_p"))
+    deepest = lambda own: F.max(own(F.when((far > 1e-9) & (far <= most_s), F.struct(F.col("gap"), -far, (-F.col("moment")).alias("_m")))))
+    rows = _both_ends(spans, pauses.select("source_id", "moment", "gap"), ("moment", "moment"), most_s, {"start": deepest, "end": deepest})
+    to_start, to_end = -F.col("start_to._m"), -F.col("end_to._m")
+    start = F.when(to_start < F.col("end") - 0.5, to_start).otherwise(F.col("start"))
+    return rows.withColumns({"start": start, "end": F.when(to_end > start + 0.5, to_end).otherwise(F.col("end"))}).drop("start_to", "end_to")
 
-    def best(rows: DataFrame, point: str, name: str) -> DataFrame:
-        p = rows.select("source_id", F.col("span_id").alias("point_id"), F.col(point).alias("_p"))
-        met = _near(p, pauses.select("source_id", "moment", "gap"), "_p", ("moment", "moment"), most_s)
-        far = F.abs(F.col("moment") - F.col("_p"))
-        met = met.filter((far > 1e-9) & (far <= most_s))
-        top = met.groupBy("source_id", "point_id").agg(F.max_by("moment", F.struct(F.col("gap"), -far, -F.col("moment"))).alias(name))
-        return top.withColumnRenamed("point_id", "span_id")
 
-    rows = spans.join(best(spans, "start", "_ps"), ["source_id", "span_id"], "left").join(best(spans, "end", "_pe"), ["source_id", "span_id"], "left")
-    rows = rows.withColumn("start", F.when(F.col("_ps") < F.col("end") - 0.5, F.col("_ps")).otherwise(F.col("start")))
-    return rows.withColumn("end", F.when(F.col("_pe") > F.col("start") + 0.5, F.col("_pe")).otherwise(F.col("end"))).drop("_ps", "_pe")
-
-
-def to_speech(spans: DataFrame, runs: DataFrame, limit: Column, longest: float, snap_s: float = 2.5) -> DataFrame:
+def to_speech(spans: DataFrame, runs: DataFrame, limit: Column, longest: float | Column, snap_s: float = 2.5) -> DataFrame:
     """``spans`` with ends moved to edges of runs of speech (source_id, r_start, r_end) at most ``snap_s`` away.
 
     A start inside a run goes to the run's start, else its end; in silence to the next run's start, else the last run's
     end; an end the other way round. An end on an edge stays. A new start must be before the end, a new end after the
     start and at most ``longest`` after it and within ``limit``.
     """
-    r = runs.select("source_id", "r_start", "r_end")
-
-    def moved(rows: DataFrame, point: str, name: str) -> DataFrame:
-        p = rows.select("source_id", F.col("span_id").alias("point_id"), F.col(point).alias("_p"))
-        met = _near(p, r, "_p", ("r_start", "r_end"), snap_s)
-        x = F.col("_p")
-        holds = (F.col("r_start") <= x) & (F.col("r_end") >= x)
-        edge = (F.abs(F.col("r_start") - x) <= 1e-6) | (F.abs(F.col("r_end") - x) <= 1e-6)
-        near = lambda c, ok: F.when(ok & (F.abs(F.col(c) - x) <= snap_s), F.col(c))
-        agg = met.groupBy("source_id", "point_id").agg(
-            F.max(edge).alias("on_edge"), F.max(holds).alias("within"), F.min(near("r_start", holds)).alias("own_s"), F.min(near("r_end", holds)).alias("own_e"),
-            F.min(near("r_start", ~holds & (F.col("r_start") > x))).alias("next_s"), F.max(near("r_end", ~holds & (F.col("r_end") < x))).alias("prev_e"),
-        )
-        inner = F.coalesce("own_s", "own_e") if name == "_ss" else F.coalesce("own_e", "own_s")
-        outer = F.coalesce("next_s", "prev_e") if name == "_ss" else F.coalesce("prev_e", "next_s")
-        return agg.select("source_id", F.col("point_id").alias("span_id"), F.when(~F.col("on_edge"), F.when(F.col("within"), inner).otherwise(outer)).alias(name))
-
-    rows = spans.join(moved(spans, "start", "_ss"), ["source_id", "span_id"], "left").join(moved(spans, "end", "_se"), ["source_id", "span_id"], "left")
-    rows = rows.withColumn("start", F.when(F.col("_ss") < F.col("end"), F.col("_ss")).otherwise(F.col("start")))
-    ok = (F.col("_se") > F.col("start")) & (F.col("_se") <= F.least(limit, F.col("start") + longest))
-    return rows.withColumn("end", F.when(ok, F.col("_se")).otherwise(F.col("end"))).drop("_ss", "_se")
-
-
-def with_neighbours(spans: DataFrame, segments: DataFrame, longest: float, most_gap: float = 1.5, slack: float = 3.0) -> DataFrame:
+    x = F.col("_p")
+    holds = (F.col("r_start") <= x) & (F.col("r_end") >= x)
+    edge = (F.abs(F.col("r_start") - x) <= 1e-6) | (F.abs(F.col("r_end") - x) <= 1e-6)
+    near = lambda c, ok: F.when(ok & (F.abs(F.col(c) - x) <= snap_s), F.col(c))
+
+    def moved(start: bool) -> Callable:
+        def best(own: Callable) -> Column:
+            inner = [F.min(own(near(c, holds))) for c in ("r_start", "r_end")]
+            outer = [F.min(own(near("r_start", ~holds & (F.col("r_start") > x)))), F.max(own(near("r_end", ~holds & (F.col("r_end") < x))))]
+            inside, outside = (F.coalesce(*(p if start else p[::-1])) for p in (inner, outer))
+            return F.when(~F.max(own(edge)), F.when(F.max(own(holds)), inside).otherwise(outside))
+
+        return best
+
+    rows = _both_ends(spans, runs.select("source_id", "r_start", "r_end"), ("r_start", "r_end"), snap_s, {"start": moved(True), "end": moved(False)})
+    start = F.when(F.col("start_to") < F.col("end"), F.col("start_to")).otherwise(F.col("start"))
+    ok = (F.col("end_to") > start) & (F.col("end_to") <= F.least(limit, start + longest))
+    return rows.withColumns({"start": start, "end": F.when(ok, F.col("end_to")).otherwise(F.col("end"))}).drop("start_to", "end_to")
+
+
+def with_neighbours(spans: DataFrame, segments: DataFrame, longest: float | Column, most_gap: float = 1.5, slack: float = 3.0) -> DataFrame:
     """``spans`` widened by the segment before and after, where at most ``most_gap`` of silence lies between; for sources without words."""
     s = segments.filter(F.col("end") > F.col("start")).select("source_id", F.col("start").alias("g_start"), F.col("end").alias("g_end"))
     side = lambda c: spans.select("source_id", F.col("span_id").alias("point_id"), F.col(c).alias("_p"))

@@ -144,9 +144,9 @@ def snapped_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = speech_runs(words).select("source_id", (F.col("from_ms") / 1000).alias("r_start"), (F.col("to_ms") / 1000).alias("r_end"))
     ends = words.groupBy("source_id").agg(F.max("w_end").alias("duration"))
     spans = clips(spark, sf_dir, "source_id", "start", "end").filter(sound_span("start", "end")).withColumnRenamed("clip_id", "span_id").join(ends, "source_id")
-    # Each step uses its input three times.
-    rows = cut(to_word_edges(cut(spans), words, F.col("duration")))
-    rows = to_speech(cut(to_pauses(rows, micro_pauses(words))), runs, F.col("duration"), 90.0)
+    # Each step uses its input twice.
+    rows = cut(to_pauses(cut(to_word_edges(spans, words, F.col("duration"))), micro_pauses(words)))
+    rows = to_speech(rows, runs, F.col("duration"), 90.0)
     return rows.select(F.col("span_id").alias("clip_id"), milliseconds("start").alias("start_ms"), milliseconds("end").alias("end_ms"))
 
 
