@@ -62,34 +62,44 @@ def _stops(rows: DataFrame, width: float, block: int = 1_024) -> DataFrame:
     return rows.select("source_id", F.col("seg_idx").alias("stop_idx"), F.col("end").alias("s_end"), F.explode(bins_of((F.col("_least") - 1) * width, F.col("end"), width)).alias("_bin"))
 
 
-def anchored_windows(segments: DataFrame, shortest: float, longest: float, stride: int = 2) -> DataFrame:
+def _banded(anchors: DataFrame, bands: DataFrame | None, shortest: float, longest: float) -> DataFrame:
+    """``anchors`` with _lo and _hi: the band of their source, or that for all."""
+    if bands is None:
+        return anchors.withColumns({"_lo": F.lit(float(shortest)), "_hi": F.lit(float(longest))})
+    own = bands.select("source_id", F.col("min_s").alias("_lo"), F.least(F.col("max_s"), F.lit(float(longest))).alias("_hi"))
+    return anchors.join(own, "source_id")
+
+
+def anchored_windows(segments: DataFrame, shortest: float, longest: float, stride: int = 2, bands: DataFrame | None = None) -> DataFrame:
     """source_id, first_idx, last_idx, start, end: from every ``stride``-th row on, each reach of ``shortest`` to 1.5 x ``longest`` seconds.
 
     A window ends before the first row whose end is more than 1.5 x longest after the anchor's start, wherever that is.
     Anchors meet the rows that end in the time bin of their start or the next one; rows that end later count where rows
-    behind them end earlier again (see _stops). Rows without a sound span are passed over.
+    behind them end earlier again (see _stops). Rows without a sound span are passed over. ``bands`` (source_id, min_s,
+    max_s) has the lengths of single sources, none longer than ``longest``; sources without one have no windows then.
     """
     most = 1.5 * longest
     sound = segments.filter(sound_span("start", "end") & timed("start", "end")).select("source_id", "seg_idx", "start", "end")
     anchors = sound.filter(F.col("seg_idx") % stride == 0).select("source_id", F.col("seg_idx").alias("first_idx"), F.col("start").alias("a_start"))
+    anchors = _banded(anchors, bands, shortest, longest)
     met = anchors.withColumn("_bin", F.explode(bins_of(F.col("a_start"), F.col("a_start") + most, most))).join(sound.withColumn("_bin", bin_of(F.col("end"), most)), ["source_id", "_bin"])
     length = F.col("end") - F.col("a_start")
     met = met.filter((F.col("seg_idx") >= F.col("first_idx")) & (length > 0) & (length <= 2 * most))
     w = Window.partitionBy("source_id", "first_idx").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, 0)
-    met = met.withColumn("_reach", F.max("end").over(w) - F.col("a_start")).filter((F.col("_reach") <= most) & (length >= shortest))
+    met = met.withColumn("_reach", F.max("end").over(w) - F.col("a_start")).filter((F.col("_reach") <= 1.5 * F.col("_hi")) & (length >= F.col("_lo")))
     met = met.select("source_id", "first_idx", F.col("seg_idx").alias("last_idx"), F.col("a_start").alias("start"), "end")
     ended = anchors.withColumn("_bin", bin_of(F.col("a_start"), most)).join(_stops(sound, most), ["source_id", "_bin"])
-    ended = ended.filter((F.col("stop_idx") >= F.col("first_idx")) & (F.col("s_end") - F.col("a_start") > most))
+    ended = ended.filter((F.col("stop_idx") >= F.col("first_idx")) & (F.col("s_end") - F.col("a_start") > 1.5 * F.col("_hi")))
     ended = ended.groupBy("source_id", "first_idx").agg(F.min("stop_idx").alias("_stop"))
     met = met.join(ended, ["source_id", "first_idx"], "left").filter(F.col("_stop").isNull() | (F.col("last_idx") < F.col("_stop")))
     return met.drop("_stop")
 
 
-def local_priority(shortest: float, longest: float, proposed: Column | None = None) -> Column:
+def local_priority(shortest: float | Column, longest: float | Column, proposed: Column | None = None) -> Column:
     """Rank of a window (start, end, text) before any score: near the middle of the band, ending a sentence, dense."""
-    target = (shortest + longest) / 2
+    target = (F.lit(shortest) + F.lit(longest)) / 2
     length = F.greatest(F.lit(1e-6), F.col("end") - F.col("start"))
-    fit = 1 - F.least(F.lit(1.0), F.abs(length - target) / max(target, 1.0))
+    fit = 1 - F.least(F.lit(1.0), F.abs(length - target) / F.greatest(target, F.lit(1.0)))
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\\s+"), lambda x: x != ""))
     dense = F.least(F.lit(1.0), words / length / 2.5)
     bonus = F.lit(0.0) if proposed is None else F.when(proposed, F.lit(0.2)).otherwise(F.lit(0.0))
@@ -151,20 +161,21 @@ def numbered_words(words: DataFrame, block: int = 1_024) -> DataFrame:
     return words.withColumn("_place", place).join(starts, ["source_id", "seg_idx"]).withColumn("word_no", (F.col("_start") + F.col("_place")).cast("long")).drop("_place", "_start")
 
 
-def word_windows(words: DataFrame, shortest: float, longest: float) -> DataFrame:
+def word_windows(words: DataFrame, shortest: float, longest: float, bands: DataFrame | None = None) -> DataFrame:
     """source_id, first_word, last_word, start, end: from anchors a fortieth of the words apart, the longest chunk in the band.
 
-    ``words`` has source_id, word_no (place in the source), w_start, w_end.
+    ``words`` has source_id, word_no (place in the source), w_start, w_end; ``bands`` as for anchored_windows.
     """
     n = words.groupBy("source_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 40).cast("int")).alias("_step"))
     bin_ = lambda c: F.floor(F.col(c) / longest).cast("long")
     anchors = words.join(n, "source_id").filter(F.col("word_no") % F.col("_step") == 0)
-    anchors = anchors.select(F.col("source_id").alias("_s"), F.col("word_no").alias("first_word"), F.col("w_start").alias("start"), F.explode(F.array(bin_("w_start"), bin_("w_start") + 1)).alias("_b"))
+    anchors = _banded(anchors, bands, shortest, longest)
+    anchors = anchors.select(F.col("source_id").alias("_s"), "_lo", "_hi", F.col("word_no").alias("first_word"), F.col("w_start").alias("start"), F.explode(F.array(bin_("w_start"), bin_("w_start") + 1)).alias("_b"))
     rows = words.withColumn("_bin", bin_("w_end"))
-    met = anchors.join(rows, (anchors["_s"] == rows["source_id"]) & (anchors["_b"] == rows["_bin"]) & (rows["word_no"] >= anchors["first_word"]) & (rows["w_end"] - anchors["start"] <= longest))
-    best = met.groupBy("source_id", "first_word", "start").agg(F.max(F.struct(F.col("w_end").alias("end"), F.col("word_no").alias("last_word"))).alias("b"))
-    rows = best.select("source_id", "first_word", "b.last_word", "start", "b.end")
-    return rows.filter(F.col("end") - F.col("start") >= shortest)
+    met = anchors.join(rows, (anchors["_s"] == rows["source_id"]) & (anchors["_b"] == rows["_bin"]) & (rows["word_no"] >= anchors["first_word"]) & (rows["w_end"] - anchors["start"] <= anchors["_hi"]))
+    best = met.groupBy("source_id", "first_word", "start", "_lo").agg(F.max(F.struct(F.col("w_end").alias("end"), F.col("word_no").alias("last_word"))).alias("b"))
+    rows = best.select("source_id", "first_word", "b.last_word", "start", "b.end", "_lo")
+    return rows.filter(F.col("end") - F.col("start") >= F.col("_lo")).drop("_lo")
 
 
 def batches(rows: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:

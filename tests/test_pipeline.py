@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import review, windows
 from spanloom.operators.spans import spoken_words
 from spanloom.plans.options import Options, preset_name
-from spanloom.plans.pipeline import cover_completely, make_candidates, select_highlights
+from spanloom.plans.pipeline import cover_completely, find_highlights, make_candidates, plan_bands, run, scored_by_answers, select_highlights
 
 SUB = ("hook_score", "content_score", "story_score", "emotion_score", "standalone_score", "ending_score")
 SEGMENT = "source_id string, seg_idx int, start double, end double, text string, words array<struct<start: double, end: double, text: string>>"
@@ -101,13 +101,13 @@ def test_words_where_there_are_no_windows(spark):
     seg = spark.createDataFrame([("long", 0, 0.0, 60.0, "x", words[:60]), ("long", 1, 60.0, 100.0, "x", words[60:])], SEGMENT)
     numbers = windows.numbered_words(spoken_words(seg), 1)
     assert [(r.word_no, r.word) for r in numbers.orderBy("word_no").collect()] == [(i, f"w{i}") for i in range(100)]
-    found = make_candidates(seg, Options(shortest=8, longest=10, strategy="windows")).collect()
+    found = make_candidates(seg, Options(clips=5, shortest=8, longest=10, strategy="windows")).collect()
     assert found and all(8 <= r.end - r.start <= 10 and r.text.startswith(f"w{int(r.start)} ") for r in found)
 
 
 def test_candidates_grow_from_anchors(spark):
     seg = spark.createDataFrame(transcript("a", 12) + [("long", 0, 0.0, 25.0, "One.", []), ("long", 1, 25.0, 70.0, "Two.", [])], SEGMENT)
-    found = {(r.source_id, r.ordinal // 1_000_000, r.ordinal % 1_000_000 + 1): r for r in make_candidates(seg, Options(shortest=10, longest=20, strategy="windows")).collect()}
+    found = {(r.source_id, r.ordinal // 1_000_000, r.ordinal % 1_000_000 + 1): r for r in make_candidates(seg, Options(clips=1, shortest=10, longest=20, strategy="windows")).collect()}
     slid = {("a", a, n) for a in range(0, 12, 2) for n in (3, 5, 7) if a + n <= 12}
     grown = {("a", a, n) for a in range(0, 12, 2) for n in range(1, 13 - a) if 10 <= 4 * n - 0.5 <= 30}
     assert set(found) == slid | grown | {("long", 0, 1)} and len(grown - slid) > 5
@@ -137,3 +137,42 @@ def test_sources_without_words_are_widened(spark):
     only = lambda c: scorer(c).withColumns({x: F.when(F.col("ordinal") == 2_000_002, 99.0).otherwise(45.0) for x in SUB})
     found = {r.source_id: (r.start, r.end) for r in select_highlights(seg, only, options).collect()}
     assert found["mute"] == (4.0, 23.5) and found["a"][0] == 8.0
+
+
+def test_bands_follow_the_durations(spark):
+    seg = spark.createDataFrame(transcript("long", 80) + transcript("short", 12), SEGMENT)
+    options = Options(clips=6, shortest=10, longest=30, strategy="windows")
+    bands = {r.source_id: (r.min_s, r.max_s, r.stride) for r in plan_bands(seg, options).collect()}
+    assert bands["long"] == (10.0, 30.0, 2) and bands["short"][1] == 8.0 and bands["short"][2] == 1
+    made = make_candidates(seg, options).collect()
+    assert max(r.end - r.start for r in made if r.source_id == "short") <= 12.0 and {r.ordinal // 1_000_000 % 2 for r in made if r.source_id == "short"} == {0, 1}
+    assert {r.ordinal // 1_000_000 % 2 for r in made if r.source_id == "long"} == {0}
+    even = {r.source_id: (r.min_s, r.max_s) for r in plan_bands(seg, options.but(evenly=True)).collect()}
+    assert even["short"] == (8.0, 8.0) and even["long"] == (10.0, 30.0)
+
+
+def test_answers_find_their_candidates(spark):
+    """A model that echoes places but makes up the times of one batch, and leaves one entry out."""
+    seg = spark.createDataFrame(transcript("a", 40), SEGMENT)
+    options = Options(clips=3, shortest=10, longest=30, strategy="windows")
+
+    def answer(asked):
+        rows = asked.filter("NOT (batch_no = 0 AND place = 1)").withColumn("entry_no", F.col("place"))
+        shift = F.when(F.col("batch_no") == 1, F.lit(1e6)).otherwise(F.lit(0.4))
+        rows = rows.withColumns({"e_start": F.col("start") + shift, "e_end": F.col("end") + shift, "echoed": F.when(F.col("batch_no") == 1, F.col("place").cast("string"))})
+        return rows.select("source_id", "batch_no", "entry_no", "e_start", "e_end", "echoed", *[F.lit(70.0 + i).alias(c) for i, c in enumerate(SUB)])
+
+    made = make_candidates(seg, options)
+    found = scored_by_answers(made, answer, 4)
+    methods = {r.method: r.n for r in found.groupBy("method").agg(F.count("*").alias("n")).collect()}
+    assert methods["index"] == 4 and methods["nearest"] == made.count() - 5
+    result = find_highlights(seg, lambda c: scored_by_answers(c, answer, 4), options.but(clips=40))
+    why = {r.reason: r.clips for r in result.why.collect()}
+    assert why["unmatched"] == 1 and why["matched_by_index"] == 4 and why["missing"] == 40 - result.clips.count() and why["overlapping"] > 0 and why["room"] > 0
+
+
+def test_run_covers_or_selects(spark):
+    seg = spark.createDataFrame(transcript("a", 60), SEGMENT)
+    parts = run(seg, scorer, Options(cover=True, part_length=60)).orderBy("index").collect()
+    assert [p["index"] for p in parts] == [1, 2, 3, 4] and parts[0].start == 0.0 and parts[-1].end == 239.5 and parts[0].score is None
+    assert run(seg, scorer, Options(clips=2, shortest=10, longest=30, strategy="windows")).count() == 2
