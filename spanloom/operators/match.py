@@ -108,6 +108,23 @@ def edited_segments(segments: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.select(*others, start.alias("start"), checked.alias("end"), text.alias("text"), F.when(same, F.col("words")).otherwise(F.array().cast(segments.schema["words"].dataType)).alias("words"))
 
 
+def edit_faults(edits: DataFrame, durations: DataFrame) -> DataFrame:
+    """source_id, seg_idx, fault of edits (source_id, seg_idx, start, end) that can't be used: 'times' where they aren't
+    0 <= start < end <= duration (source_id, duration), 'order' where an earlier one starts later.
+
+    The greatest start of each block of 1,024 indices is carried, so that no task orders a whole source.
+    """
+    rows = edits.join(durations.select("source_id", F.col("duration").alias("_d")), "source_id", "left").withColumn("_b", F.floor(F.col("seg_idx") / 1_024))
+    before = (Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("source_id", "_b").agg(F.max("start").alias("_m"))
+    blocks = blocks.select("source_id", "_b", F.max("_m").over(Window.partitionBy("source_id").orderBy("_b").rowsBetween(*before)).alias("_far"))
+    near = F.max("start").over(Window.partitionBy("source_id", "_b").orderBy("seg_idx").rowsBetween(*before))
+    rows = rows.withColumn("_near", near).join(blocks, ["source_id", "_b"])
+    times = F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("_d")) & ~F.isnan("start") & ~F.isnan("end"), F.lit(False))
+    order = F.coalesce(F.greatest("_near", "_far") > F.col("start"), F.lit(False))
+    return rows.withColumn("fault", F.when(~times, "times").when(order, "order")).filter("fault IS NOT NULL").select("source_id", "seg_idx", "fault")
+
+
 def distinct_names(files: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
     """``files`` with entry_name: the first row of a name keeps it, later ones get their place in front."""
     w = Window.partitionBy(*keys, name).orderBy(order)

@@ -141,17 +141,38 @@ def complete_parts(sources: DataFrame, pauses: DataFrame, words: DataFrame, leng
     rows = rows.withColumn("count", count)
     places = rows.filter("count > 1").select("source_id", F.explode(F.sequence(F.lit(1), F.col("count") - 1)).alias("point_id"), "duration", "count")
     places = places.select("source_id", "point_id", (F.col("duration") * F.col("point_id") / F.col("count")).alias("_p"))
+    rows = rows.select("source_id", "duration", "count", F.lit(None).cast("array<double>").alias("targets"))
+    return _parted(rows, places, pauses, words, least, snap_s, math.inf)
+
+
+def snapped_parts(parts: DataFrame, pauses: DataFrame, words: DataFrame, least: float = 3.0, snap_s: float = 2.5) -> DataFrame:
+    """source_id, part_no, start, end: given consecutive parts whose shared edges are moved to pauses or word edges near them.
+
+    ``parts``: source_id, part_no, start, end, without a gap. An edge moves by at most ``snap_s``, to the deepest pause
+    or else out of a word that it cuts, and stays where neither is near; parts keep ``least`` seconds. The first start
+    and the last end stay. A source's parts are one row.
+    """
+    last = F.max(F.struct("part_no", "end")).alias("_l")
+    own = parts.groupBy("source_id").agg(F.count("*").cast("int").alias("count"), last, F.min("start").alias("_first"), F.array_sort(F.collect_list(F.struct("part_no", "end"))).alias("_e"))
+    rows = own.select("source_id", F.col("_l.end").alias("duration"), "count", F.transform(F.slice("_e", 1, F.col("count") - 1), lambda x: x["end"]).alias("targets"))
+    inner = own.select("source_id", F.posexplode(F.slice("_e", 1, F.col("count") - 1)).alias("point_id", "x")).select("source_id", "point_id", F.col("x.end").alias("_p"))
+    moved = _parted(rows, inner, pauses, words, least, snap_s, snap_s)
+    return moved.join(own.select("source_id", "_first"), "source_id").withColumn("start", F.when(F.col("part_no") == 0, F.col("_first")).otherwise(F.col("start"))).drop("_first")
+
+
+def _parted(rows: DataFrame, places: DataFrame, pauses: DataFrame, words: DataFrame, least: float, snap_s: float, word_snap: float) -> DataFrame:
+    """Parts of sources (source_id, duration, count, targets) with the pauses and words near their ``places`` (source_id, point_id, _p)."""
     reach = snap_s + least
     p = _near(places, pauses.select("source_id", "moment", "gap"), "_p", ("moment", "moment"), reach).select("source_id", F.struct(F.col("moment").alias("a"), F.col("gap").alias("b")).alias("x")).distinct().groupBy("source_id").agg(F.collect_list("x").alias("pauses"))
     w = _near(places, words.select("source_id", "w_start", "w_end"), "_p", ("w_start", "w_end"), reach).select("source_id", F.struct(F.col("w_start").alias("a"), F.col("w_end").alias("b")).alias("x")).distinct().groupBy("source_id").agg(F.array_sort(F.collect_list("x")).alias("words"))
-    rows = rows.select("source_id", "duration", "count").join(p, "source_id", "left").join(w, "source_id", "left")
+    rows = rows.join(p, "source_id", "left").join(w, "source_id", "left")
 
     def run(batches):
         pairs = lambda xs: [(x["a"], x["b"]) for x in xs] if xs is not None else []
         for batch in batches:
             out = []
-            for source, duration, n, pauses_, words_ in batch[["source_id", "duration", "count", "pauses", "words"]].itertuples(index=False):
-                edges = part_edges(duration, int(n), pairs(pauses_), pairs(words_), least, snap_s)
+            for source, duration, n, targets, pauses_, words_ in batch[["source_id", "duration", "count", "targets", "pauses", "words"]].itertuples(index=False):
+                edges = part_edges(duration, int(n), pairs(pauses_), pairs(words_), least, snap_s, word_snap, None if targets is None else list(targets))
                 out += [(source, k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
             yield pd.DataFrame(out, columns=["source_id", "part_no", "start", "end"]).astype({"source_id": object, "part_no": "int32", "start": "float64", "end": "float64"})
 

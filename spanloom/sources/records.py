@@ -87,6 +87,51 @@ def media_files(spark: SparkSession, folder: str, endings: tuple[str, ...]) -> D
     return rows.filter(F.lower(F.regexp_extract("path", "(\\.[^./]*)$", 1)).isin(*endings)).orderBy("path")
 
 
+def batch_targets(spark: SparkSession, file: str | None = None, folder: str | None = None, endings: tuple[str, ...] = (".mp4", ".mkv", ".mov", ".avi", ".webm")) -> list[str]:
+    """The media files of a run: one that is named, or all of a folder in order of their paths. Names only are read.
+
+    Raises ValueError where both or neither are named, where nothing is there, and for files of another ending.
+    """
+    if (file is None) == (folder is None):
+        raise ValueError("name either a file or a folder")
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = [r["path"] for r in spark.read.format("binaryFile").load(file or folder).select("path").collect()]
+    except AnalysisException as e:
+        raise ValueError(f"nothing at {file or folder}") from e
+    fit = sorted(p for p in found if p.lower().endswith(endings))
+    if not fit:
+        raise ValueError(f"no file with one of {', '.join(endings)} at {file or folder}")
+    return fit
+
+
+def write_lines(rows: DataFrame, path: str, key: str, order: list[str], line: str, head: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
+    """One text for each ``key``: the ``head`` and column ``line`` in order of ``order``, in folders key=... of ``path``.
+
+    The lines of a key are written by one task as they come, sorted outside its memory; nothing is collected.
+    """
+    first = rows.select(key).distinct().select(key, F.lit(0).alias("_part"), F.posexplode(F.array(*[F.lit(h) for h in head])).alias("_no", "_line")) if head else None
+    place = F.struct(*order)
+    body = rows.select(key, F.lit(1).alias("_part"), F.lit(0).alias("_no"), F.col(line).alias("_line"), place.alias("_o"))
+    both = body if first is None else body.unionByName(first.withColumn("_o", F.lit(None).cast(body.schema["_o"].dataType)))
+    both.repartition(key).sortWithinPartitions(key, "_part", "_no", "_o").select(key, F.col("_line").alias("value")).write.mode(mode).partitionBy(key).text(path)
+
+
+#: Begins a file of styled captions; fixed values of the format, with one style for captions.
+ASS_HEAD = (
+    "[Script Info]", "ScriptType: v4.00+", "PlayResX: {width}", "PlayResY: {height}", "", "[V4+ Styles]",
+    "Format: Name, Fontname, Fontsize, PrimaryColour, Bold, BorderStyle, Outline, Alignment, MarginL, MarginR, MarginV",
+    "Style: Caption,Arial,{size},&H00FFFFFF,-1,1,3,2,40,40,{margin}", "", "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text",
+)
+
+
+def ass_head(width: int, height: int) -> tuple[str, ...]:
+    """The head for frames of a size: letters of 4.5 % of the height, 12 % above its lower edge."""
+    values = {"width": width, "height": height, "size": max(18, int(height * 0.045)), "margin": int(height * 0.12)}
+    return tuple(line.format(**values) for line in ASS_HEAD)
+
+
 def parsed_answers(answers: DataFrame, answer: str = "answer") -> DataFrame:
     """Entries of a model's answers ({"clips": [...]} in whatever wrapping), one row each, with entry_no and numbers cast.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.plans.lineage import cut
@@ -53,3 +53,53 @@ def scored_with_retries(candidates: DataFrame, scorer: Callable[[DataFrame, int]
             if left.isEmpty():
                 return found
     return found
+
+
+def answered_in_batches(candidates: DataFrame, ask: Callable[[DataFrame, int], DataFrame], attempts: int = 3, depth: int = 2) -> DataFrame:
+    """Entries of a model's answers: source_id, node, ordinal and whatever else ``ask`` gives, with the accepted ones of each batch.
+
+    ``candidates``: source_id, ordinal, batch_no, place; ``ask`` takes those of the open batches, with node (a batch or a
+    part of one), and the number of the round, and gives entries with source_id, node, ordinal. An answer is accepted if it has
+    entries, and at least 60 % of a batch of four or more; the rest of an accepted batch isn't asked again. What isn't
+    accepted in ``attempts`` rounds is halved, ``depth`` times at most; where both halves stay without an entry, the
+    answer that had the most of the whole counts. Each round is written to the checkpoint folder.
+    """
+    node, keys = F.concat(F.col("batch_no").cast("string"), F.lit("/")), ["source_id", "node"]
+    left = cut(candidates.withColumn("node", node))
+    levels, number = [], 0
+    for level in range(depth + 1):
+        best, taken = None, []
+        for attempt in range(attempts):
+            sent = left.groupBy(*keys).agg(F.count("*").alias("_sent"))
+            entries = cut(ask(left, number).withColumn("_try", F.lit(attempt)))
+            number += 1
+            came = entries.groupBy(*keys).agg(F.count("*").alias("_came"))
+            good = came.join(sent, keys).filter((F.col("_came") > 0) & ~((F.col("_sent") >= 4) & (5 * F.col("_came") < 3 * F.col("_sent")))).select(*keys)
+            taken.append(entries.join(good, keys, "left_semi"))
+            poor = entries.join(good, keys, "left_anti")
+            best = poor if best is None else best.unionByName(poor)
+            left = cut(left.join(good, keys, "left_anti"))
+            if left.isEmpty():
+                break
+        accepted = taken[0]
+        for more in taken[1:]:
+            accepted = accepted.unionByName(more)
+        # Of what was never accepted, the attempt with the most entries, the first of equal ones.
+        best = best.join(left.select(*keys).distinct(), keys, "left_semi")
+        many = best.groupBy(*keys, "_try").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.max(F.struct("_n", -F.col("_try"))).alias("_b"))
+        best = best.join(many.select(*keys, (-F.col("_b.col2")).alias("_try")), [*keys, "_try"], "left_semi")
+        levels.append((cut(accepted.drop("_try")), cut(best.drop("_try"))))
+        if left.isEmpty() or level == depth:
+            break
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
+        half = F.when(place <= F.floor(F.count("*").over(Window.partitionBy(*keys)) / 2), F.lit("0")).otherwise(F.lit("1"))
+        left = cut(left.withColumn("node", F.concat("node", half)))
+    found = None
+    for accepted, best in reversed(levels):
+        if found is None:
+            found = accepted.unionByName(best)
+            continue
+        # A node's parts are named by it and one more sign.
+        parts = found.select("source_id", F.expr("substr(node, 1, length(node) - 1)").alias("node")).distinct()
+        found = accepted.unionByName(best.join(parts, keys, "left_anti")).unionByName(found.withColumn("node", F.expr("substr(node, 1, length(node) - 1)")))
+    return found

@@ -374,3 +374,36 @@ def test_entries_without_a_batch(spark, monkeypatch):
     monkeypatch.setattr(q, "candidates", lambda *_: spark.createDataFrame(pool, "cand_id long, run_id string, cand_idx int, start double, end double"))
     monkeypatch.setattr(q, "clips", lambda *_: spark.createDataFrame(clips, "clip_id long, run_id string, cand_id long, start double, end double"))
     assert rows(q.layered(spark, "")) == [("dropped", 2), ("exact", 3)]
+
+
+def test_snapped_parts(spark):
+    parts = spark.createDataFrame([("s", 0, 0.0, 9.5), ("s", 1, 9.5, 20.0), ("t", 0, 5.0, 30.0), ("u", 0, 0.0, 10.0), ("u", 1, 10.0, 20.0)], "source_id string, part_no int, start double, end double")
+    words = spark.createDataFrame([("s", 8.0, 9.0), ("s", 11.0, 12.0), ("u", 9.5, 14.0)], "source_id string, w_start double, w_end double")
+    pauses = spark.createDataFrame([("s", 10.0, 2.0)], "source_id string, moment double, gap double")
+    found = snap.snapped_parts(parts, pauses, words)
+    assert rows(found.select("source_id", "part_no", "start", "end")) == [("s", 0, 0.0, 10.0), ("s", 1, 10.0, 20.0), ("t", 0, 5.0, 30.0), ("u", 0, 0.0, 9.5), ("u", 1, 9.5, 20.0)]
+    assert snap.snapped_parts(parts.limit(0), pauses, words).count() == 0
+
+
+def test_edit_faults(spark):
+    edits = spark.createDataFrame([("s", 0, 0.0, 5.0), ("s", 1, 9.0, 12.0), ("s", 1_500, 8.0, 9.0), ("s", 2_000, 9.0, 99.0), ("s", 2_001, None, 9.0), ("x", 0, 0.0, 1.0)], "source_id string, seg_idx int, start double, end double")
+    d = spark.createDataFrame([("s", 50.0)], "source_id string, duration double")
+    assert rows(match.edit_faults(edits, d)) == [("s", 1_500, "order"), ("s", 2_000, "times"), ("s", 2_001, "times"), ("x", 0, "times")]
+
+
+def test_texts_of_sources(spark, tmp_path):
+    df = spark.createDataFrame([("a", i, f"line {i}") for i in (10, 2, 1)] + [("b", 0, "only")], "source_id string, seg_idx int, line string")
+    records.write_lines(df, str(tmp_path / "out"), "source_id", ["seg_idx"], "line", head=records.ass_head(1080, 1920)[:2])
+    read = lambda k: "".join(p.read_text() for p in sorted((tmp_path / "out" / f"source_id={k}").glob("part*"))).splitlines()
+    assert read("a") == ["[Script Info]", "ScriptType: v4.00+", "line 1", "line 2", "line 10"] and read("b")[-1] == "only"
+    assert "Style: Caption,Arial,86," in "\n".join(records.ass_head(1080, 1920))
+
+
+def test_targets_of_a_run(spark, tmp_path):
+    for name in ("b.MP4", "a.mkv", "c.txt"):
+        (tmp_path / name).write_text("x")
+    assert [p.rsplit("/", 1)[1] for p in records.batch_targets(spark, folder=str(tmp_path))] == ["a.mkv", "b.MP4"]
+    (tmp_path / "none").mkdir()
+    for bad in ({}, {"file": "x", "folder": "y"}, {"folder": str(tmp_path / "missing")}, {"file": str(tmp_path / "c.txt")}, {"folder": str(tmp_path / "none")}):
+        with pytest.raises(ValueError):
+            records.batch_targets(spark, **bad)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from spanloom.streaming.live import coverage_windows, first_deliveries, score_batches, scored_with_retries
+from spanloom.streaming.live import answered_in_batches, coverage_windows, first_deliveries, score_batches, scored_with_retries
 
 
 def test_stream_of_spans(spark, tmp_path):
@@ -25,3 +25,23 @@ def test_rounds_of_scoring(spark):
 
     assert scored_with_retries(df, scorer, 8).count() == 10
     assert sizes == [8, 8, 8, 4]
+
+
+def test_answers_of_batches(spark):
+    """Accepted at 60 %; halved after three attempts; the best partial answer where both halves fail."""
+    df = spark.createDataFrame([("s", i, i // 8, i % 8) for i in range(32)], "source_id string, ordinal int, batch_no int, place int")
+    asked = []
+
+    def ask(left, number):
+        asked.append({r.node: r.n for r in left.groupBy("node").agg(F.count("*").alias("n")).collect()})
+        o, p = F.col("ordinal"), F.col("place")
+        good = (F.col("batch_no") == 0) & (p < 5)  # 5 of 8 are enough
+        good = good | ((F.col("batch_no") == 1) & (number == 2))  # the third attempt
+        good = good | ((F.col("batch_no") == 2) & ((number < 3) & (p <= number) | (F.col("node") == "2/0")))  # one half
+        good = good | ((F.col("batch_no") == 3) & (number == 1) & (p < 3))  # never, but for 3 of 8 once
+        return left.filter(good).select("source_id", "node", "ordinal")
+
+    found = sorted(r.ordinal for r in answered_in_batches(df, ask).collect())
+    assert found == [*range(5), *range(8, 16), *range(16, 20), 24, 25, 26]
+    assert asked[0] == {"0/": 8, "1/": 8, "2/": 8, "3/": 8} and asked[1] == {"1/": 8, "2/": 8, "3/": 8} and asked[3] == {"2/0": 4, "2/1": 4, "3/0": 4, "3/1": 4}
+    assert set(asked[-1]) == {"2/10", "2/11", "3/00", "3/01", "3/10", "3/11"}
