@@ -8,10 +8,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.folds import ordered_fold
 from spanloom.operators.spans import BIN_S, bin_of, bins_of, timed
 
 
@@ -106,32 +106,60 @@ def with_neighbours(spans: DataFrame, segments: DataFrame, longest: float | Colu
     return rows.withColumn("end", F.when(F.col("_ae") <= F.col("start") + longest + slack, F.col("_ae")).otherwise(F.col("end"))).drop("_bs", "_ae")
 
 
+def next_edge(last: float, low: float, high: float, target: float, pauses: list[tuple[float, float]], words: list[tuple[float, float]], snap_s: float, word_snap: float) -> float:
+    """The edge near ``target`` from ``low`` to ``high``: the deepest pause (moment, gap) near it, else the edge of a word that it cuts; ``last`` where it can't lie after that."""
+    near = [(g, -abs(m - target), -m, m) for m, g in pauses if abs(m - target) <= snap_s and low <= m <= high]
+    if near:
+        at = max(near)[3]
+    else:
+        at = min(max(target, low), high)
+        word = next(((s, e) for s, e in words if s < at < e), None)
+        fits = [x for x in word if low <= x <= high and abs(x - at) <= word_snap] if word else []
+        at = min(fits, key=lambda x: abs(x - at)) if fits else at
+    return max(at, last)
+
+
 def part_edges(duration: float, count: int, pauses: list[tuple[float, float]], words: list[tuple[float, float]], least: float = 3.0, snap_s: float = 2.5, word_snap: float = math.inf, targets: list[float] | None = None) -> list[float]:
     """Edges of consecutive parts from 0 to ``duration``, each near its even place but at a pause or word edge if it can be."""
     edges = [0.0]
     for i in range(1, count):
-        target = targets[i - 1] if targets else i * duration / count
-        low, high = edges[-1] + least, duration - least * (count - i)
-        near = [(g, -abs(m - target), -m, m) for m, g in pauses if abs(m - target) <= snap_s and low <= m <= high]
-        if near:
-            at = max(near)[3]
-        else:
-            at = min(max(target, low), high)
-            word = next(((s, e) for s, e in words if s < at < e), None)
-            if word:
-                fits = [x for x in word if low <= x <= high and abs(x - at) <= word_snap]
-                at = min(fits, key=lambda x: abs(x - at)) if fits else at
+        at = next_edge(edges[-1], edges[-1] + least, duration - least * (count - i), targets[i - 1] if targets else i * duration / count, pauses, words, snap_s, word_snap)
         if at > edges[-1]:
             edges.append(at)
     return [*edges, duration]
 
 
+class _Parts:
+    """Of the places of a source in order, the parts that end there; the last part ends with the source."""
+
+    def __init__(self, least: float, snap_s: float, word_snap: float):
+        self.least, self.snap_s, self.word_snap, self.edge, self.no, self.end_ = least, snap_s, word_snap, 0.0, 0, 0.0
+
+    def _part(self, to: float) -> list[tuple]:
+        found = [(self.no, self.edge, to)]
+        self.edge, self.no = to, self.no + 1
+        return found
+
+    def add(self, row) -> list[tuple]:
+        self.end_ = row.duration
+        if row.point_id == 0:
+            self.edge = row.target
+            return []
+        pairs = lambda xs: [(x["a"], x["b"]) for x in xs] if xs is not None else []
+        high = row.duration - self.least * (row.many - row.point_id)
+        at = next_edge(self.edge, self.edge + self.least, high, row.target, pairs(row.pauses), pairs(row.words), self.snap_s, self.word_snap)
+        return self._part(at) if at > self.edge else []
+
+    def end(self) -> list[tuple]:
+        return self._part(self.end_)
+
+
 def complete_parts(sources: DataFrame, pauses: DataFrame, words: DataFrame, length: float, least: float = 3.0, snap_s: float = 2.5) -> DataFrame:
     """source_id, part_no, start, end: parts of about ``length`` seconds that cover each source without a gap.
 
-    ``sources``: source_id, duration. Each edge depends on the one before, so a source is one task; but only the pauses
-    and words near the even places are sent to it, a bounded number for each part. Sources without a usable duration
-    have no part.
+    ``sources``: source_id, duration. Each edge depends on the one before, so the places of a source are gone through in
+    order; only one place, with the pauses and words near it, is held at a time. Sources without a usable duration have
+    no part.
     """
     if not length >= least:
         raise ValueError(f"a part needs {least:g} seconds or more")
@@ -139,10 +167,9 @@ def complete_parts(sources: DataFrame, pauses: DataFrame, words: DataFrame, leng
     rows = sources.filter(d.isNotNull() & ~F.isnan(d) & (d > 0) & (d < float("inf"))).withColumn("duration", d)
     count = F.least(F.greatest(F.lit(1), F.ceil(d / length).cast("int")), F.greatest(F.lit(1), F.floor(d / least).cast("int")))
     rows = rows.withColumn("count", count)
-    places = rows.filter("count > 1").select("source_id", F.explode(F.sequence(F.lit(1), F.col("count") - 1)).alias("point_id"), "duration", "count")
-    places = places.select("source_id", "point_id", (F.col("duration") * F.col("point_id") / F.col("count")).alias("_p"))
-    rows = rows.select("source_id", "duration", "count", F.lit(None).cast("array<double>").alias("targets"))
-    return _parted(rows, places, pauses, words, least, snap_s, math.inf)
+    places = rows.select("source_id", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("point_id"), "duration", F.col("count").alias("many"))
+    places = places.withColumn("target", F.col("duration") * F.col("point_id") / F.col("many"))
+    return _parted(places, pauses, words, least, snap_s, math.inf)
 
 
 def snapped_parts(parts: DataFrame, pauses: DataFrame, words: DataFrame, least: float = 3.0, snap_s: float = 2.5) -> DataFrame:
@@ -150,30 +177,24 @@ def snapped_parts(parts: DataFrame, pauses: DataFrame, words: DataFrame, least:
 
     ``parts``: source_id, part_no, start, end, without a gap. An edge moves by at most ``snap_s``, to the deepest pause
     or else out of a word that it cuts, and stays where neither is near; parts keep ``least`` seconds. The first start
-    and the last end stay. A source's parts are one row.
+    and the last end stay. What is sent of a source is gone through as in complete_parts.
     """
-    last = F.max(F.struct("part_no", "end")).alias("_l")
-    own = parts.groupBy("source_id").agg(F.count("*").cast("int").alias("count"), last, F.min("start").alias("_first"), F.array_sort(F.collect_list(F.struct("part_no", "end"))).alias("_e"))
-    rows = own.select("source_id", F.col("_l.end").alias("duration"), "count", F.transform(F.slice("_e", 1, F.col("count") - 1), lambda x: x["end"]).alias("targets"))
-    inner = own.select("source_id", F.posexplode(F.slice("_e", 1, F.col("count") - 1)).alias("point_id", "x")).select("source_id", "point_id", F.col("x.end").alias("_p"))
-    moved = _parted(rows, inner, pauses, words, least, snap_s, snap_s)
-    return moved.join(own.select("source_id", "_first"), "source_id").withColumn("start", F.when(F.col("part_no") == 0, F.col("_first")).otherwise(F.col("start"))).drop("_first")
-
-
-def _parted(rows: DataFrame, places: DataFrame, pauses: DataFrame, words: DataFrame, least: float, snap_s: float, word_snap: float) -> DataFrame:
-    """Parts of sources (source_id, duration, count, targets) with the pauses and words near their ``places`` (source_id, point_id, _p)."""
-    reach = snap_s + least
-    p = _near(places, pauses.select("source_id", "moment", "gap"), "_p", ("moment", "moment"), reach).select("source_id", F.struct(F.col("moment").alias("a"), F.col("gap").alias("b")).alias("x")).distinct().groupBy("source_id").agg(F.collect_list("x").alias("pauses"))
-    w = _near(places, words.select("source_id", "w_start", "w_end"), "_p", ("w_start", "w_end"), reach).select("source_id", F.struct(F.col("w_start").alias("a"), F.col("w_end").alias("b")).alias("x")).distinct().groupBy("source_id").agg(F.array_sort(F.collect_list("x")).alias("words"))
-    rows = rows.join(p, "source_id", "left").join(w, "source_id", "left")
-
-    def run(batches):
-        pairs = lambda xs: [(x["a"], x["b"]) for x in xs] if xs is not None else []
-        for batch in batches:
-            out = []
-            for source, duration, n, targets, pauses_, words_ in batch[["source_id", "duration", "count", "targets", "pauses", "words"]].itertuples(index=False):
-                edges = part_edges(duration, int(n), pairs(pauses_), pairs(words_), least, snap_s, word_snap, None if targets is None else list(targets))
-                out += [(source, k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-            yield pd.DataFrame(out, columns=["source_id", "part_no", "start", "end"]).astype({"source_id": object, "part_no": "int32", "start": "float64", "end": "float64"})
-
-    return rows.mapInPandas(run, "source_id string, part_no int, start double, end double")
+    ends = parts.groupBy("source_id").agg(F.count("*").cast("int").alias("many"), F.max("end").alias("duration"), F.min("start").alias("_first"))
+    places = parts.select("source_id", (F.col("part_no") + 1).alias("point_id"), F.col("end").alias("target")).join(ends, "source_id").filter("point_id < many")
+    places = places.select("source_id", "point_id", "duration", "many", "target")
+    places = places.unionByName(ends.select("source_id", F.lit(0).alias("point_id"), "duration", "many", F.col("_first").alias("target")))
+    return _parted(places, pauses, words, least, snap_s, snap_s)
+
+
+def _parted(places: DataFrame, pauses: DataFrame, words: DataFrame, least: float, snap_s: float, word_snap: float) -> DataFrame:
+    """Parts of sources by their ``places`` (source_id, point_id, duration, many, target), of which the first, 0, is where the first part begins."""
+    reach, keys = snap_s + least, ["source_id", "point_id"]
+    inner = places.filter("point_id > 0").select(*keys, F.col("target").alias("_p"))
+
+    def near(things: DataFrame, at: tuple[str, str], name: str) -> DataFrame:
+        met = _near(inner, things, "_p", at, reach).select(*keys, F.struct(*[F.col(c).alias(n) for c, n in zip(things.columns[1:], "ab")]).alias("x"))
+        return met.groupBy(*keys).agg(F.array_sort(F.collect_set("x")).alias(name))
+
+    rows = places.join(near(pauses.select("source_id", "moment", "gap"), ("moment", "moment"), "pauses"), keys, "left")
+    rows = rows.join(near(words.select("source_id", "w_start", "w_end"), ("w_start", "w_end"), "words"), keys, "left")
+    return ordered_fold(rows, ["source_id"], ["point_id"], lambda: _Parts(least, snap_s, word_snap), "source_id string, part_no int, start double, end double")

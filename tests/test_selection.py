@@ -377,11 +377,11 @@ def test_entries_without_a_batch(spark, monkeypatch):
 
 
 def test_snapped_parts(spark):
-    parts = spark.createDataFrame([("s", 0, 0.0, 9.5), ("s", 1, 9.5, 20.0), ("t", 0, 5.0, 30.0), ("u", 0, 0.0, 10.0), ("u", 1, 10.0, 20.0)], "source_id string, part_no int, start double, end double")
+    parts = spark.createDataFrame([("s", 0, 0.0, 9.5), ("s", 1, 9.5, 20.0), ("t", 0, 5.0, 30.0), ("v", 0, 7.0, 9.0), ("v", 1, 9.0, 30.0), ("u", 0, 0.0, 10.0), ("u", 1, 10.0, 20.0)], "source_id string, part_no int, start double, end double")
     words = spark.createDataFrame([("s", 8.0, 9.0), ("s", 11.0, 12.0), ("u", 9.5, 14.0)], "source_id string, w_start double, w_end double")
     pauses = spark.createDataFrame([("s", 10.0, 2.0)], "source_id string, moment double, gap double")
     found = snap.snapped_parts(parts, pauses, words)
-    assert rows(found.select("source_id", "part_no", "start", "end")) == [("s", 0, 0.0, 10.0), ("s", 1, 10.0, 20.0), ("t", 0, 5.0, 30.0), ("u", 0, 0.0, 9.5), ("u", 1, 9.5, 20.0)]
+    assert rows(found.select("source_id", "part_no", "start", "end")) == [("s", 0, 0.0, 10.0), ("s", 1, 10.0, 20.0), ("t", 0, 5.0, 30.0), ("u", 0, 0.0, 9.5), ("u", 1, 9.5, 20.0), ("v", 0, 7.0, 10.0), ("v", 1, 10.0, 30.0)]
     assert snap.snapped_parts(parts.limit(0), pauses, words).count() == 0
 
 
