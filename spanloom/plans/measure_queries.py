@@ -13,7 +13,7 @@ from spanloom.functions.text import ass_time, containment, escape_ass, extracted
 from spanloom.functions.urls import PLATFORMS, needs_sign_in, normal_url, platform, single_video, stream_plan
 from spanloom.operators.corrections import hotwords, parse_rules
 from spanloom.operators.frames import face_in_person, holds_box, loudness, luma_stats, median_faces, two_largest
-from spanloom.operators.match import distinct_names, edited_segments
+from spanloom.operators.match import distinct_names, edit_faults, edited_segments
 from spanloom.operators.periods import sound_span
 from spanloom.operators.queue import expired, slice_findings, stalled, verdict
 from spanloom.operators.review import before_failures, unsure_languages
@@ -21,6 +21,7 @@ from spanloom.operators.select import accepted, dropped, finals, reject_counts,
 from spanloom.operators.tracking import followed, smoothed
 from spanloom.operators.windows import batches
 from spanloom.plans.bases import CANDS, CLIPS, SEGS, SOUND, candidates, clips, segments
+from spanloom.sources.records import srt_cues
 from spanloom.sources.tables import table
 
 HOSTS = ("www.YouTube.com", "youtu.be", "m.facebook.com", "fb.watch", "x.com", "notx.com", "vm.tiktok.com", "instagram.com:443", "example.org", "user@example.org", "", "files.example.org")
@@ -210,6 +211,20 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_segments(rows, changed).select("source_id", "seg_idx", "start", "end", "text", F.coalesce(F.size("words"), F.lit(0)).alias("words"))
 
 
+def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions of each source as numbered cues."""
+    from spanloom.plans.candidate_queries import captions
+
+    return srt_cues(captions(spark, sf_dir))
+
+
+def edit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments, taken as edits, that are out of order or out of a source's time, which here ends where most segments do."""
+    rows = segments(spark, sf_dir, "start", "end")
+    ends = rows.groupBy("source_id").agg(F.percentile(F.when(~F.isnan("end"), F.col("end")), F.lit(0.95)).alias("duration"))
+    return edit_faults(rows.withColumn("start", F.when(F.col("seg_idx") % 11 == 0, F.col("start") - 30).otherwise(F.col("start"))), ends)
+
+
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in an archive of the sources' files: the first of a name keeps it."""
     rows = table(spark, sf_dir, "queue_items").dropDuplicates(["id"])
@@ -220,7 +235,7 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "addresses": addresses, "streams": streams, "answers": answers, "light": light, "median_faces": medians, "sound_levels": sound_levels, "boxes": boxes, "crops": crops, "seconds": seconds,
     "glossary_rules": glossary, "smooth_frames": smooth_frames, "follow_frames": follow_frames, "verdicts": verdicts, "findings": findings, "dead_jobs": dead_jobs, "stopped_chunks": stopped_chunks,
-    "unsure_languages": unsure, "rejected_clips": rejected_clips, "request_batches": request_batches, "shortfalls": shortfalls, "alike_clips": alike_clips, "context_shares": context_shares, "edited_segments": edits, "file_names": file_names,
+    "unsure_languages": unsure, "rejected_clips": rejected_clips, "request_batches": request_batches, "shortfalls": shortfalls, "alike_clips": alike_clips, "context_shares": context_shares, "edited_segments": edits, "file_names": file_names, "srt_cues": cues, "edit_checks": edit_checks,
 }
 
 
@@ -293,6 +308,10 @@ SELECT a.* FROM a LEFT JOIN s USING (run_id) WHERE stop IS NULL OR cand_idx <= s
     "request_batches": f"WITH {CANDS}, d AS (SELECT DISTINCT run_id, cand_idx FROM cands WHERE cand_idx IS NOT NULL) SELECT run_id, CAST(cand_idx // 4 AS INTEGER) AS batch_no, count(*) AS candidates, CAST(max(cand_idx % 4) AS INTEGER) AS last_place FROM d GROUP BY ALL",
     "edited_segments": f"""WITH {SEGS} SELECT source_id, seg_idx, start, CASE WHEN seg_idx % 5 = 0 THEN "end" + 1 ELSE "end" END AS "end", CASE WHEN seg_idx % 7 = 0 THEN '* ' || coalesce(text, '') ELSE text END AS text,
   CASE WHEN seg_idx % 5 = 0 OR seg_idx % 7 = 0 THEN 0 ELSE CAST(coalesce(len(words), 0) AS INTEGER) END AS words FROM segs WHERE {SOUND}""",
+    "edit_checks": f"""WITH {SEGS}, e AS (SELECT source_id, quantile_cont("end", 0.95) FILTER (CAST("end" AS VARCHAR) <> 'nan') AS d FROM segs GROUP BY ALL),
+r AS (SELECT source_id, seg_idx, CASE WHEN seg_idx % 11 = 0 THEN start - 30 ELSE start END AS s, "end" AS e, d FROM segs JOIN e USING (source_id)),
+b AS (SELECT *, max(s) OVER (PARTITION BY source_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
+SELECT source_id, seg_idx, fault FROM (SELECT *, CASE WHEN NOT coalesce(s >= 0 AND s < e AND e <= d AND CAST(s AS VARCHAR) <> 'nan' AND CAST(e AS VARCHAR) <> 'nan', false) THEN 'times' WHEN before > s THEN 'order' END AS fault FROM b) WHERE fault IS NOT NULL""",
     "file_names": r"""WITH f AS (SELECT id, lower(regexp_extract(source, '(\.[^./]*)$', 1)) AS name FROM (SELECT DISTINCT ON (id) * FROM queue_items))
 SELECT id, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY id) > 1 THEN id || '_' || name ELSE name END AS entry_name FROM f""",
 }
@@ -300,12 +319,15 @@ SELECT id, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY id) > 1 THEN
 
 def _shared_sql() -> dict[str, str]:
     """SQL that uses shingles and accepted clips."""
-    from spanloom.plans.fold_sql import _ACCEPTED, shingles_sql, tokens_sql
+    from spanloom.plans.fold_sql import _ACCEPTED, CAPTIONS, shingles_sql, tokens_sql
+
+    time = lambda c: "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)".format(f"CAST(round_even(greatest(0::DOUBLE, {c}) * 1000, 0) AS BIGINT)")
 
     from spanloom.plans.candidate_queries import SQL as CANDIDATE
 
     one = f"t AS (SELECT *, {tokens_sql('text')} AS tok FROM clips), s AS (SELECT source_id, clip_id, {shingles_sql('tok')} AS sh FROM t WHERE source_id IS NOT NULL)"
     return {
+        "srt_cues": f"""SELECT source_id, caption_no, CAST(caption_no + 1 AS VARCHAR) || chr(10) || {time('start')} || ' --> ' || {time('"end"')} || chr(10) || text || chr(10) AS cue FROM ({CAPTIONS})""",
         "shortfalls": f"""WITH r AS ({CANDIDATE['quality_rejects']}), s AS (SELECT source_id, coalesce(sum(clips) FILTER (reason = 'accepted'), 0) AS final FROM r GROUP BY ALL), few AS (SELECT * FROM s WHERE final < 8)
 SELECT source_id, 'missing' AS reason, CAST(8 - final AS BIGINT) AS clips, NULL::DOUBLE AS bound FROM few
 UNION ALL SELECT r.source_id, reason, clips, CASE reason WHEN 'below_threshold' THEN 40 WHEN 'too_short' THEN 3 END FROM r JOIN few ON few.source_id IS NOT DISTINCT FROM r.source_id WHERE reason <> 'accepted'""",
