@@ -142,18 +142,18 @@ def _entries(counts, words: int, num: int, den: int, tasks: int):
             task, owner = task[order], row[routed]
             begins = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (task[1:] != task[:-1])])
             own = owner[begins]
-            tokens = pa.StructArray.from_arrays([pa.array(h[routed].view(np.int64)), pa.array(place[routed].astype(np.int32))], names=["sh", "place"])
             sigs = pa.Array.from_buffers(pa.binary(), len(own), [None, *map(pa.py_buffer, _gathered(sig, sizes, own))])
             take = lambda name: batch.column(name).take(pa.array(own))  # noqa: B023, E731
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(owner)].astype(np.int32)), tokens)
+            ends = pa.array(np.r_[begins, len(owner)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h[routed].view(np.int64), place[routed].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(task[begins].astype(np.int32)), take("grp"), take("id"), pa.array(n[own].astype(np.int32)), sigs, lists], names=["task", "grp", "id", "n", "sig", "tokens"]
+                [pa.array(task[begins].astype(np.int32)), take("grp"), take("id"), pa.array(n[own].astype(np.int32)), sigs, *lists], names=["task", "grp", "id", "n", "sig", "sh", "place"]
             )
 
     return run
 
 
-ENTRIES = "task int, grp string, id bigint, n int, sig binary, tokens array<struct<sh: bigint, place: int>>"
+ENTRIES = "task int, grp string, id bigint, n int, sig binary, sh array<bigint>, place array<int>"
 
 
 @dataclass
@@ -334,7 +334,7 @@ def _routed(reps: DataFrame, words: int, threshold: tuple[int, int]) -> DataFram
     tasks = max(1, -(-total // TASK), min(2 * cores, total // (TASK // 16)))
     shared = reps.sparkSession.sparkContext.broadcast(counts)
     entries = reps.select("grp", "id", "said").mapInArrow(_entries(shared, words, num, den, tasks), ENTRIES)
-    flat = lambda df: df.select("task", "grp", "id", "n", "sig", F.inline("tokens"))
+    flat = lambda df: df.select("task", "grp", "id", "n", "sig", F.inline(F.arrays_zip("sh", "place")))
     trees = max(1, -(-total // (tasks * TREE)))
     large = None
     if (counts > BLOCK).any():
