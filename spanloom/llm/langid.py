@@ -262,18 +262,34 @@ def _confidence(cosines: np.ndarray) -> np.ndarray:
     return (x.max(axis=1) / x.sum(axis=1)).astype(float)
 
 
+def _judged(words: list[int], texts: list[str], cosines: np.ndarray):
+    """Of each passage: its two likeliest languages, whether it is whole, whether it speaks for a language, its confidence."""
+    order = np.argsort(-cosines, axis=1, kind="stable")[:, :2]
+    n = np.arange(len(order))
+    first = cosines[n, order[:, 0]]
+    lead = first - (cosines[n, order[:, 1]] if cosines.shape[1] > 1 else -1.0)
+    many = np.array(words, dtype=np.int64)
+    whole = (many >= WHOLE_WORDS) & (np.array([len(t) for t in texts], dtype=np.int64) - many - 1 >= WHOLE_LETTERS)
+    return order, whole, whole & (lead >= LEAD) & (first > 0), _confidence(cosines)
+
+
 def _document(spans: list[tuple[int, int]], words: list[int], texts: list[str], cosines: np.ndarray, names: list[str]):
-    """Languages of a document, with confidences, and its passages; both empty where it has no sentence.
+    """Languages of a document, with confidences, and its passages; both empty where it has no sentence (see _settled)."""
+    return _settled(spans, texts, cosines, *_judged(words, texts, cosines), names)
 
-    Passages that are whole and lead clearly speak for their language. The others take the language of the last clear
-    one before, or of the first one after, if that is among the two likeliest for them; what is left takes its own.
-    """
-    order = np.argsort(-cosines, axis=1, kind="stable")
+
+def _mean(xs: list) -> float:
+    ys = [x for x in xs if x is not None]
+    return round(sum(ys) / len(ys), 6) if ys else 0.0
+
+
+def _settled(spans: list[tuple[int, int]], texts: list[str], cosines: np.ndarray, order: np.ndarray, whole: np.ndarray, clear: np.ndarray, confidence: np.ndarray, names: list[str]):
+    """Passages that are whole and lead clearly speak for their language. The others take the language of the last clear
+    one before, or of the first one after, if that is among the two likeliest for them; what is left takes its own."""
     best = order[:, 0]
-    n = np.arange(len(best))
-    lead = cosines[n, best] - (cosines[n, order[:, 1]] if cosines.shape[1] > 1 else -1.0)
-    whole = np.array([w >= WHOLE_WORDS and len(t) - w - 1 >= WHOLE_LETTERS for w, t in zip(words, texts)])
-    clear = whole & (lead >= LEAD) & (cosines[n, best] > 0)
+    if clear.all() and (best == best[0]).all():
+        name, sure = names[best[0]], _mean(confidence.tolist())
+        return [name], [sure], [{"from_char": int(spans[0][0]), "to_char": int(spans[-1][1]), "lang": name, "confidence": sure}]
     if not whole.any():
         return [], [], []
     if not clear.any():
@@ -285,9 +301,8 @@ def _document(spans: list[tuple[int, int]], words: list[int], texts: list[str],
     lang, places = best.copy(), np.flatnonzero(clear)
     for k in np.flatnonzero(~clear):
         near = best[places[places < k][-1] if (places < k).any() else places[0]]
-        if near in order[k, :2]:
+        if near in order[k]:
             lang[k] = near
-    confidence = _confidence(cosines)
     found: dict[int, list[float]] = {}
     for k in places:
         found.setdefault(int(lang[k]), []).append(float(confidence[k]))
@@ -298,10 +313,9 @@ def _document(spans: list[tuple[int, int]], words: list[int], texts: list[str],
             merged[-1][3].append(float(confidence[k]) if clear[k] else None)
         else:
             merged.append([a, b, lang[k], [float(confidence[k]) if clear[k] else None]])
-    mean = lambda xs: round(sum(ys) / len(ys), 6) if (ys := [x for x in xs if x is not None]) else 0.0
-    rows = [{"from_char": int(a), "to_char": int(b), "lang": names[l], "confidence": mean(c)} for a, b, l, c in merged]
+    rows = [{"from_char": int(a), "to_char": int(b), "lang": names[l], "confidence": _mean(c)} for a, b, l, c in merged]
     ordered = sorted(found, key=lambda l: (-len(found[l]), l))
-    return [names[l] for l in ordered], [mean(found[l]) for l in ordered], rows
+    return [names[l] for l in ordered], [_mean(found[l]) for l in ordered], rows
 
 
 def detect(docs: DataFrame, profiles: Profiles) -> DataFrame:
@@ -330,10 +344,12 @@ def detect(docs: DataFrame, profiles: Profiles) -> DataFrame:
                         words.append(n)
                 ends.append(len(texts))
             cosines, begin, rows = scorer.cosines(texts), 0, []
+            known = bool(scorer.profiles.languages and texts)
+            judged = _judged(words, texts, cosines) if known else ()
             for doc_id, label, end in zip(batch["doc_id"], batch["lang"], ends):
                 found = ([], [], [])
-                if end > begin and scorer.profiles.languages:
-                    found = _document(spans[begin:end], words[begin:end], texts[begin:end], cosines[begin:end], scorer.profiles.languages)
+                if end > begin and known:
+                    found = _settled(spans[begin:end], texts[begin:end], cosines[begin:end], *[x[begin:end] for x in judged], scorer.profiles.languages)
                 rows.append((doc_id, label_language(label), *found))
                 begin = end
             yield pd.DataFrame(rows, columns=["doc_id", "label", "languages", "confidences", "passages"]).astype({"label": object})
