@@ -40,7 +40,8 @@ CUT = 0.8
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "€": "e", "!": "i", "|": "i", "+": "t"})
 
 _SENTENCE = re.compile(r"(?<=[.!?؟。！？…])[\"'”’»)\]]*\s+|[\n\r|]+")
-_SIGNED = re.compile(r"\S*[" + re.escape("".join(map(chr, DISGUISE))) + r"]\S*")
+_SIGN = re.compile("[" + re.escape("".join(map(chr, DISGUISE))) + "]")
+_TOKEN = re.compile(r"\S+")
 #: Two single letters, or signs for them, with a sign or blank between: only then may a word be spelled out.
 _SINGLE = re.compile(r"(?:^|[\W_])[^\W_2]\W?[-_.*~+ ]\S\W?(?:[-_.*~+ ]|$)|[$@!][-_.*~+ ]")
 _SPELLED = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?:[\p{L}0134578$@!][\p{M}]*[-_.*~+ ]){2,}[\p{L}0134578$@!][\p{M}]*(?![\p{L}\p{M}\p{N}])")
@@ -70,7 +71,7 @@ def sentences(title: str | None, text: str | None) -> list[str]:
 def _undisguised(m) -> str:
     """One token: signs for letters are read as such where the token also has letters and isn't a plain number."""
     token = m[0]
-    if not any(c.isalpha() for c in token):
+    if token.isalpha() or not _SIGN.search(token) or not any(c.isalpha() for c in token):
         return token
     core = token.rstrip(".,;:!?\"')]؟،")
     return core.translate(DISGUISE) + token[len(core) :]
@@ -83,8 +84,10 @@ def folded(sentence: str) -> str:
         text = text.translate(_MARKS)
     if _SINGLE.search(text):
         text = _SPELLED.sub(lambda m: m[0].translate(_JOINTS), text)
-    text = _REPEATED.sub(r"\1", _SIGNED.sub(_undisguised, text))
-    return " " + " ".join(_ZEROS.sub("0", text.translate(_READ)).split()) + " "
+    if _SIGN.search(text):
+        text = _TOKEN.sub(_undisguised, text)
+    text = _REPEATED.sub(r"\1", text).translate(_READ)
+    return " " + " ".join((_ZEROS.sub("0", text) if "00" in text else text).split()) + " "
 
 
 def windows(words: int) -> list[int]:
@@ -113,19 +116,20 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not joined:
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), lengths)
+    # AT_ONCE texts leave room for a feature beside the text's number in 32 bits.
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint32) << np.uint32(BITS), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))  # letters from here to the text's end
     h = np.full(len(points), 1469598103934665603, np.uint64)
     parts = []
     with np.errstate(over="ignore"):
-        for k in range(max(LENGTHS)):
+        for k in range(min(max(LENGTHS), len(points))):
             h = h.copy()
             h[: len(points) - k] = (h[: len(points) - k] ^ points[k:]) * np.uint64(1099511628211)
             if k + 1 in LENGTHS:
                 at = np.flatnonzero(left > k)
                 mixed = (h[at] ^ (h[at] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-                parts.append((owner[at] << BITS) | (mixed >> np.uint64(64 - BITS)).astype(np.int64))
-    both = np.sort(np.concatenate(parts))
+                parts.append(owner[at] | (mixed >> np.uint64(64 - BITS)).astype(np.uint32))
+    both = np.sort(np.concatenate(parts or [np.zeros(0, np.uint32)]))
     both = both[np.r_[np.ones(min(1, len(both)), bool), both[1:] != both[:-1]]]
     return (both & ((1 << BITS) - 1)).astype(np.int32), np.bincount(both >> BITS, minlength=len(texts))
 

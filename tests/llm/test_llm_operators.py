@@ -220,6 +220,9 @@ def test_scores_of_odd_clips(spark):
     found = abuse.score_clips(df, model).collect()
     assert [r.score for r in found[:2]] == [0.0, 0.0] and found[2].score > 0.5 and found[2].worst == "badword"
     assert abuse.score_clips(df.limit(0), model).count() == 0
+    for few in ("a", "!", "ab", "\u200b"):
+        assert abuse.score_clips(spark.createDataFrame([(1, "s", few, None)], "clip_id long, source_id string, title string, text string"), model).count() == 1
+    assert [abuse.features([t])[1].tolist() for t in ("  ", " a ", " ab ")] == [[0], [1], [3]]
     empty = abuse.fit_classifier(df.limit(0), spark.createDataFrame([], "clip_id long, toxic int"), spark.createDataFrame([], "entry string"))
     assert abuse.score_clips(df, empty).count() == 3
 
