@@ -161,17 +161,39 @@ def numbered_words(words: DataFrame, block: int = 1_024) -> DataFrame:
     return words.withColumn("_place", place).join(starts, ["source_id", "seg_idx"]).withColumn("word_no", (F.col("_start") + F.col("_place")).cast("long")).drop("_place", "_start")
 
 
+def source_words(segments: DataFrame, block: int = 1_024) -> DataFrame:
+    """source_id, seg_idx, word_no, total, w_start, w_end, word: timed words of segments (one row for each source_id and
+    seg_idx) with their places in the source from 0 and their number there.
+
+    Places are summed over segments and blocks of segments before the words are taken apart, so no word is shuffled.
+    Blank words and ones without a sound span are left out before.
+    """
+    sound = lambda w: (F.trim(w["text"]) != "") & (w["end"] > w["start"]) & ~F.isnan(w["start"]) & ~F.isnan(w["end"])
+    rows = segments.select("source_id", "seg_idx", F.filter("words", sound).alias("_w")).filter(F.size("_w") > 0)
+    counts = rows.select("source_id", "seg_idx", F.size("_w").alias("_n"), F.floor(F.col("seg_idx") / block).alias("_b"))
+    before = (Window.unboundedPreceding, -1)
+    over = Window.partitionBy("source_id").orderBy("_b")
+    sums = counts.groupBy("source_id", "_b").agg(F.sum("_n").alias("_m"))
+    sums = sums.select("source_id", "_b", F.sum("_m").over(over.rowsBetween(*before)).alias("_far"), F.sum("_m").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    near = F.sum("_n").over(Window.partitionBy("source_id", "_b").orderBy("seg_idx").rowsBetween(*before))
+    starts = counts.withColumn("_near", near).join(sums, ["source_id", "_b"])
+    starts = starts.select("source_id", "seg_idx", (F.coalesce("_far", F.lit(0)) + F.coalesce("_near", F.lit(0))).alias("_start"), "total")
+    rows = rows.join(starts, ["source_id", "seg_idx"]).select("source_id", "seg_idx", "_start", "total", F.posexplode("_w").alias("_place", "_x"))
+    return rows.select("source_id", "seg_idx", (F.col("_start") + F.col("_place")).alias("word_no"), "total", F.col("_x.start").alias("w_start"), F.col("_x.end").alias("w_end"), F.trim("_x.text").alias("word"))
+
+
 def word_windows(words: DataFrame, shortest: float, longest: float, bands: DataFrame | None = None) -> DataFrame:
     """source_id, first_word, last_word, start, end: from anchors a fortieth of the words apart, the longest chunk in the band.
 
-    ``words`` has source_id, word_no (place in the source), w_start, w_end; ``bands`` as for anchored_windows.
+    ``words`` has source_id, word_no (place in the source), w_start, w_end and, where it is known, total, how many words
+    the source has; ``bands`` as for anchored_windows.
     """
-    n = words.groupBy("source_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 40).cast("int")).alias("_step"))
     bin_ = lambda c: F.floor(F.col(c) / longest).cast("long")
-    anchors = words.join(n, "source_id").filter(F.col("word_no") % F.col("_step") == 0)
+    anchors = words if "total" in words.columns else words.join(words.groupBy("source_id").agg(F.count("*").alias("total")), "source_id")
+    anchors = anchors.filter(F.col("word_no") % F.greatest(F.lit(1), F.floor(F.col("total") / 40)) == 0)
     anchors = _banded(anchors, bands, shortest, longest)
     anchors = anchors.select(F.col("source_id").alias("_s"), "_lo", "_hi", F.col("word_no").alias("first_word"), F.col("w_start").alias("start"), F.explode(F.array(bin_("w_start"), bin_("w_start") + 1)).alias("_b"))
-    rows = words.withColumn("_bin", bin_("w_end"))
+    rows = words.select("source_id", "word_no", "w_end", bin_("w_end").alias("_bin"))
     met = anchors.join(rows, (anchors["_s"] == rows["source_id"]) & (anchors["_b"] == rows["_bin"]) & (rows["word_no"] >= anchors["first_word"]) & (rows["w_end"] - anchors["start"] <= anchors["_hi"]))
     best = met.groupBy("source_id", "first_word", "start", "_lo").agg(F.max(F.struct(F.col("w_end").alias("end"), F.col("word_no").alias("last_word"))).alias("b"))
     rows = best.select("source_id", "first_word", "b.last_word", "start", "b.end", "_lo")

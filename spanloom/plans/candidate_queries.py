@@ -13,7 +13,7 @@ from spanloom.operators.periods import milliseconds, sound_span
 from spanloom.operators.select import accepted, covering_clips, finals, greedy_select, reject_counts
 from spanloom.operators.snap import complete_parts, to_pauses, to_speech, to_word_edges
 from spanloom.operators.spans import micro_pauses, speech_runs, spoken_words
-from spanloom.operators.windows import anchored_windows, capped, local_priority, merged, numbered_words, sliding_windows, with_context, word_windows
+from spanloom.operators.windows import anchored_windows, capped, local_priority, merged, sliding_windows, source_words, with_context, word_windows
 from spanloom.plans.bases import CANDS, CLIPS, SEGS, SOUND, WORDS, candidates, clips, segments, sound_segments, strip_sql
 from spanloom.plans.lineage import cut
 
@@ -72,7 +72,7 @@ def word_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_word_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 20 to 60 seconds from every fortieth part of the words of each source on, across its segments."""
-    words = cut(numbered_words(spoken_words(segments(spark, sf_dir, "words"))).select("source_id", "word_no", "w_start", "w_end"))
+    words = source_words(segments(spark, sf_dir, "words")).select("source_id", "word_no", "total", "w_start", "w_end")
     return word_windows(words, 20.0, 60.0).select("source_id", "first_word", "last_word", milliseconds("start").alias("start_ms"), milliseconds("end").alias("end_ms"))
 
 

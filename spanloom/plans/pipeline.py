@@ -18,7 +18,7 @@ from spanloom.operators.periods import sound_span
 from spanloom.operators.select import accepted, finals, greedy_select, kept_text, reject_counts, shortfall
 from spanloom.operators.snap import complete_parts, to_pauses, to_speech, to_word_edges, with_neighbours
 from spanloom.operators.spans import micro_pauses, speech_runs, spoken_words
-from spanloom.operators.windows import anchored_windows, batches, capped, joined_text, local_priority, merged, numbered_words, sliding_windows, with_context, word_windows
+from spanloom.operators.windows import anchored_windows, batches, capped, joined_text, local_priority, merged, sliding_windows, source_words, with_context, word_windows
 from spanloom.plans.lineage import cut
 from spanloom.plans.options import Options
 from spanloom.sources.records import SUBSCORES
@@ -77,9 +77,9 @@ def _grown(segments: DataFrame, made: DataFrame, options: Options, limits: DataF
 
 def _from_words(segments: DataFrame, options: Options, limits: DataFrame) -> DataFrame:
     """Candidates of sources that have no windows (few or very long segments): spans of timed words within the band."""
-    words = cut(numbered_words(spoken_words(segments)))
+    words = cut(source_words(segments.select("source_id", "seg_idx", "words")))
     lo, hi = options.band
-    spans = word_windows(words.select("source_id", "word_no", "w_start", "w_end"), lo, max(hi, SHORTEST), limits)
+    spans = word_windows(words.select("source_id", "word_no", "total", "w_start", "w_end"), lo, max(hi, SHORTEST), limits)
     said = spans.select("source_id", "first_word", F.explode(F.sequence("first_word", "last_word")).alias("word_no")).join(words.select("source_id", "word_no", "word"), ["source_id", "word_no"])
     texts = said.groupBy("source_id", "first_word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "word"))), lambda x: x["word"]), " ").alias("text"))
     rows = spans.join(texts, ["source_id", "first_word"]).withColumn("ordinal", F.col("first_word").cast("long"))
